@@ -164,7 +164,7 @@ def append_drops(v):
     half = F.col("timestamp") < AS_OF - 86400
     S.append_drops(v.drops.filter(half), path)
     S.append_drops(v.drops.filter(~half), path)
-    return S.read_facts(v.spark, path, "drops").drop("event_date")
+    return S.read_facts(v.spark, path, "drops").drop("event_month")
 
 
 @query("append_ip_drops", "SELECT timestamp, ip, count, list_type FROM fw_ip_drops WHERE count > 0")

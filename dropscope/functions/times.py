@@ -30,9 +30,12 @@ def day_floor(ts: Column) -> Column:
 
 
 def _prune(df: DataFrame, start: int) -> DataFrame:
-    """Partition filter for stored facts, which carry ``event_date``."""
+    """Partition filter for stored facts, which carry ``event_date`` or ``event_month``."""
+    first = F.to_date(F.timestamp_seconds(F.lit(start - 86400)))
     if "event_date" in df.columns:
-        return df.filter(F.col("event_date") >= F.to_date(F.timestamp_seconds(F.lit(start - 86400))))
+        return df.filter(F.col("event_date") >= first)
+    if "event_month" in df.columns:
+        return df.filter(F.col("event_month") >= F.to_date(F.trunc(first, "month")))
     return df
 
 

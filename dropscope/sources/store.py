@@ -1,7 +1,7 @@
 """Parquet tables of one deployment, on a folder every executor can reach.
 
-Facts (``drops``, ``ip_drops``) are appended, partitioned by ``event_date`` so trailing windows prune
-files. Everything replaced as a whole (``ip_info``, ``abuse_reports``, network sets) is versioned: a job
+Facts are appended and partitioned by time so trailing windows prune files: ``ip_drops`` by
+``event_date``; ``drops``, with a few hundred rows a day, by ``event_month``. Everything replaced as a whole (``ip_info``, ``abuse_reports``, network sets) is versioned: a job
 writes a new version folder, then adds one row to the version log. Readers follow the log, so they see
 the old or the new table, never a mixture; a job lost half-way leaves an unreferenced folder.
 """
@@ -26,7 +26,8 @@ SCHEMAS = {
     "abuse_reports": "ip STRING, last_sent BIGINT",
     "net_set": "set_name STRING, net STRING, added_at BIGINT, expires_at BIGINT",
 }
-FACTS = ("drops", "ip_drops")
+# Partition column of each fact table.
+FACTS = {"drops": "event_month", "ip_drops": "event_date"}
 VERSION_SCHEMA = "version BIGINT, rows BIGINT, committed_at BIGINT"
 
 
@@ -64,10 +65,10 @@ def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 def append_facts(df: DataFrame, store: str, name: str) -> None:
     """One write job is one commit. Rows are spread by date and hash, so a busy day uses many tasks."""
     rows = align_schema(df, table_schema(name)).filter(F.col("count") > 0)
-    rows = rows.withColumn("event_date", F.to_date(F.timestamp_seconds("timestamp")))
-    # REBALANCE lets adaptive execution both merge small and split large date partitions.
-    rows = rows.hint("rebalance", "event_date")
-    rows.write.mode("append").partitionBy("event_date").parquet(f"{store}/{name}")
+    part, day = FACTS[name], F.to_date(F.timestamp_seconds("timestamp"))
+    rows = rows.withColumn(part, day if part == "event_date" else F.to_date(F.trunc(day, "month")))
+    # REBALANCE lets adaptive execution both merge small and split large time partitions.
+    rows.hint("rebalance", part).write.mode("append").partitionBy(part).parquet(f"{store}/{name}")
 
 
 def append_drops(df: DataFrame, store: str) -> None:
@@ -79,7 +80,7 @@ def append_ip_drops(df: DataFrame, store: str) -> None:
 
 
 def read_facts(spark: SparkSession, store: str, name: str) -> DataFrame:
-    schema = T.StructType(table_schema(name).fields + [T.StructField("event_date", T.DateType())])
+    schema = T.StructType(table_schema(name).fields + [T.StructField(FACTS[name], T.DateType())])
     return spark.read.schema(schema).parquet(f"{store}/{name}")
 
 
