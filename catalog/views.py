@@ -166,7 +166,9 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ctes:
         return body
-    if body.upper().startswith("WITH "):
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
+    if body.startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
 

@@ -14,6 +14,10 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def shift_left(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftleft", value, bits)
+
+
 def is_v6(ip: Column | str) -> Column:
     return _col(ip).contains(":")
 
@@ -71,7 +75,7 @@ def long_to_v4(n: Column) -> Column:
 
 def v4_block(base: Column, plen: Column) -> tuple[Column, Column]:
     """First and last address of the network of ``base`` at a prefix length; host bits are masked away."""
-    size = F.shiftleft(F.lit(1).cast("long"), F.lit(32) - plen)
+    size = shift_left(F.lit(1).cast("long"), F.lit(32) - plen)
     lo = base - F.pmod(base, size)
     return lo, lo + size - 1
 
@@ -123,7 +127,7 @@ def _mask_hex(digits: Column, plen: Column) -> Column:
     full = F.floor(plen / 4).cast("int")
     rest = F.pmod(plen, F.lit(4)).cast("int")
     nibble = F.conv(F.substring(digits, full + 1, F.lit(1)), 16, 10).cast("int")
-    kept = F.shiftleft(F.shiftright(nibble, F.lit(4) - rest), F.lit(4) - rest)
+    kept = shift_left(F.call_function("shiftright", nibble, F.lit(4) - rest), F.lit(4) - rest)
     head = F.substring(digits, F.lit(1), full)
     part = F.when(rest == 0, F.lit("")).otherwise(F.lower(F.hex(kept)))
     return F.rpad(F.concat(head, part), 32, "0")

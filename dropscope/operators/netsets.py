@@ -160,7 +160,7 @@ def minimal_cidrs(ranges: DataFrame) -> DataFrame:
     not; per k only the first and the last aligned block of the range can qualify.
     """
     rows = ranges.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k"))
-    size = F.shiftleft(F.lit(1).cast("long"), F.col("k"))
+    size = IP.shift_left(F.lit(1).cast("long"), F.col("k"))
     lo, hi = F.col("lo"), F.col("hi")
     left = lo + F.pmod(-lo, F.col("size"))
     right = (hi + 1) - F.pmod(hi + 1, F.col("size")) - F.col("size")
