@@ -219,9 +219,8 @@ SELECT f.family, CAST(coalesce(n,0) AS BIGINT) AS total FROM (VALUES ('v4'),('v6
 )
 def live_total(v):
     counters = T.parse_rule_counters(v.rule_lines)
-    ends = counters.agg(F.min("run_ts").alias("a"), F.max("run_ts").alias("b"))
-    at = counters.join(F.broadcast(ends), (F.col("run_ts") == F.col("a")) | (F.col("run_ts") == F.col("b")))
-    return deltas.live_total(at.filter("run_ts = a"), at.filter("run_ts = b"))
+    at = lambda edge: counters.join(F.broadcast(counters.agg(edge("run_ts").alias("run_ts"))), "run_ts", "left_semi")
+    return deltas.live_total(at(F.min), at(F.max))
 
 
 # ---- roll-up --------------------------------------------------------------------------------------
@@ -338,9 +337,9 @@ def abuse_bruteforce(v):
     return _families(lambda f: abuse.abuse_bruteforce(v.ip_drops, v.ip_info, SVC, AS_OF, f))
 
 
-@query("abuse_scanners", _both("scan"))
+@query("abuse_scanners", _both("scan").replace("NOT IN (22,443,53,51515)", "NOT IN (22,443)"))
 def abuse_scanners(v):
-    return _families(lambda f: abuse.abuse_scanners(v.ip_drops, v.ip_info, SVC, AS_OF, f))
+    return _families(lambda f: abuse.abuse_scanners(v.ip_drops, v.ip_info, (22, 443), AS_OF, f))
 
 
 @query("abuse_unknown", _both("unknown"))
@@ -463,13 +462,13 @@ def over_limit_opens(v):
     return detect.over_limit_opens(v.connections, CONN_CFG)
 
 
-BANS = """b AS (SELECT src, min(ts) AS start_s FROM o GROUP BY src UNION ALL SELECT b.src, min(o.ts) FROM b JOIN o ON o.src=b.src AND o.ts >= b.start_s + {t} GROUP BY b.src)
+BANS = """b AS (SELECT src, min(ts) AS start_s FROM offs GROUP BY src UNION ALL SELECT b.src, min(offs.ts) FROM b JOIN offs ON offs.src=b.src AND offs.ts >= b.start_s + {t} GROUP BY b.src)
 SELECT src, CAST(start_s AS BIGINT) AS start_s, CAST(start_s + {t} AS BIGINT) AS end_s FROM b"""
 
 
 @query(
     "ban_intervals",
-    "WITH RECURSIVE o AS (SELECT DISTINCT ip AS src, timestamp AS ts FROM fw_ip_drops WHERE list_type='trap'), " + BANS.replace("{t}", "86400"),
+    "WITH RECURSIVE offs AS (SELECT DISTINCT ip AS src, timestamp AS ts FROM fw_ip_drops WHERE list_type='trap'), " + BANS.replace("{t}", "86400"),
 )
 def ban_intervals(v):
     trap = v.ip_drops.filter(F.col("list_type") == "trap")
@@ -478,7 +477,7 @@ def ban_intervals(v):
 
 @query(
     "bans_from_packets",
-    f"WITH RECURSIVE {CLASSIFY}, o AS (SELECT DISTINCT src, ts_us // 1000000 AS ts FROM d WHERE reason='trap'), " + BANS.replace("{t}", "120"),
+    f"WITH RECURSIVE {CLASSIFY}, offs AS (SELECT DISTINCT src, ts_us // 1000000 AS ts FROM d WHERE reason='trap'), " + BANS.replace("{t}", "120"),
 )
 def bans_from_packets(v):
     out = classify.classify_packets(v.packets, v.net_set, PACKET_CFG)

@@ -262,9 +262,8 @@ def merge_cidrs(v):
 @query(
     "minimal_cidrs",
     f"""WITH RECURSIVE {RANGES},
-b AS (SELECT lo AS at, hi, lo AS s, CAST(0 AS BIGINT) AS n FROM islands WHERE false
- UNION ALL SELECT lo, hi, lo, CAST(0 AS BIGINT) FROM islands
- UNION ALL SELECT at + sz, hi, at, sz FROM (SELECT *, CAST(least(CASE WHEN at=0 THEN 4294967296 ELSE at & -at END, CAST(pow(2, floor(log2(hi-at+1))) AS BIGINT)) AS BIGINT) AS sz FROM b WHERE at <= hi) t)
+b AS (SELECT lo AS nxt, hi, lo AS s, CAST(0 AS BIGINT) AS n FROM islands
+ UNION ALL SELECT nxt + sz, hi, nxt, sz FROM (SELECT *, CAST(least(CASE WHEN nxt=0 THEN 4294967296 ELSE nxt & (-nxt) END, CAST(pow(2, floor(log2(hi-nxt+1))) AS BIGINT)) AS BIGINT) AS sz FROM b WHERE nxt <= hi) t)
 SELECT concat(s>>24,'.',(s>>16)&255,'.',(s>>8)&255,'.',s&255,'/',32 - CAST(log2(n) AS INT)) AS net, s AS lo, s+n-1 AS hi FROM b WHERE n > 0""",
 )
 def minimal_cidrs(v):

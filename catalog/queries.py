@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from catalog import aggregates, columns, joins, sources  # noqa: F401
+from catalog import aggregates, columns, joins, sources, streams  # noqa: F401
