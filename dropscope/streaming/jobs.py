@@ -125,15 +125,14 @@ def stream_bruteforce(packets: DataFrame, config: Config, out: str, checkpoint:
     names = ["pkt_id", "src", "proto", "ts_us"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = recent.before(batch.sparkSession, batch_id).withColumn("_old", F.lit(True))
-        new = detect.protected(batch, config).select(*names).withColumn("_old", F.lit(False))
+        old = recent.before(batch.sparkSession, batch_id).withColumn("_carried", F.lit(True))
+        new = detect.protected(batch, config).select(*names).withColumn("_carried", F.lit(False))
         both = old.unionByName(new)
         counted = detect.trailing_count(both, ["src", "proto"], "ts_us", config.brute_seconds)
         hits = counted.withColumn("hits", F.col("recent") - 1)
-        _emit(hits.filter(~F.col("_old") & (F.col("hits") >= config.brute_hits)).select(*names, "hits"), out, batch_id)
-        newest = both.agg(F.max("ts_us").alias("_top"))
-        # One row: the newest packet time.
-        keep = both.join(F.broadcast(newest), F.col("ts_us") >= F.col("_top") - config.brute_seconds * detect.US)
+        _emit(hits.filter(~F.col("_carried") & (F.col("hits") >= config.brute_hits)).select(*names, "hits"), out, batch_id)
+        top = both.agg(F.max("ts_us")).first()[0] or 0  # one number
+        keep = both.filter(F.col("ts_us") >= top - config.brute_seconds * detect.US)
         recent.save(keep.select(*names), batch_id)
 
     return _each_batch(packets, step, checkpoint)
