@@ -1,5 +1,8 @@
 """Address arithmetic on text columns.
 
+The longer expressions are built as SQL text over a column name: one parser call instead of hundreds of
+calls into the JVM.
+
 IPv4 is held as a BIGINT, IPv6 as 32 hex digits (sorts like the number). A network key
 is the masked address as hex text, so one equi-join serves both families.
 """
@@ -14,10 +17,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def shift_left(value: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", value, bits)
-
-
 def is_v6(ip: Column | str) -> Column:
     return _col(ip).contains(":")
 
@@ -50,22 +49,31 @@ def strip_prefix(ip: Column | str, only_host: bool = False) -> Column:
     return F.substring_index(ip, "/", 1)
 
 
-def prefix_len(net: Column | str) -> Column:
+def _bare_sql(x: str) -> str:
+    return f"substring_index({x}, '/', 1)"
+
+
+def _plen_sql(x: str) -> str:
+    top = f"if(contains({x}, ':'), 128, 32)"
+    given = f"try_cast(get(split({x}, '/'), 1) AS INT)"
+    return f"CASE WHEN NOT contains({x}, '/') THEN {top} WHEN {given} BETWEEN 0 AND {top} THEN {given} END"
+
+
+def _number_sql(x: str) -> str:
+    octets = [f"try_cast(get(split({x}, '[.]'), {i}) AS BIGINT)" for i in range(4)]
+    ok = " AND ".join(f"{o} BETWEEN 0 AND 255" for o in octets)
+    total = f"{octets[0]} * 16777216 + {octets[1]} * 65536 + {octets[2]} * 256 + {octets[3]}"
+    return f"CASE WHEN size(split({x}, '[.]')) = 4 AND {ok} THEN {total} END"
+
+
+def prefix_len(net: str) -> Column:
     """Prefix length as INT; a bare address counts as the full length."""
-    net = _col(net)
-    given = F.get(F.split(net, "/"), F.lit(1)).try_cast("int")
-    top = F.when(is_v6(net), 128).otherwise(32)
-    return F.when(~is_net(net), top).when(given.between(0, top), given)
+    return F.expr(_plen_sql(net))
 
 
-def v4_to_long(ip: Column | str) -> Column:
+def v4_to_long(ip: str) -> Column:
     """Dotted quad (prefix ignored) as BIGINT, null when it is not one."""
-    parts = F.split(strip_prefix(ip), r"\.")
-    octets = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    ok = F.size(parts) == 4
-    for o in octets:
-        ok = ok & o.between(0, 255)
-    return F.when(ok, octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3])
+    return F.expr(_number_sql(_bare_sql(ip)))
 
 
 def long_to_v4(n: Column) -> Column:
@@ -73,64 +81,59 @@ def long_to_v4(n: Column) -> Column:
     return F.concat_ws(".", *octets)
 
 
-def v4_block(base: Column, plen: Column) -> tuple[Column, Column]:
+def v4_block(base: str, plen: str) -> tuple[Column, Column]:
     """First and last address of the network of ``base`` at a prefix length; host bits are masked away."""
-    size = shift_left(F.lit(1).cast("long"), F.lit(32) - plen)
-    lo = base - F.pmod(base, size)
-    return lo, lo + size - 1
+    size = f"shiftleft(1L, 32 - {plen})"
+    lo = F.expr(f"{base} - pmod({base}, {size})")
+    return lo, lo + F.expr(f"{size} - 1")
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _let_sql(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once however often the body uses it."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _quad_tail_to_hex(text: Column) -> Column:
-    """``::ffff:1.2.3.4`` → ``::ffff:102:304``."""
-    quad = v4_to_long(F.regexp_extract(text, r"([\d.]+)$", 1))
-    groups = _let(
-        quad, lambda q: F.concat_ws(":", F.hex(F.shiftright(q, 16)), F.hex(q.bitwiseAND(F.lit(65535).cast("long"))))
+def _hex_sql(ip: str) -> str:
+    """Groups around ``::`` padded to four digits, with the zero groups between them put back."""
+    bare = f"lower({_bare_sql(ip)})"
+    # A dotted tail such as ::ffff:1.2.3.4 is two groups.
+    tail = _let_sql(
+        _number_sql(f"regexp_extract({bare}, '([0-9.]+)$', 1)"), "q", "concat(hex(shiftright(q, 16)), ':', hex(q & 65535L))"
     )
-    return F.concat(F.regexp_replace(text, r"[\d.]+$", ""), F.lower(groups))
-
-
-def _hex_groups(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), ":"), lambda g: g != "")
-
-
-def _join_groups(halves: Column, left: Column, right: Column) -> Column:
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    pad = lambda side: F.array_join(F.transform(side, lambda g: F.lpad(g, 4, "0")), "")
-    shape = F.when(F.size(halves) == 2, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
-    short = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(shape & short, F.concat(pad(left), F.repeat(F.lit("0000"), missing), pad(right)))
+    text = f"if(contains({bare}, '.'), concat(regexp_replace({bare}, '[0-9.]+$', ''), lower({tail})), {bare})"
+    groups = "filter(split(coalesce(get(h, {i}), ''), ':'), g -> g <> '')"
+    pad = "array_join(transform({side}, g -> lpad(g, 4, '0')), '')"
+    missing = "8 - size(s.l) - size(s.r)"
+    shape = f"if(size(s.h) = 2, {missing} >= 1, size(s.h) = 1 AND {missing} = 0)"
+    short = "forall(concat(s.l, s.r), g -> g RLIKE '^[0-9a-f]{1,4}$')"
+    whole = f"concat({pad.format(side='s.l')}, repeat('0000', {missing}), {pad.format(side='s.r')})"
+    parts = f"named_struct('h', h, 'l', {groups.format(i=0)}, 'r', {groups.format(i=1)})"
+    joined = _let_sql(parts, "s", f"if({shape} AND {short}, {whole}, NULL)")
+    halves = f"split({text}, '::')"
+    return f"if(contains({ip}, ':'), {_let_sql(halves, 'h', joined)}, NULL)"
+
+
+def v6_to_hex(ip: str) -> Column:
+    """IPv6 text (prefix ignored) as 32 hex digits, null when it is not one."""
+    return F.expr(_hex_sql(ip))
 
 
-def v6_to_hex(ip: Column | str) -> Column:
-    """IPv6 text (prefix ignored) as 32 hex digits, null when it is not one."""
-    text = F.lower(strip_prefix(ip))
-    plain = F.when(is_v4(text), _quad_tail_to_hex(text)).otherwise(text)
-    digits = _let(
-        F.split(plain, "::"),
-        lambda h: _let(
-            F.struct(
-                h.alias("h"), _hex_groups(F.get(h, F.lit(0))).alias("l"), _hex_groups(F.get(h, F.lit(1))).alias("r")
-            ),
-            lambda s: _join_groups(s["h"], s["l"], s["r"]),
-        ),
-    )
-    return F.when(is_v6(ip), digits)
+def address_bits(ip: str) -> Column:
+    """Comparable text of an address: 8 hex digits for IPv4, 32 for IPv6."""
+    v4 = f"lower(lpad(hex({_number_sql(_bare_sql(ip))}), 8, '0'))"
+    return F.expr(f"if(contains({ip}, ':'), {_hex_sql(ip)}, {v4})")
 
 
-def _mask_hex(digits: Column, plen: Column) -> Column:
-    """Zero every bit of a 32-digit hex text after the first ``plen``."""
-    full = F.floor(plen / 4).cast("int")
-    rest = F.pmod(plen, F.lit(4)).cast("int")
-    nibble = F.conv(F.substring(digits, full + 1, F.lit(1)), 16, 10).cast("int")
-    kept = shift_left(F.call_function("shiftright", nibble, F.lit(4) - rest), F.lit(4) - rest)
-    head = F.substring(digits, F.lit(1), full)
-    part = F.when(rest == 0, F.lit("")).otherwise(F.lower(F.hex(kept)))
-    return F.rpad(F.concat(head, part), 32, "0")
+def network_key(bits: str, plen: str) -> Column:
+    """Network of an ``address_bits`` column at a prefix length: every later bit zero."""
+    number = f"cast(conv({bits}, 16, 10) AS BIGINT)"
+    v4 = f"lower(lpad(hex({number} - pmod({number}, shiftleft(1L, 32 - {plen}))), 8, '0'))"
+    full, rest = f"({plen} div 4)", f"({plen} % 4)"
+    digit = f"cast(conv(substring({bits}, cast({full} AS INT) + 1, 1), 16, 10) AS INT)"
+    kept = f"shiftleft(shiftright({digit}, 4 - {rest}), 4 - {rest})"
+    part = f"if({rest} = 0, '', lower(hex({kept})))"
+    v6 = f"rpad(concat(substring({bits}, 1, cast({full} AS INT)), {part}), 32, '0')"
+    return F.expr(f"if(length({bits}) = 8, {v4}, {v6})")
 
 
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
@@ -142,18 +145,6 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def address_bits(ip: Column | str) -> Column:
-    """Comparable text of an address: 8 hex digits for IPv4, 32 for IPv6."""
-    return F.when(is_v6(ip), v6_to_hex(ip)).otherwise(F.lower(F.lpad(F.hex(v4_to_long(ip)), 8, "0")))
-
-
-def network_key(bits: Column, plen: Column) -> Column:
-    """Network of an ``address_bits`` text at a prefix length."""
-    lo, _ = v4_block(F.conv(bits, 16, 10).cast("long"), plen)
-    v4 = F.lower(F.lpad(F.hex(lo), 8, "0"))
-    return F.when(F.length(bits) == 8, v4).otherwise(_mask_hex(bits, plen))
-
-
 # Reserved networks as text patterns on a valid address.
 PRIVATE_V4 = r"^(10\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.)"
 LINK_LOCAL_V4 = r"^169\.254\."

@@ -7,6 +7,8 @@ history arrives as one pre-aggregated row per source and slot.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 from dropscope.config import DAY, Config
 
 US = 1000000
-# Fixed value: bits per bitmap of Spark's bitmap aggregate.
-BITMAP_BITS = 32768
 
 
 def trailing_count(rows: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
@@ -142,41 +142,40 @@ def over_limit_opens(conns: DataFrame, config: Config, slot_seconds: int = 60) -
     return _with_limit(rows, config, "open").filter("over").select("conn_id", "src", "open")
 
 
-def _first_bans(seconds: np.ndarray, timeout: int) -> list[int]:
-    """Greedy ban starts over sorted distinct seconds."""
-    starts, at = [], 0
-    while at < len(seconds):
-        starts.append(int(seconds[at]))
-        at = int(np.searchsorted(seconds, starts[-1] + timeout))
-    return starts
+def _fold_bans(batches: Iterator[pd.DataFrame], timeout: int) -> Iterator[pd.DataFrame]:
+    """Greedy ban starts over rows sorted by (src, ts); keeps one source and one time between batches."""
+    current, free_from = None, None
+    for pdf in batches:
+        src, ts = pdf["src"].to_numpy(), pdf["ts"].to_numpy()
+        edges = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1), len(src)]
+        who, start = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if a == b:
+                continue
+            if src[a] != current:
+                current, free_from = src[a], None
+            at = a if free_from is None else a + int(np.searchsorted(ts[a:b], free_from))
+            while at < b:
+                who.append(current)
+                start.append(int(ts[at]))
+                free_from = start[-1] + timeout
+                at += int(np.searchsorted(ts[at:b], free_from))
+        yield pd.DataFrame({"src": who, "start_s": start, "end_s": [s + timeout for s in start]})
 
 
 def ban_intervals(offences: DataFrame, timeout: int = DAY, ts: str = "ts") -> DataFrame:
     """Bans opened by offences: ``src, start_s, end_s`` in whole seconds; hits during a ban do not extend it.
 
-    ``timeout`` 0 is a permanent ban (``end_s`` null). The next ban depends on the one before, so the
-    fold is sequential per source, but over little data: map-side aggregation turns offences into one
-    4 KB bitmap per source and 32,768 seconds, which is at most 4 MB per source and year.
+    ``timeout`` 0 is a permanent ban (``end_s`` null). Each ban depends on the one before, so a source is
+    folded in order, as a stream: offences shrink to distinct seconds on the map side, which bounds a
+    source by the length of history and not by its rows, and the sorted rows pass through a fold that
+    holds two values. No group is gathered in memory.
     """
     seconds = offences.select("src", F.col(ts).cast("long").alias("ts")).filter(F.col("ts").isNotNull())
     if timeout == 0:
         return seconds.groupBy("src").agg(F.min("ts").alias("start_s"), F.lit(None).cast("long").alias("end_s"))
-    span = F.floor(F.col("ts") / BITMAP_BITS).cast("long").alias("span")
-    maps = seconds.groupBy("src", span).agg(
-        F.bitmap_construct_agg(F.pmod("ts", F.lit(BITMAP_BITS))).alias("bits")
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span")
-        found = [
-            np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8), bitorder="little"))
-            + int(span) * BITMAP_BITS
-            for span, raw in zip(pdf["span"], pdf["bits"])
-        ]
-        starts = _first_bans(np.concatenate(found), timeout)
-        return pd.DataFrame({"src": pdf["src"].iloc[0], "start_s": starts, "end_s": [s + timeout for s in starts]})
-
-    return maps.groupBy("src").applyInPandas(fold, "src string, start_s long, end_s long")
+    ordered = seconds.distinct().repartition("src").sortWithinPartitions("src", "ts")
+    return ordered.mapInPandas(lambda rows: _fold_bans(rows, timeout), "src string, start_s long, end_s long")
 
 
 def bans_at(intervals: DataFrame, as_of: int) -> DataFrame:

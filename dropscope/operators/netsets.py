@@ -31,7 +31,7 @@ def _is_short() -> Column:
 def keyed_sets(net_set: DataFrame) -> DataFrame:
     """``set_name, family, plen, key, salt``; short prefixes once per salt."""
     rows = with_bits(net_set.select("set_name", "net"), "net").select(
-        "set_name", "family", "plen", IP.network_key(F.col("bits"), F.col("plen")).alias("key")
+        "set_name", "family", "plen", IP.network_key("bits", "plen").alias("key")
     )
     salts = F.when(_is_short(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return rows.distinct().withColumn("salt", F.explode(salts))
@@ -53,7 +53,7 @@ def expand_prefixes(ips: DataFrame, lengths: DataFrame, col: str = "ip") -> Data
         col,
         "family",
         F.col("len").alias("plen"),
-        IP.network_key(F.col("bits"), F.col("len")).alias("key"),
+        IP.network_key("bits", "len").alias("key"),
     ).withColumn("salt", F.when(_is_short(), F.pmod(F.xxhash64(col), F.lit(SALTS))).otherwise(0).cast("int"))
 
 
@@ -112,7 +112,7 @@ def net_ranges(nets: DataFrame, col: str = "net") -> DataFrame:
     """IPv4 networks as inclusive number ranges; entries that are no network go."""
     rows = IP.computed(nets.filter(~IP.is_v6(col)).select(col), base=IP.v4_to_long(col), plen=IP.prefix_len(col))
     rows = rows.filter(F.col("base").isNotNull() & F.col("plen").isNotNull())
-    lo, hi = IP.v4_block(F.col("base"), F.col("plen"))
+    lo, hi = IP.v4_block("base", "plen")
     return rows.select(lo.alias("lo"), hi.alias("hi"))
 
 
@@ -160,7 +160,7 @@ def minimal_cidrs(ranges: DataFrame) -> DataFrame:
     not; per k only the first and the last aligned block of the range can qualify.
     """
     rows = ranges.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k"))
-    size = IP.shift_left(F.lit(1).cast("long"), F.col("k"))
+    size = F.expr("shiftleft(1L, k)")
     lo, hi = F.col("lo"), F.col("hi")
     left = lo + F.pmod(-lo, F.col("size"))
     right = (hi + 1) - F.pmod(hi + 1, F.col("size")) - F.col("size")

@@ -13,9 +13,6 @@ from dropscope.functions import ip as IP
 QUAD_START = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
 V6_START = r"^[0-9a-fA-F:]+"
 QUAD_ANYWHERE = r"([0-9]{1,3}\.){3}[0-9]{1,3}"
-ARROW = r"(\S+?):?\s+>\s+(\S+?):?(?:\s|$)"
-ADDRESS_PART = r"^([^.]*(?:\.[^.]*\.[^.]*\.[^.]*)?)"
-PORT_PART = r"^[^.]*(?:\.[^.]*\.[^.]*\.[^.]*)?\.([^.]*)$"
 ATTACK_PATTERNS = ("TLS handshake failed", "Bad encapsulated packet length")
 BOGON_V4 = r"^(0\.0\.0\.0|127\.|10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|169\.254\.)"
 BOGON_V6 = r"^(::1|fe80:)"
@@ -99,6 +96,14 @@ def all_set_hits(dumps: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _uncolon(x: str) -> Column:
+    return F.expr(f"if(endswith({x}, ':'), left({x}, length({x}) - 1), {x})")
+
+
+def _dots(x: str) -> Column:
+    return F.expr(f"length({x}) - length(replace({x}, '.', ''))")
+
+
 def parse_packets(lines: DataFrame, since_us: int | None = None, col: str = "line") -> DataFrame:
     """Capture text → ``ts_us, ip, port, proto``; only lines with a source and a destination port survive.
 
@@ -107,16 +112,19 @@ def parse_packets(lines: DataFrame, since_us: int | None = None, col: str = "lin
     of a destination with five (IPv4) or two (IPv6) dotted parts.
     """
     line = F.col(col)
-    src, dst = (F.regexp_extract(line, ARROW, i) for i in (1, 2))
-    digits = F.regexp_replace(F.regexp_extract(dst, PORT_PART, 1), "[^0-9]", "")
-    seconds = F.regexp_extract(line, r"^\s*(\S+)", 1).try_cast("decimal(20,6)")
+    words = F.array_remove(F.split(F.translate(line, "\t", " "), " "), "")
+    rows = IP.computed(lines.filter(line.contains(">")), _words=words)
+    rows = IP.computed(rows, _at=F.array_position("_words", ">").cast("int")).filter(F.col("_at") > 1)
+    rows = IP.computed(rows, _src=_uncolon("get(_words, _at - 2)"), _dst=_uncolon("get(_words, _at)"))
+    digits = F.regexp_replace(F.substring_index("_dst", ".", -1), "[^0-9]", "")
+    tcp = line.contains("Flags") | line.contains("seq") | line.contains("ack")
     rows = IP.computed(
-        lines.filter(line.contains(">")),
-        ts_us=(seconds * 1000000).cast("long"),
-        ip=F.regexp_extract(src, ADDRESS_PART, 1),
-        port=digits.try_cast("int"),
-        proto=F.when(line.rlike("Flags|seq|ack"), "tcp").otherwise("udp"),
-    ).drop(col)
+        rows,
+        ts_us=(F.get("_words", F.lit(0)).try_cast("decimal(20,6)") * 1000000).cast("long"),
+        ip=F.when(_dots("_src") >= 3, F.substring_index("_src", ".", 4)).otherwise(F.substring_index("_src", ".", 1)),
+        port=F.when(_dots("_dst").isin(1, 4), digits.try_cast("int")),
+        proto=F.when(tcp, "tcp").otherwise("udp"),
+    ).drop(col, "_words", "_at", "_src", "_dst")
     rows = rows.filter((F.length("ip") >= 7) & (F.col("port") > 0))
     return rows if since_us is None else rows.filter(F.col("ts_us") > since_us)
 
