@@ -116,21 +116,25 @@ def net_ranges(nets: DataFrame, col: str = "net") -> DataFrame:
     return rows.select(lo.alias("lo"), hi.alias("hi"))
 
 
-def _islands(rows: DataFrame, group: Column) -> DataFrame:
+def _islands(rows: DataFrame, group: list[Column]) -> DataFrame:
     """Join overlapping and adjacent ranges inside each group."""
-    g = rows.withColumn("_g", group)
-    order = W.partitionBy("_g").orderBy("lo", "hi")
+    keys = [f"_g{i}" for i in range(len(group))]
+    g = rows.select("lo", "hi", *[c.alias(k) for c, k in zip(group, keys)])
+    order = W.partitionBy(*keys).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
     start = F.when(F.col("lo") <= before + 1, 0).otherwise(1)
     marked = g.withColumn("_s", start).withColumn("_i", F.sum("_s").over(order))
-    return marked.groupBy("_g", "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
+    return marked.groupBy(*keys, "_i").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
 
 
 def _stitch(ranges: DataFrame, inner: int, outer: int) -> DataFrame:
-    """Join ranges that touch an edge of a 2^inner block, inside blocks of 2^outer addresses."""
+    """Join ranges that touch an edge of a 2^inner block, inside blocks of 2^outer addresses.
+
+    A range that touches no edge is a group of its own, so only edge ranges meet in a group.
+    """
     mask = F.lit(2**inner - 1)
     edge = (F.col("lo").bitwiseAND(mask) == 0) | (F.col("hi").bitwiseAND(mask) == mask)
-    return ranges.filter(~edge).unionByName(_islands(ranges.filter(edge), F.shiftright("lo", outer)))
+    return _islands(ranges, [F.shiftright("lo", outer), F.when(edge, F.lit(-1)).otherwise(F.col("lo"))])
 
 
 def merge_ranges(ranges: DataFrame) -> DataFrame:
@@ -145,7 +149,7 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     pieces = blocks.select(
         F.greatest("lo", start).alias("lo"), F.least(F.col("hi"), start + 65535).alias("hi")
     ).distinct()
-    per16 = _islands(pieces, F.shiftright("lo", 16))
+    per16 = _islands(pieces, [F.shiftright("lo", 16)])
     return _stitch(_stitch(per16, 16, 24), 24, 32)
 
 

@@ -72,20 +72,29 @@ def _series_rows(drops: DataFrame, grain: str, as_of: int) -> DataFrame:
     return _prune(drops, as_of - back).filter(F.col("timestamp") >= start)
 
 
-def _series_aggs() -> list[Column]:
+def _series_aggs(value: str = "count") -> list[Column]:
     cols = []
     for name, lists in SERIES_COLUMNS.items():
-        hit = F.when(F.col("list_name").isin(lists), F.col("count")).otherwise(0)
+        hit = F.when(F.col("list_name").isin(lists), F.col(value)).otherwise(0)
         cols.append(F.sum(hit).alias(name))
-    return cols + [F.sum("count").alias("total")]
+    return cols + [F.sum(value).alias("total")]
 
 
-def drop_series(drops: DataFrame, grain: str, as_of: int) -> DataFrame:
-    """Drops per time label; ``newest`` is the label's latest second and gives the display order."""
-    rows = _series_rows(drops, grain, as_of)
-    return rows.groupBy(bucket_label(F.col("timestamp"), grain).alias("label")).agg(
+def _by_label(rows: DataFrame, grain: str) -> DataFrame:
+    """Sums per time label. Rows are first summed per quarter hour, an integer key, so text labels are
+    only formatted for one row per slot."""
+    slots = rows.groupBy(F.floor(F.col("timestamp") / QUARTER).alias("_slot")).agg(
         *_series_aggs(), F.max("timestamp").alias("newest")
     )
+    again = [F.sum(c).alias(c) for c in [*SERIES_COLUMNS, "total"]]
+    return slots.groupBy(bucket_label(F.col("newest"), grain).alias("label")).agg(
+        *again, F.max("newest").alias("newest")
+    )
+
+
+def drop_series(drops: DataFrame, grain: str, as_of: int) -> DataFrame:
+    """Drops per time label; ``newest`` is the label's latest second and gives the display order."""
+    return _by_label(_series_rows(drops, grain, as_of), grain)
 
 
 def series_hourly_ts(drops: DataFrame, as_of: int) -> DataFrame:
@@ -100,16 +109,12 @@ def order_series(series: DataFrame) -> DataFrame:
 
 
 def top_days(drops: DataFrame, n: int = 10) -> DataFrame:
-    days = drops.groupBy(bucket_label(F.col("timestamp"), "daily").alias("label")).agg(
-        *_series_aggs(), F.max("timestamp").alias("newest")
-    )
-    return top_n(days, "total", ["label"], n)
+    return top_n(_by_label(drops, "daily"), "total", ["label"], n)
 
 
 def avg_per_bucket(drops: DataFrame, grain: str, as_of: int) -> DataFrame:
     """Mean of the bucket sums, rounded half to even; buckets without rows do not count."""
-    rows = _series_rows(drops, grain, as_of)
-    sums = rows.groupBy(bucket_label(F.col("timestamp"), grain).alias("label")).agg(F.sum("count").alias("total"))
+    sums = drop_series(drops, grain, as_of).select("total")
     mean = F.coalesce(F.avg("total"), F.lit(0.0))
     return sums.agg(F.bround(mean, 0).cast("long").alias("average")).select(F.lit(grain).alias("grain"), "average")
 

@@ -57,6 +57,11 @@ def table_names() -> list[str]:
     return [*GRAINS, "top_days", *[f"{f}_{w}" for w in WINDOWS for f in families]]
 
 
+def _member(name: str, df: DataFrame, text) -> DataFrame:
+    """One row ``name, text``: a member of the document with its JSON value."""
+    return df.select(F.lit(name).alias("name"), text.alias("text"))
+
+
 def dashboard(
     store: dict[str, DataFrame], size_history: DataFrame, config: Config, as_of: int
 ) -> DataFrame:
@@ -68,29 +73,28 @@ def dashboard(
         .unionByName(port_tables(facts, info, config, as_of))
     )
     packed = rows.groupBy("table").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]).alias("rows")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]), ",").alias("rows")
     )
-    tables = packed.agg(F.map_from_entries(F.collect_list(F.struct("table", "rows"))).alias("tables"))
+    named = []
+    for t in table_names():
+        found = F.coalesce(F.max(F.when(F.col("table") == t, F.col("rows"))), F.lit(""))
+        named.append(F.concat(F.lit(f'"{t}":['), found, F.lit("]")))
+    tables = packed.agg(F.concat(F.lit("{"), F.concat_ws(",", *named), F.lit("}")).alias("t"))
     averages = reduce(DataFrame.unionByName, [R.avg_per_bucket(R.condense(drops, as_of), g, as_of) for g in GRAINS])
-    averages = averages.agg(F.map_from_entries(F.collect_list(F.struct("grain", "average"))).alias("averages"))
+    averages = averages.agg(F.map_from_entries(F.collect_list(F.struct("grain", "average"))).alias("m"))
     last = set_trend(size_history).groupBy("set_name").agg(
         F.max_by(F.struct("n", "trend", F.col("run_ts").alias("updated")), "run_ts").alias("s")
     )
-    lists = last.agg(F.map_from_entries(F.collect_list(F.struct("set_name", "s"))).alias("lists"))
-    life = R.lifetime_drops(drops).select(F.col("total").alias("lifetime"))
-    one = [df.withColumn("_k", F.lit(1)) for df in (life, lists, averages, tables)]
-    doc = reduce(lambda a, b: a.join(b, "_k", "left"), one)
-    empty_table = F.array().cast("array<string>")
-    named = [F.coalesce(F.col("tables")[F.lit(t)], empty_table).alias(t) for t in table_names()]
-    return doc.select(
-        F.to_json(
-            F.struct(
-                F.lit(as_of).alias("updated"),
-                "lifetime",
-                F.lit(config.ipv6).alias("ipv6_status"),
-                "lists",
-                "averages",
-                F.struct(*named).alias("tables"),
-            )
-        ).alias("document")
-    )
+    lists = last.agg(F.map_from_entries(F.collect_list(F.struct("set_name", "s"))).alias("m"))
+    members = [
+        _member("lifetime", R.lifetime_drops(drops), F.col("total").cast("string")),
+        _member("lists", lists, F.to_json("m")),
+        _member("averages", averages, F.to_json("m")),
+        _member("tables", tables, F.col("t")),
+    ]
+    head = f'{{"updated":{as_of},"ipv6_status":{str(config.ipv6).lower()}'
+    one = [
+        F.concat(F.lit(f',"{n}":'), F.coalesce(F.max(F.when(F.col("name") == n, F.col("text"))), F.lit("{}")))
+        for n in ("lifetime", "lists", "averages", "tables")
+    ]
+    return reduce(DataFrame.unionByName, members).agg(F.concat(F.lit(head), *one, F.lit("}")).alias("document"))

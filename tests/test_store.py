@@ -86,8 +86,8 @@ def test_dashboard_document(spark):
     doc = json.loads(D.dashboard(store, v.size_history, Config(), AS_OF).first().document)
     assert set(doc["tables"]) == set(D.table_names()) and len(doc["tables"]) == 33
     assert doc["lifetime"] == v.drops.agg(F.sum("count")).first()[0]
-    ranks = [json.loads(r)["rank"] for r in doc["tables"]["trap_all"]]
+    ranks = [r["rank"] for r in doc["tables"]["trap_all"]]
     assert ranks == list(range(1, 11))
-    newest = [json.loads(r)["newest"] for r in doc["tables"]["daily"]]
+    newest = [r["newest"] for r in doc["tables"]["daily"]]
     assert newest == sorted(newest, reverse=True)
     assert set(doc["averages"]) == {"hourly", "daily", "monthly", "yearly"}
