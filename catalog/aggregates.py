@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.registry import query
@@ -63,6 +65,19 @@ for g in LABELS:
     _series(g)
 
 
+@query(
+    "avg_per_bucket",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS grain, CAST(round_even(coalesce(avg(t),0),0) AS BIGINT) AS average FROM (SELECT sum(count) AS t FROM fw_drops {w} GROUP BY {lab}) x{k}"
+        for k, (lab, w) in LABELS.items()
+    ),
+)
+def avg_per_bucket(v):
+    """All four averages from one summary of the facts."""
+    base = reports.condense(v.drops, AS_OF)
+    return reduce(DataFrame.unionByName, [reports.avg_per_bucket(base, k, AS_OF) for k in LABELS])
+
+
 @query(
     "series_hourly_ts",
     f"SELECT CAST(timestamp - timestamp % 3600 AS BIGINT) AS hour_ts, {SUMS} FROM fw_drops WHERE timestamp >= 1706659200-86400 GROUP BY 1",
@@ -131,11 +146,12 @@ def bruteforce_stats(v):
 
 @query(
     "ips_preview",
-    f"""WITH {PORT_ROWS}, l AS (SELECT full_port, list_sort(list(DISTINCT ip)) AS l FROM r WHERE win='all' GROUP BY full_port)
+    f"""WITH {PORT_ROWS}, l AS (SELECT full_port, list_sort(list(DISTINCT ip)) AS l, sum(count) AS t FROM r WHERE win='all' GROUP BY full_port ORDER BY t DESC, full_port LIMIT 10)
 SELECT full_port, array_to_string(l[1:3],', ') AS preview, CAST(greatest(len(l)-3,0) AS BIGINT) AS more FROM l""",
 )
 def ips_preview(v):
-    out = reports.port_stats(v.ip_drops, v.ip_info, AS_OF, n=100)
+    """The shown addresses of the all-time port table."""
+    out = reports.port_stats(v.ip_drops, v.ip_info, AS_OF)
     return out.filter(F.col("window") == "all").select("full_port", "preview", "more")
 
 
@@ -347,12 +363,9 @@ def abuse_unknown(v):
     return _families(lambda f: abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, f))
 
 
-@query(
-    "unknown_port_sources",
-    _class_sql("unknown", 4).replace("LIMIT 20", "LIMIT 1000000"),
-)
+@query("unknown_port_sources", _class_sql("unknown", 4))
 def unknown_port_sources(v):
-    return abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, 4, n=1000000)
+    return abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, 4)
 
 
 @query("abuse_static", _both("static"))
@@ -388,14 +401,16 @@ def report_cooldown(v):
     return abuse.apply_cooldown(cands, v.abuse_reports, AS_OF).select("class", "host", "total", "last_sent", "cooling")
 
 
-@query(
-    "new_hits_since_report",
-    """SELECT r.ip AS host, CAST(sum(d.count) AS BIGINT) AS new_hits FROM (SELECT ip, last_sent FROM fw_abuse_reports ORDER BY last_sent, ip LIMIT 100) r
-JOIN fw_ip_drops d ON regexp_replace(d.ip,'/(32|128)$','')=r.ip AND d.timestamp > r.last_sent GROUP BY r.ip""",
-)
+@query("abuse_candidates", f"WITH {CANDS} SELECT class, priority, ip, total, ports, host FROM ch")
+def abuse_candidates(v):
+    return abuse.all_candidates(v.ip_drops, v.ip_info, CFG, AS_OF)
+
+
+@query("new_hits_since_report", f"WITH {QUEUE} SELECT host, new_hits FROM nh")
 def new_hits_since_report(v):
-    cands = v.abuse_reports.orderBy("last_sent", "ip").limit(100).select(F.col("ip").alias("host"), "last_sent")
-    return abuse.new_hits(cands, v.ip_drops)
+    cands = abuse.all_candidates(v.ip_drops, v.ip_info, CFG, AS_OF)
+    cooled = abuse.apply_cooldown(cands, v.abuse_reports, AS_OF)
+    return abuse.new_hits(cooled.filter(F.col("last_sent") > 0), v.ip_drops)
 
 
 HITS24 = "total,' hits in 24h)'"
@@ -443,6 +458,22 @@ def bruteforce_hits(v):
     return detect.bruteforce_hits(v.packets, PACKET_CFG)
 
 
+# Every hit with the time of the connection `brute_hits` before it; a ban needs that one to be newer than
+# the end of the ban before.
+FEEDBACK = """q AS (SELECT src, ts_us, lag(ts_us, 5) OVER (PARTITION BY src, proto ORDER BY ts_us, pkt_id) AS fifth
+ FROM fw_packets WHERE state='NEW' AND proto IN ('tcp','udp') AND dport IN (22,443,51515)),
+offs AS (SELECT src, ts_us // 1000000 AS ts, fifth // 1000000 AS f FROM q WHERE fifth >= ts_us - 60000000),
+b AS (SELECT src, min(ts) AS start_s FROM offs GROUP BY src UNION ALL SELECT b.src, min(offs.ts) FROM b JOIN offs ON offs.src=b.src AND offs.f >= b.start_s + 90 GROUP BY b.src)"""
+
+
+@query(
+    "bruteforce_bans",
+    f"WITH RECURSIVE {FEEDBACK} SELECT src, CAST(start_s AS BIGINT) AS start_s, CAST(start_s + 90 AS BIGINT) AS end_s FROM b",
+)
+def bruteforce_bans(v):
+    return detect.bruteforce_bans(v.packets, dataclasses.replace(PACKET_CFG, ban_timeout=90))
+
+
 CONN_CFG = dataclasses.replace(PACKET_CFG, bypass_conn_tcp=(8080,), conn_limit=15, conn_limit_custom=20)
 LEVELS = """ev AS (SELECT conn_id, src, start_us AS t, 1 AS d, dport=8080 AS c FROM fw_connections UNION ALL SELECT conn_id, src, end_us, -1, dport=8080 FROM fw_connections),
 lv AS (SELECT *, CAST(sum(d) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS o FROM ev),

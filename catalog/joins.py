@@ -45,15 +45,18 @@ def trap_with_ports(v):
     return abuse.trap_with_ports(v.ip_drops, v.ip_info, AS_OF, 4)
 
 
+HALF = 1705363200
+
+
 @query(
     "snapshot_delta",
-    """WITH l AS (SELECT ip, max(run_ts) AS t FROM fw_set_snapshots GROUP BY ip),
-s AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts % 7200 = 0 GROUP BY ip), e AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts % 7200 <> 0 GROUP BY ip)
+    f"""WITH s AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts < {HALF} GROUP BY ip), e AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts >= {HALF} GROUP BY ip)
 SELECT e.ip, CAST(e.n - coalesce(s.n,0) AS BIGINT) AS delta FROM e LEFT JOIN s ON s.ip=e.ip WHERE e.n - coalesce(s.n,0) > 0""",
 )
 def snapshot_delta(v):
-    even = F.col("run_ts") % 7200 == 0
-    return deltas.snapshot_delta(v.set_snapshots.filter(even), v.set_snapshots.filter(~even))
+    """The readings of the first half of the month against those of the second."""
+    early = F.col("run_ts") < HALF
+    return deltas.snapshot_delta(v.set_snapshots.filter(early), v.set_snapshots.filter(~early))
 
 
 @query(
@@ -136,19 +139,17 @@ def prune_ip_info(v):
 
 @query(
     "live_top5",
-    """WITH s AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts < 1706400000 AND run_ts >= 1706300000 GROUP BY ip),
-e AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts >= 1706400000 GROUP BY ip),
+    """WITH s AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts < 1705363200 GROUP BY ip),
+e AS (SELECT ip, sum(packets) AS n FROM fw_set_snapshots WHERE run_ts >= 1705363200 GROUP BY ip),
 d AS (SELECT e.ip, CAST(e.n - coalesce(s.n,0) AS BIGINT) AS delta FROM e LEFT JOIN s ON s.ip=e.ip WHERE e.n - coalesce(s.n,0) > 0 ORDER BY delta DESC, e.ip LIMIT 5)
 SELECT d.ip, d.delta, coalesce(i.country,'--') AS country, CASE WHEN delta > 100 THEN 'red' WHEN delta > 20 THEN 'yellow' ELSE 'green' END AS severity
 FROM d LEFT JOIN fw_ip_info i ON i.ip=d.ip""",
 )
 def live_top5(v):
-    ts = F.col("run_ts")
-    before = v.set_snapshots.filter((ts < 1706400000) & (ts >= 1706300000))
-    return reports.live_top5(before, v.set_snapshots.filter(ts >= 1706400000), v.ip_info)
+    early = F.col("run_ts") < HALF
+    return reports.live_top5(v.set_snapshots.filter(early), v.set_snapshots.filter(~early), v.ip_info)
 
 
-SVC = "tcp IN (1)"
 CLASSIFY = f"""{hits('fw_packets', 'fw_net_set', 'src')},
 o(base,rk) AS (VALUES ('FirewallBlock',0),('VPNBlock',1),('GeoBlock',2),('AutoBan',3),('Blacklist',4)),
 m AS (SELECT h.ip, bool_or(h.set_name LIKE 'FirewallWhite%') AS white, arg_min(h.set_name, rk) FILTER (rk IS NOT NULL) AS matched FROM h LEFT JOIN o ON o.base=regexp_replace(h.set_name,'6$','') GROUP BY h.ip),
@@ -205,12 +206,12 @@ def all_set_hits(v):
     return T.all_set_hits([one("trap"), one("geo"), one("manual")])
 
 
-@query("union_sources", "SELECT line FROM fw_blocklist_raw WHERE line <> '' UNION ALL SELECT line FROM fw_zone_lines")
+@query("union_sources", "SELECT line FROM fw_blocklist_raw UNION ALL SELECT line FROM fw_zone_lines")
 def union_sources(v):
     from dropscope.sources.store import scratch_dir
 
     path = scratch_dir(v.spark)
-    v.blocklist_raw.filter(F.col("line") != "").select("line").write.text(f"{path}/a")
+    v.blocklist_raw.select("line").write.text(f"{path}/a")
     v.zone_lines.select("line").write.text(f"{path}/b")
     return T.read_lines(v.spark, [f"{path}/a", f"{path}/b"]).select("line")
 
@@ -228,15 +229,13 @@ def distinct_nets(v):
 
 @query(
     "set_changes",
-    """SELECT coalesce(o.line,n.line) AS net, CASE WHEN o.line IS NULL THEN 'added' ELSE 'removed' END AS change
-FROM (SELECT DISTINCT line FROM fw_blocklist_raw WHERE line_no % 3 <> 0) o FULL JOIN (SELECT DISTINCT line FROM fw_blocklist_raw WHERE line_no % 4 <> 0) n ON o.line=n.line
-WHERE o.line IS NULL OR n.line IS NULL""",
+    f"""WITH {CLEAN4}, {CLEAN6}, o AS (SELECT net FROM c4 UNION SELECT net FROM c6), n AS (SELECT DISTINCT net FROM fw_net_set)
+SELECT coalesce(o.net,n.net) AS net, CASE WHEN o.net IS NULL THEN 'added' ELSE 'removed' END AS change FROM o FULL JOIN n ON o.net=n.net WHERE o.net IS NULL OR n.net IS NULL""",
 )
 def set_changes(v):
-    """Two versions of the raw list, each lacking other lines."""
-    rows = v.blocklist_raw.withColumnRenamed("line", "net")
-    old, new = rows.filter(F.col("line_no") % 3 != 0), rows.filter(F.col("line_no") % 4 != 0)
-    return netsets.set_changes(old, new)
+    """The cleaned lists as the old version, the loaded sets as the new one."""
+    old = T.ingest_blocklist(v.blocklist_raw, 4).unionByName(T.ingest_blocklist(v.blocklist_raw, 6))
+    return netsets.set_changes(old, v.net_set)
 
 
 RANGES = f"""{CLEAN4}, z AS (SELECT net FROM c4 UNION SELECT net FROM fw_net_set WHERE NOT contains(net,':') UNION SELECT concat('203.',k,'.0.0/16') FROM (SELECT DISTINCT p_size AS k FROM part) t

@@ -30,6 +30,22 @@ def parse_rule_counters(v):
     return X.parse_rule_counters(v.rule_lines)
 
 
+@query(
+    "first_match",
+    """SELECT run_ts, chain, s AS set_name, arg_min(p, line_no) AS packets FROM (SELECT run_ts, chain, line_no, regexp_extract(line,'match-set (\\w+)',1) AS s,
+ CAST(regexp_extract(line,'^\\s*(\\d+)',1) AS BIGINT) AS p FROM fw_rule_lines) t GROUP BY ALL""",
+)
+def first_match(v):
+    rows = v.rule_lines.select(
+        "run_ts",
+        "chain",
+        "line_no",
+        F.regexp_extract("line", r"match-set (\w+)", 1).alias("set_name"),
+        F.regexp_extract("line", r"^\s*(\d+)", 1).cast("long").alias("packets"),
+    )
+    return X.first_match(rows, ["run_ts", "chain", "set_name"], "packets")
+
+
 DUMP = rf"""WITH t(set_name,list_type) AS (VALUES {TAGS})
 SELECT d.set_name, regexp_extract(line,'^(\S+) .*packets (\d+) ',1) AS ip,
  CAST(regexp_extract(line,'^(\S+) .*packets (\d+) ',2) AS BIGINT) AS packets, list_type

@@ -142,6 +142,63 @@ def over_limit_opens(conns: DataFrame, config: Config, slot_seconds: int = 60) -
     return _with_limit(rows, config, "open").filter("over").select("conn_id", "src", "open")
 
 
+def nth_previous(rows: DataFrame, key: list[str], ts: str, tie: str, n: int, seconds: int) -> DataFrame:
+    """``rows`` plus ``nth``: time of the ``n``-th row before, where it lies at most ``seconds`` back.
+
+    Time is cut into slots of ``seconds``, so that row is in the same slot or among the last ``n`` of the
+    slot before; only those are copied over.
+    """
+    cols = [*key, ts, tie]
+    slotted = rows.withColumn("_slot", F.floor(F.col(ts) / (seconds * US)))
+    last = W.partitionBy(*key, "_slot").orderBy(F.col(ts).desc(), F.col(tie).desc())
+    tails = slotted.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n)
+    carried = tails.select(*cols, (F.col("_slot") + 1).alias("_slot"), F.lit(True).alias("_copy"))
+    both = slotted.select(*cols, "_slot", F.lit(False).alias("_copy")).unionByName(carried)
+    order = W.partitionBy(*key, "_slot").orderBy(ts, tie)
+    out = both.withColumn("nth", F.lag(ts, n).over(order)).filter(~F.col("_copy"))
+    near = F.col("nth") >= F.col(ts) - seconds * US
+    return out.select(*cols, F.when(near, F.col("nth")).alias("nth"))
+
+
+def bruteforce_bans(packets: DataFrame, config: Config, ts: str = "ts_us") -> DataFrame:
+    """Bans that brute force really opens: ``src, start_s, end_s``.
+
+    While a source is banned its connections are dropped before they are counted, so after a ban the count
+    starts anew: a hit opens the next ban only if the whole run of connections behind it came after the
+    ban's end. Ends fall on whole seconds, so of all hits whose run began in the same second only the first
+    can matter; that leaves one row per source and second to fold.
+    """
+    rows = protected(packets, config).select("pkt_id", "src", "proto", ts)
+    runs = nth_previous(rows, ["src", "proto"], ts, "pkt_id", config.brute_hits, config.brute_seconds)
+    hits = runs.filter(F.col("nth").isNotNull())
+    began, at = F.floor(F.col("nth") / US).alias("began"), F.floor(F.col(ts) / US)
+    firsts = hits.groupBy("src", began).agg(F.min(at).alias("ts"))
+    if config.ban_timeout == 0:
+        return firsts.groupBy("src").agg(F.min("ts").alias("start_s"), F.lit(None).cast("long").alias("end_s"))
+    ordered = firsts.repartition("src").sortWithinPartitions("src", "began")
+    timeout = config.ban_timeout
+    return ordered.mapInPandas(lambda b: _fold_runs(b, timeout), "src string, start_s long, end_s long")
+
+
+def _fold_runs(batches: Iterator[pd.DataFrame], timeout: int) -> Iterator[pd.DataFrame]:
+    """Ban starts over rows sorted by (src, began): the earliest hit whose run began after the last ban."""
+    current, free_from, best = None, None, None
+    for pdf in batches:
+        who, start = [], []
+        for src, began, ts in zip(pdf["src"], pdf["began"], pdf["ts"]):
+            if best is not None and (src != current or began > best):
+                who.append(current)
+                start.append(best)
+                free_from, best = best + timeout, None
+            if src != current:
+                current, free_from = src, None
+            if free_from is None or began >= free_from:
+                best = ts if best is None else min(best, ts)
+        yield pd.DataFrame({"src": who, "start_s": start, "end_s": [s + timeout for s in start]})
+    if best is not None:
+        yield pd.DataFrame({"src": [current], "start_s": [best], "end_s": [best + timeout]})
+
+
 def _fold_bans(batches: Iterator[pd.DataFrame], timeout: int) -> Iterator[pd.DataFrame]:
     """Greedy ban starts over rows sorted by (src, ts); keeps one source and one time between batches."""
     current, free_from = None, None
