@@ -1,8 +1,9 @@
 """Brute force, connection peaks and ban intervals.
 
-One source may send a third of all packets, so no window here is partitioned by source alone. Time is
-cut into slots; a window sees one source for one or two slots, and what a slot needs from the rest of
-history arrives as one pre-aggregated row per source and slot.
+One source may send a third of all packets, and a flood may put very many of them on one instant. So rows
+first become one weighted row per source and instant (combined on the map side), and no window spans a
+source's whole history: time is cut into slots, a window sees one source for one or two slots, and what a
+slot needs from the rest arrives as one row per source and slot.
 """
 
 from __future__ import annotations
@@ -20,22 +21,22 @@ from dropscope.config import DAY, Config
 US = 1000000
 
 
-def trailing_count(rows: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
-    """``rows`` plus ``recent``: rows of the same key in the ``seconds`` up to and including each row.
+def trailing_sum(instants: DataFrame, key: list[str], ts: str, n: str, seconds: int) -> DataFrame:
+    """``instants`` (unique per key and ``ts``) plus ``recent``: sum of ``n`` over the ``seconds`` up to and
+    including each instant.
 
-    The closed range [t - seconds, t] splits into the row's own second, the whole seconds between, and
+    The closed range [t - seconds, t] splits into the instant's own second, the whole seconds between, and
     the part of the second ``seconds`` earlier at or after the same offset. The first and last part come
-    from one window per (key, second), whose rows are one key's traffic of two seconds; the middle comes
-    from per-second totals.
+    from one window per (key, second), at most two million instants; the middle comes from per-second
+    totals, at most 2 * seconds of them.
     """
     sec = F.floor(F.col(ts) / US).cast("long")
-    base = rows.withColumn("_sec", sec)
+    base = instants.select(*key, ts, n)
 
-    # One total per key and second; windows over at most 2 * seconds of them.
-    totals = base.groupBy(*key, "_sec").agg(F.count("*").alias("_n"))
-    slots = totals.withColumn("_slot", F.floor(F.col("_sec") / seconds)).withColumn(
-        "_copy", F.explode(F.array(F.lit(0), F.lit(1)))
-    ).withColumn("_slot", F.col("_slot") + F.col("_copy"))
+    totals = base.groupBy(*key, sec.alias("_sec")).agg(F.sum(n).alias("_n"))
+    slots = totals.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "_slot", F.floor(F.col("_sec") / seconds) + F.col("_copy")
+    )
     span = W.partitionBy(*key, "_slot").orderBy("_sec").rangeBetween(-(seconds - 1), -1)
     middle = (
         slots.withColumn("_mid", F.coalesce(F.sum("_n").over(span), F.lit(0)))
@@ -44,20 +45,26 @@ def trailing_count(rows: DataFrame, key: list[str], ts: str, seconds: int) -> Da
     )
 
     # Own rows get even order numbers, rows of the second `seconds` earlier odd ones just above, so a
-    # running count up to an own row holds all own rows at or before it and only strictly earlier old ones.
-    offset = F.col(ts) - sec * US
-    both = rows.withColumn("_old", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_sec", sec + F.col("_old") * seconds
+    # running sum up to an own row holds all own rows at or before it and only strictly earlier old ones.
+    both = base.withColumn("_old", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        *key, ts, n, "_old", (sec + F.col("_old") * seconds).alias("_sec"), (F.pmod(ts, F.lit(US)) * 2 + F.col("_old")).alias("_ord")
     )
-    both = both.withColumn("_ord", offset * 2 + F.col("_old"))
     second = W.partitionBy(*key, "_sec")
     run = second.orderBy("_ord").rangeBetween(W.unboundedPreceding, 0)
-    own = F.sum(1 - F.col("_old")).over(run)
-    old_from_here = F.sum("_old").over(second) - F.sum("_old").over(run)
-    edges = both.withColumn("_edge", own + old_from_here).filter(F.col("_old") == 0)
-    return edges.join(middle, [*key, "_sec"]).select(
-        *rows.columns, (F.col("_edge") + F.col("_mid")).alias("recent")
-    )
+    own, old = F.col(n) * (1 - F.col("_old")), F.col(n) * F.col("_old")
+    edge = F.sum(own).over(run) + F.sum(old).over(second) - F.sum(old).over(run)
+    edges = both.withColumn("_edge", edge).filter(F.col("_old") == 0)
+    return edges.join(middle, [*key, "_sec"]).select(*key, ts, n, (F.col("_edge") + F.col("_mid")).alias("recent"))
+
+
+def trailing_count(
+    rows: DataFrame, key: list[str], ts: str, seconds: int, at_least: int = 1
+) -> DataFrame:
+    """``rows`` plus ``recent``: rows of the same key in the ``seconds`` up to and including each row, for
+    rows where that is ``at_least`` so many. Only the instants that qualify are joined back."""
+    instants = rows.groupBy(*key, ts).agg(F.count("*").alias("_w"))
+    found = trailing_sum(instants, key, ts, "_w", seconds).filter(F.col("recent") >= at_least)
+    return rows.join(found.select(*key, ts, "recent"), [*key, ts]).select(*rows.columns, "recent")
 
 
 def protected(packets: DataFrame, config: Config) -> DataFrame:
@@ -76,35 +83,39 @@ def bruteforce_hits(packets: DataFrame, config: Config, ts: str = "ts_us") -> Da
     ``hits`` counts the earlier connections of the same source and protocol, over all protected ports.
     """
     rows = protected(packets, config).select("pkt_id", "src", "proto", ts)
-    counted = trailing_count(rows, ["src", "proto"], ts, config.brute_seconds)
-    return counted.select("pkt_id", "src", "proto", ts, (F.col("recent") - 1).alias("hits")).filter(
-        F.col("hits") >= config.brute_hits
-    )
+    counted = trailing_count(rows, ["src", "proto"], ts, config.brute_seconds, config.brute_hits + 1)
+    return counted.select("pkt_id", "src", "proto", ts, (F.col("recent") - 1).alias("hits"))
 
 
-def _open_levels(conns: DataFrame, config: Config, slot_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """Events with the connections open inside their slot, and the level each (source, slot) starts at."""
+def _custom_port(conns: DataFrame, config: Config) -> Column:
     custom = F.lit(False)
     if "dport" in conns.columns:
         for proto, ports in (("tcp", config.bypass_conn_tcp), ("udp", config.bypass_conn_udp)):
             if ports:
                 custom = custom | ((F.col("proto") == proto) & F.col("dport").isin(*ports))
-    ev = F.explode(
-        F.array(
-            F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d")),
-            F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d")),
-        )
+    return F.when(custom, "custom").otherwise("default")
+
+
+def _open_levels(conns: DataFrame, config: Config, slot_seconds: int) -> DataFrame:
+    """Connections open at every instant something opens: ``src, t, port_class, open``."""
+    ends = F.array(
+        F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d"), _custom_port(conns, config).alias("c")),
+        F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d"), F.lit(None).cast("string").alias("c")),
     )
-    slot = F.floor(F.col("t") / (slot_seconds * US)).alias("slot")
-    events = conns.select("conn_id", "src", custom.alias("custom"), ev.alias("e")).select(
-        "conn_id", "src", "custom", "e.t", "e.d"
-    ).select("*", slot)
-    here = W.partitionBy("src", "slot").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
-    level = events.withColumn("open", F.sum("d").over(here))
+    events = conns.select("src", F.explode(ends).alias("e")).select("src", "e.t", "e.d", "e.c")
+    opened = lambda c: F.max(F.when(F.col("c") == c, F.lit(c)))
+    instants = events.groupBy("src", "t").agg(
+        F.sum("d").alias("d"), F.array_compact(F.array(opened("default"), opened("custom"))).alias("classes")
+    ).withColumn("slot", F.floor(F.col("t") / (slot_seconds * US)))
+    here = W.partitionBy("src", "slot").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    level = instants.withColumn("open", F.sum("d").over(here))
     # One row per source and slot.
-    nets = events.groupBy("src", "slot").agg(F.sum("d").alias("net"))
+    nets = instants.groupBy("src", "slot").agg(F.sum("d").alias("net"))
     before = F.sum("net").over(W.partitionBy("src").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
-    return level, nets.select("src", "slot", F.coalesce(before, F.lit(0)).alias("before"))
+    starts = nets.select("src", "slot", F.coalesce(before, F.lit(0)).alias("before"))
+    return level.join(starts, ["src", "slot"]).select(
+        "src", "t", F.explode("classes").alias("port_class"), (F.col("open") + F.col("before")).alias("open")
+    )
 
 
 def _with_limit(df: DataFrame, config: Config, value: str) -> DataFrame:
@@ -113,51 +124,44 @@ def _with_limit(df: DataFrame, config: Config, value: str) -> DataFrame:
     return df.withColumn("allowed", allowed).withColumn("over", (F.col(value) > F.col("allowed")) & ~unlimited)
 
 
-def peak_connections(conns: DataFrame, config: Config, slot_seconds: int = 60) -> DataFrame:
+def peak_connections(conns: DataFrame, config: Config, slot_seconds: int = 10) -> DataFrame:
     """Most connections a source held open at once, per port class: ``src, port_class, peak, allowed, over``.
 
     ``conns``: conn_id, src, start_us, end_us (exclusive) and optionally proto, dport. All open
     connections of a source count; the port of the connection being opened selects the limit (custom for
     bypass ports, where 0 means unlimited).
     """
-    level, starts = _open_levels(conns, config, slot_seconds)
-    port_class = F.when(F.col("custom"), "custom").otherwise("default").alias("port_class")
-    tops = level.filter(F.col("d") == 1).groupBy("src", "slot", port_class).agg(F.max("open").alias("open"))
-    peaks = tops.join(starts, ["src", "slot"]).groupBy("src", "port_class").agg(
-        F.max(F.col("open") + F.col("before")).alias("peak")
-    )
+    levels = _open_levels(conns, config, slot_seconds)
+    peaks = levels.groupBy("src", "port_class").agg(F.max("open").alias("peak"))
     return _with_limit(peaks, config, "peak")
 
 
-def over_limit_opens(conns: DataFrame, config: Config, slot_seconds: int = 60) -> DataFrame:
+def over_limit_opens(conns: DataFrame, config: Config, slot_seconds: int = 10) -> DataFrame:
     """Connections opened while their source was over its limit: ``conn_id, src, open``."""
-    level, starts = _open_levels(conns, config, slot_seconds)
-    rows = level.filter(F.col("d") == 1).join(starts, ["src", "slot"])
-    rows = rows.select(
-        "conn_id",
-        "src",
-        F.when(F.col("custom"), "custom").otherwise("default").alias("port_class"),
-        (F.col("open") + F.col("before")).alias("open"),
-    )
-    return _with_limit(rows, config, "open").filter("over").select("conn_id", "src", "open")
+    levels = _with_limit(_open_levels(conns, config, slot_seconds), config, "open").filter("over")
+    keyed = conns.select("conn_id", "src", F.col("start_us").alias("t"), _custom_port(conns, config).alias("port_class"))
+    return keyed.join(levels, ["src", "t", "port_class"]).select("conn_id", "src", "open")
 
 
-def nth_previous(rows: DataFrame, key: list[str], ts: str, tie: str, n: int, seconds: int) -> DataFrame:
-    """``rows`` plus ``nth``: time of the ``n``-th row before, where it lies at most ``seconds`` back.
+def nth_previous(rows: DataFrame, key: list[str], ts: str, n: int, seconds: int) -> DataFrame:
+    """Per key and instant, the times ``nth`` of the ``n``-th row before, where at most ``seconds`` back.
 
-    Time is cut into slots of ``seconds``, so that row is in the same slot or among the last ``n`` of the
-    slot before; only those are copied over.
+    Rows of one instant beyond ``n + 1`` have all their ``n`` predecessors on that instant and are
+    predecessors in no other way than the ones kept, so an instant needs no more than ``n + 1`` rows. Time
+    is cut into slots of ``seconds``: the row looked for is in the same slot or among the last ``n`` of the
+    slot before, which are copied over.
     """
-    cols = [*key, ts, tie]
-    slotted = rows.withColumn("_slot", F.floor(F.col(ts) / (seconds * US)))
-    last = W.partitionBy(*key, "_slot").orderBy(F.col(ts).desc(), F.col(tie).desc())
+    instants = rows.groupBy(*key, ts).agg(F.least(F.count("*"), F.lit(n + 1)).cast("int").alias("_c"))
+    each = instants.select(*key, ts, F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_i"))
+    slotted = each.withColumn("_slot", F.floor(F.col(ts) / (seconds * US)))
+    cols = [*key, ts, "_i"]
+    last = W.partitionBy(*key, "_slot").orderBy(F.col(ts).desc(), F.col("_i").desc())
     tails = slotted.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n)
     carried = tails.select(*cols, (F.col("_slot") + 1).alias("_slot"), F.lit(True).alias("_copy"))
     both = slotted.select(*cols, "_slot", F.lit(False).alias("_copy")).unionByName(carried)
-    order = W.partitionBy(*key, "_slot").orderBy(ts, tie)
+    order = W.partitionBy(*key, "_slot").orderBy(ts, "_i")
     out = both.withColumn("nth", F.lag(ts, n).over(order)).filter(~F.col("_copy"))
-    near = F.col("nth") >= F.col(ts) - seconds * US
-    return out.select(*cols, F.when(near, F.col("nth")).alias("nth"))
+    return out.filter(F.col("nth") >= F.col(ts) - seconds * US).select(*key, ts, "nth")
 
 
 def bruteforce_bans(packets: DataFrame, config: Config, ts: str = "ts_us") -> DataFrame:
@@ -168,9 +172,8 @@ def bruteforce_bans(packets: DataFrame, config: Config, ts: str = "ts_us") -> Da
     ban's end. Ends fall on whole seconds, so of all hits whose run began in the same second only the first
     can matter; that leaves one row per source and second to fold.
     """
-    rows = protected(packets, config).select("pkt_id", "src", "proto", ts)
-    runs = nth_previous(rows, ["src", "proto"], ts, "pkt_id", config.brute_hits, config.brute_seconds)
-    hits = runs.filter(F.col("nth").isNotNull())
+    rows = protected(packets, config).select("src", "proto", ts)
+    hits = nth_previous(rows, ["src", "proto"], ts, config.brute_hits, config.brute_seconds)
     began, at = F.floor(F.col("nth") / US).alias("began"), F.floor(F.col(ts) / US)
     firsts = hits.groupBy("src", began).agg(F.min(at).alias("ts"))
     if config.ban_timeout == 0:

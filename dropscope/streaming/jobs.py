@@ -128,9 +128,11 @@ def stream_bruteforce(packets: DataFrame, config: Config, out: str, checkpoint:
         old = recent.before(batch.sparkSession, batch_id).withColumn("_carried", F.lit(True))
         new = detect.protected(batch, config).select(*names).withColumn("_carried", F.lit(False))
         both = old.unionByName(new)
-        counted = detect.trailing_count(both, ["src", "proto"], "ts_us", config.brute_seconds)
+        counted = detect.trailing_count(
+            both, ["src", "proto"], "ts_us", config.brute_seconds, config.brute_hits + 1
+        )
         hits = counted.withColumn("hits", F.col("recent") - 1)
-        _emit(hits.filter(~F.col("_carried") & (F.col("hits") >= config.brute_hits)).select(*names, "hits"), out, batch_id)
+        _emit(hits.filter(~F.col("_carried")).select(*names, "hits"), out, batch_id)
         top = both.agg(F.max("ts_us")).first()[0] or 0  # one number
         keep = both.filter(F.col("ts_us") >= top - config.brute_seconds * detect.US)
         recent.save(keep.select(*names), batch_id)

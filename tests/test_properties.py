@@ -246,3 +246,26 @@ def test_single_scan_candidates_equal_the_class_queries(spark):
     for kind, df in (("net", abuse.abuse_subnets(facts, now)), ("geo", abuse.abuse_geo(facts, now))):
         want |= {(kind, r.ip, r.total, r.ports) for r in df.collect()}
     assert got == want
+
+
+def test_bruteforce_bans_restart_the_count(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(2500):
+        src = "hot" if rng.random() < 0.4 else f"s{rng.randrange(12)}"
+        us = rng.randrange(0, 1500) * 1000000 + rng.choice([0, 0, 0, 1, 400000])
+        rows.append((i, src, rng.choice(["tcp", "udp"]), rng.choice([22, 443, 53, 51515, 9]), "NEW" if rng.random() < 0.95 else "ESTABLISHED", us))
+    cfg = Config(brute_hits=4, brute_seconds=30, ban_timeout=45, tcp_services=(22, 443), udp_services=(53, 51515))
+    df = spark.createDataFrame(rows, "pkt_id long, src string, proto string, dport int, state string, ts_us long")
+    want, seen, until = set(), defaultdict(list), {}
+    for i, src, proto, port, state, us in sorted(rows, key=lambda r: (r[5], r[0])):
+        ok = port in (cfg.tcp_services if proto == "tcp" else cfg.udp_services)
+        if state != "NEW" or not ok or us < until.get(src, 0):
+            continue
+        if sum(us - 30000000 <= t for t in seen[(src, proto)]) >= 4:
+            want.add((src, us // 1000000))
+            until[src] = (us // 1000000 + 45) * 1000000
+        else:
+            seen[(src, proto)].append(us)
+    got = {(r.src, r.start_s) for r in detect.bruteforce_bans(df, cfg).collect()}
+    assert len(want) > 10 and got == want
