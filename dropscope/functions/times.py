@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 GRAINS = {"hourly": "HH':00'", "daily": "dd-MM-yyyy", "monthly": "MM-yyyy", "yearly": "yyyy"}
 
 
+def floor_div(value: Column | str, n: int) -> Column:
+    """Whole number of ``n`` at or below ``value``, in integer arithmetic."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.call_function("div", value - F.pmod(value, F.lit(n)), F.lit(n))
+
+
 def bucket_label(ts: Column, grain: str) -> Column:
     return F.date_format(F.timestamp_seconds(ts), GRAINS[grain])
 

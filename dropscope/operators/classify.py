@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dropscope.config import Config
 from dropscope.functions import ip as IP
+from dropscope.functions.times import floor_div
 from dropscope.operators.netsets import matches
 
 # Order in which the block sets are consulted.
@@ -152,4 +153,4 @@ def classify_packets(
 
 def offences(classified: DataFrame, ts: str = "ts_us") -> DataFrame:
     """Packets that open a ban, in whole seconds: the input of ``ban_intervals``."""
-    return classified.filter(F.col("ban")).select("src", F.floor(F.col(ts) / 1000000).alias("ts"))
+    return classified.filter(F.col("ban")).select("src", floor_div(ts, 1000000).alias("ts"))

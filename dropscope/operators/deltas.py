@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from dropscope.functions import ip as IP
 from dropscope.functions.text import signed
+from dropscope.functions.times import floor_div
 
 CHUNK = 86400
 
 
 def previous_value(df: DataFrame, key: list[str], order: str, value: str, chunk: int = CHUNK) -> DataFrame:
     """``df`` plus ``prev``: the value of the row before, per key in ``order``; null for the first row."""
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    rows = df.withColumn("_chunk", floor_div(order, chunk))
     tails = rows.groupBy(*key, "_chunk").agg(F.max_by(value, order).alias("_last"))
     lag = F.lag("_last").over(W.partitionBy(*key).orderBy("_chunk"))
     carry = tails.select(*[F.col(c).alias(f"_k_{c}") for c in key], F.col("_chunk").alias("_k_chunk"), lag.alias("_carry"))
@@ -120,7 +121,7 @@ def geo_total_trend(history: DataFrame, order: str = "run_ts") -> DataFrame:
 def vpn_trend(ban_events: DataFrame, order: str = "run_ts") -> DataFrame:
     """Running sum of new bans per run, signed. One row per run reaches the window."""
     runs = ban_events.groupBy(order).agg(F.sum("n").alias("new"))
-    rows = runs.withColumn("_chunk", F.floor(F.col(order) / CHUNK))
+    rows = runs.withColumn("_chunk", floor_div(order, CHUNK))
     days = rows.groupBy("_chunk").agg(F.sum("new").alias("_day"))
     before = days.select(
         "_chunk",

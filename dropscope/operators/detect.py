@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dropscope.config import DAY, Config
+from dropscope.functions.times import floor_div
 
 US = 1000000
 
@@ -30,12 +31,12 @@ def trailing_sum(instants: DataFrame, key: list[str], ts: str, n: str, seconds:
     from one window per (key, second), at most two million instants; the middle comes from per-second
     totals, at most 2 * seconds of them.
     """
-    sec = F.floor(F.col(ts) / US).cast("long")
+    sec = floor_div(ts, US)
     base = instants.select(*key, ts, n)
 
     totals = base.groupBy(*key, sec.alias("_sec")).agg(F.sum(n).alias("_n"))
     slots = totals.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_slot", F.floor(F.col("_sec") / seconds) + F.col("_copy")
+        "_slot", floor_div("_sec", seconds) + F.col("_copy")
     )
     span = W.partitionBy(*key, "_slot").orderBy("_sec").rangeBetween(-(seconds - 1), -1)
     middle = (
@@ -106,7 +107,7 @@ def _open_levels(conns: DataFrame, config: Config, slot_seconds: int) -> DataFra
     opened = lambda c: F.max(F.when(F.col("c") == c, F.lit(c)))
     instants = events.groupBy("src", "t").agg(
         F.sum("d").alias("d"), F.array_compact(F.array(opened("default"), opened("custom"))).alias("classes")
-    ).withColumn("slot", F.floor(F.col("t") / (slot_seconds * US)))
+    ).withColumn("slot", floor_div("t", slot_seconds * US))
     here = W.partitionBy("src", "slot").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     level = instants.withColumn("open", F.sum("d").over(here))
     # One row per source and slot.
@@ -153,7 +154,7 @@ def nth_previous(rows: DataFrame, key: list[str], ts: str, n: int, seconds: int)
     """
     instants = rows.groupBy(*key, ts).agg(F.least(F.count("*"), F.lit(n + 1)).cast("int").alias("_c"))
     each = instants.select(*key, ts, F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("_i"))
-    slotted = each.withColumn("_slot", F.floor(F.col(ts) / (seconds * US)))
+    slotted = each.withColumn("_slot", floor_div(ts, seconds * US))
     cols = [*key, ts, "_i"]
     last = W.partitionBy(*key, "_slot").orderBy(F.col(ts).desc(), F.col("_i").desc())
     tails = slotted.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n)
@@ -174,7 +175,7 @@ def bruteforce_bans(packets: DataFrame, config: Config, ts: str = "ts_us") -> Da
     """
     rows = protected(packets, config).select("src", "proto", ts)
     hits = nth_previous(rows, ["src", "proto"], ts, config.brute_hits, config.brute_seconds)
-    began, at = F.floor(F.col("nth") / US).alias("began"), F.floor(F.col(ts) / US)
+    began, at = floor_div("nth", US).alias("began"), floor_div(ts, US)
     firsts = hits.groupBy("src", began).agg(F.min(at).alias("ts"))
     if config.ban_timeout == 0:
         return firsts.groupBy("src").agg(F.min("ts").alias("start_s"), F.lit(None).cast("long").alias("end_s"))

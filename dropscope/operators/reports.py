@@ -15,7 +15,7 @@ from dropscope.config import WINDOWS
 from dropscope.functions import ip as IP
 from dropscope.functions import ports as P
 from dropscope.functions.text import list_badge, risk_band
-from dropscope.functions.times import _prune, bucket_label, in_window, series_start
+from dropscope.functions.times import _prune, bucket_label, floor_div, in_window, series_start
 
 # The columns of a series and the lists each one adds up.
 SERIES_COLUMNS = {
@@ -57,7 +57,7 @@ def condense(drops: DataFrame, as_of: int) -> DataFrame:
     flags = []
     for grain in ("hourly", "daily", "monthly"):
         flags.append((F.col("timestamp") >= series_start(grain, as_of)).alias(f"_{grain}"))
-    slot = F.floor(F.col("timestamp") / QUARTER).alias("_slot")
+    slot = floor_div("timestamp", QUARTER).alias("_slot")
     out = drops.groupBy(slot, "list_name", *flags).agg(
         F.sum("count").alias("count"), F.max("timestamp").alias("timestamp")
     )
@@ -83,7 +83,7 @@ def _series_aggs(value: str = "count") -> list[Column]:
 def _by_label(rows: DataFrame, grain: str) -> DataFrame:
     """Sums per time label. Rows are first summed per quarter hour, an integer key, so text labels are
     only formatted for one row per slot."""
-    slots = rows.groupBy(F.floor(F.col("timestamp") / QUARTER).alias("_slot")).agg(
+    slots = rows.groupBy(floor_div("timestamp", QUARTER).alias("_slot")).agg(
         *_series_aggs(), F.max("timestamp").alias("newest")
     )
     again = [F.sum(c).alias(c) for c in [*SERIES_COLUMNS, "total"]]
@@ -122,7 +122,7 @@ def avg_per_bucket(drops: DataFrame, grain: str, as_of: int) -> DataFrame:
 def window_totals(ip_drops: DataFrame, as_of: int) -> DataFrame:
     """One scan, one shuffle: a row per (ip, list_type) with its sum in every trailing window."""
     sums = [_window_sum(as_of, s).alias(w) for w, s in WINDOWS.items()]
-    return ip_drops.groupBy("ip", "list_type").agg(*sums)
+    return ip_drops.filter(F.col("ip").isNotNull()).groupBy("ip", "list_type").agg(*sums)
 
 
 def _long_form(totals: DataFrame, keep: list[str]) -> DataFrame:
@@ -139,18 +139,22 @@ def top_ips(ip_drops: DataFrame, as_of: int, n: int = 10, totals: DataFrame | No
         .when(F.col("list_type") == "geo", "geo")
     )
     families = F.array_compact(F.array(kind, F.when(IP.is_v6("ip"), F.lit("ipv6"))))
-    rows = _long_form(totals.withColumn("family", F.explode(families)), ["family", "ip", "list_type"])
+    # The outer form and the null test after it keep the scan below identical for every user of the totals.
+    rows = totals.withColumn("family", F.explode_outer(families)).filter(F.col("family").isNotNull())
+    rows = _long_form(rows, ["family", "ip", "list_type"])
     per_ip = rows.groupBy("family", "window", "ip").agg(
         F.sum("total").alias("total"), F.max("list_type").alias("list_type")
     )
-    return top_n_per(per_ip, ["family", "window"], "total", ["ip"], n)
+    # list_type decides no tie; naming it keeps the aggregate whole where only some columns are read.
+    return top_n_per(per_ip, ["family", "window"], "total", ["ip", "list_type"], n)
 
 
 def top_ips_enriched(ip_drops: DataFrame, ip_info: DataFrame, where: Column | None = None, n: int = 10) -> DataFrame:
     """Top sources of a selection with their known details: aggregate and cut first, join ``n`` rows after."""
     rows = ip_drops if where is None else ip_drops.filter(where)
     per_ip = rows.groupBy("ip").agg(F.sum("count").alias("total"), F.max("list_type").alias("list_type"))
-    top = top_n(per_ip, "total", ["ip"], n).withColumn("info_ip", IP.strip_prefix("ip"))
+    # list_type decides no tie; naming it lets both uses of the list share one scan and shuffle.
+    top = top_n(per_ip, "total", ["ip", "list_type"], n).withColumn("info_ip", IP.strip_prefix("ip"))
     return attach_info(top, ip_info, n)
 
 
@@ -174,13 +178,14 @@ def attach_port(ip_drops: DataFrame, ip_info: DataFrame) -> DataFrame:
     return ip_drops.join(info, "ip", "inner")
 
 
-def port_totals(ip_drops: DataFrame, ip_info: DataFrame, as_of: int) -> DataFrame:
-    """One row per address and window with its port label; facts are summed before the join."""
-    sums = [_window_sum(as_of, s).alias(w) for w, s in WINDOWS.items()]
-    per_ip = ip_drops.groupBy("ip").agg(*sums)
+def port_totals(totals: DataFrame, ip_info: DataFrame) -> DataFrame:
+    """One row per address and window with its port label, from ``window_totals``.
+
+    Facts are summed before the join, so its key is unique on the details side and nearly so on the other.
+    """
     info = ip_info.filter(F.col("target_port") > 0)
-    rows = attach_port(per_ip, info).withColumn("full_port", P.port_label("target_port", "port_history"))
-    return _long_form(rows, ["ip", "target_port", "port_history", "full_port"])
+    rows = _long_form(totals, ["ip", "list_type"]).groupBy("ip", "window").agg(F.sum("total").alias("total"))
+    return attach_port(rows, info).withColumn("full_port", P.port_label("target_port", "port_history"))
 
 
 def _port_tables(per_ip: DataFrame, n: int, shown: int) -> DataFrame:
@@ -206,9 +211,12 @@ def _port_tables(per_ip: DataFrame, n: int, shown: int) -> DataFrame:
     )
 
 
-def port_stats(ip_drops: DataFrame, ip_info: DataFrame, as_of: int, n: int = 10, shown: int = 3) -> DataFrame:
+def port_stats(
+    ip_drops: DataFrame, ip_info: DataFrame, as_of: int, n: int = 10, shown: int = 3, totals: DataFrame | None = None
+) -> DataFrame:
     """Top ports for every window: distinct addresses, hits, a short list of addresses."""
-    return _port_tables(port_totals(ip_drops, ip_info, as_of), n, shown)
+    totals = window_totals(ip_drops, as_of) if totals is None else totals
+    return _port_tables(port_totals(totals, ip_info), n, shown)
 
 
 def honeypot_filter(df: DataFrame, tcp: tuple[int, ...], udp: tuple[int, ...]) -> DataFrame:
@@ -217,18 +225,26 @@ def honeypot_filter(df: DataFrame, tcp: tuple[int, ...], udp: tuple[int, ...]) -
 
 
 def bruteforce_stats(
-    ip_drops: DataFrame, ip_info: DataFrame, tcp: tuple[int, ...], udp: tuple[int, ...], as_of: int, n: int = 10
+    ip_drops: DataFrame,
+    ip_info: DataFrame,
+    tcp: tuple[int, ...],
+    udp: tuple[int, ...],
+    as_of: int,
+    n: int = 10,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """Port tables restricted to trap hits on service ports."""
-    trap = ip_drops.filter(F.col("list_type") == "trap")
-    info = honeypot_filter(ip_info, tcp, udp)
-    return _port_tables(port_totals(trap, info, as_of), n, 3)
+    trap = F.col("list_type") == "trap"
+    if totals is None:
+        totals = window_totals(ip_drops.filter(trap), as_of)
+    return _port_tables(port_totals(totals.filter(trap), honeypot_filter(ip_info, tcp, udp)), n, 3)
 
 
 def port_ip_lists(ip_drops: DataFrame, ip_info: DataFrame, as_of: int, n: int = 10) -> DataFrame:
     """Full address list of every reported port: ``window, port, proto, ip``."""
-    per_ip = port_totals(ip_drops, ip_info, as_of)
+    per_ip = port_totals(window_totals(ip_drops, as_of), ip_info)
     tables = per_ip.groupBy("window", "full_port").agg(F.sum("total").alias("total"))
+    # At most n rows per window.
     reported = F.broadcast(top_n_per(tables, ["window"], "total", ["full_port"], n).select("window", "full_port"))
     return per_ip.join(reported, ["window", "full_port"], "left_semi").select(
         "window",

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dropscope.config import DAY
 from dropscope.functions import ip as IP
 from dropscope.functions.times import day_floor
-from dropscope.operators.reports import top_n
+from dropscope.operators.reports import top_n_per
 
 NOON = 43200
 
@@ -48,8 +46,8 @@ def vip_ips(ip_drops: DataFrame, as_of: int, n: int = 15) -> DataFrame:
     sums = ip_drops.groupBy("ip").agg(
         F.sum("count").alias("all"), since(365 * DAY).alias("1y"), since(30 * DAY).alias("30d")
     )
-    tops = [top_n(sums.filter(F.col(c).isNotNull()), c, ["ip"], n).select("ip") for c in ("all", "1y", "30d")]
-    return reduce(DataFrame.unionByName, tops).distinct()
+    rows = sums.unpivot(["ip"], ["all", "1y", "30d"], "window", "total").filter(F.col("total").isNotNull())
+    return top_n_per(rows, ["window"], "total", ["ip"], n).select("ip").distinct()
 
 
 def not_vip(ip_drops: DataFrame, vip: DataFrame) -> DataFrame:

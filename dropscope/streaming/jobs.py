@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from dropscope.config import Config
+from dropscope.functions.times import floor_div
 from dropscope.operators import deltas, detect, flows, netsets, reports
 from dropscope.operators.reports import SERIES_COLUMNS
 from dropscope.sources import store as S
@@ -191,7 +192,7 @@ def stream_log_scan(lines: DataFrame, net_set: DataFrame, out: str, checkpoint:
 
 def live_offences(hits: DataFrame) -> DataFrame:
     """Brute-force hits as ban offences."""
-    return hits.select("src", F.floor(F.col("ts_us") / detect.US).alias("ts"))
+    return hits.select("src", floor_div("ts_us", detect.US).alias("ts"))
 
 
 def current_sets(spark: SparkSession, store: str, name: str) -> DataFrame | None:
