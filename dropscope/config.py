@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from dropscope.functions.ports import toggle_port
@@ -33,6 +34,33 @@ WINDOWS = {"24h": 86400, "30d": 2592000, "1y": 31536000, "all": None}
 
 DAY = 86400
 
+# Keys of a settings file and the field each one fills.
+TEXT_KEYS = {
+    "ENABLE_FIREWALL": "enabled",
+    "ENABLE_IPV6": "ipv6",
+    "ENABLE_AUTOBAN": "autoban",
+    "ENABLE_MANUAL": "manual",
+    "ENABLE_CONNLIMIT": "connlimit",
+    "ENABLE_BRUTEFORCE": "bruteforce",
+    "ENABLE_FWD_PROTECTION": "forward_protection",
+    "TCP_SERVICES": "tcp_services",
+    "UDP_SERVICES": "udp_services",
+    "TCP_PASSIVE_RANGE": "tcp_passive_range",
+    "BYPASS_CONN_TCP": "bypass_conn_tcp",
+    "BYPASS_CONN_UDP": "bypass_conn_udp",
+    "BYPASS_BRUTE_TCP": "bypass_brute_tcp",
+    "BYPASS_BRUTE_UDP": "bypass_brute_udp",
+    "CONNLIMIT_MAX": "conn_limit",
+    "CONNLIMIT_CUSTOM": "conn_limit_custom",
+    "BF_SECONDS": "brute_seconds",
+    "BF_HITCOUNT": "brute_hits",
+    "BAN_TIMEOUT": "ban_timeout",
+    "REPORT_COOLDOWN": "report_cooldown",
+    "SOURCES_V4": "sources_v4",
+    "SOURCES_V6": "sources_v6",
+    "BANNED_COUNTRIES": "banned_countries",
+}
+
 
 @dataclass(frozen=True)
 class Config:
@@ -62,6 +90,28 @@ class Config:
     sources_v6: tuple[str, ...] = ()
     banned_countries: tuple[str, ...] = ()
 
+    @classmethod
+    def from_text(cls, text: str) -> "Config":
+        """Settings from ``KEY="value"`` lines; keys not named in ``TEXT_KEYS`` are ignored."""
+        found = dict(re.findall(r'^\s*([A-Z0-9_]+)="([^"]*)"', text, flags=re.M))
+        values: dict[str, object] = {}
+        for key, field in TEXT_KEYS.items():
+            if key not in found:
+                continue
+            raw, now = found[key].strip(), getattr(cls(), field)
+            if isinstance(now, bool):
+                values[field] = raw == "true"
+            elif isinstance(now, int):
+                values[field] = int(raw) if raw.isdigit() else now
+            elif field == "tcp_passive_range":
+                lo, _, hi = raw.partition(":")
+                values[field] = (int(lo), int(hi or lo)) if lo.isdigit() else None
+            elif field in ("sources_v4", "sources_v6", "banned_countries"):
+                values[field] = tuple(raw.split())
+            else:
+                values[field] = tuple(int(p) for p in raw.split() if p.isdigit())
+        return cls(**values)
+
     def services(self, proto: str) -> tuple[int, ...]:
         return self.tcp_services if proto == "tcp" else self.udp_services
 
