@@ -72,7 +72,7 @@ class Config:
     manual: bool = True
     connlimit: bool = True
     bruteforce: bool = True
-    forward_protection: bool = True
+    forward_protection: bool = False
     tcp_services: tuple[int, ...] = (22, 443)
     udp_services: tuple[int, ...] = (53, 51515)
     tcp_passive_range: tuple[int, int] | None = None

@@ -113,7 +113,7 @@ def classify_packets(
 
     ``over_limit`` (conn_id = pkt_id) and ``brute`` (pkt_id) are results of the detectors; packets to a
     service port named there are dropped before the service rule lets them pass. ``ban`` marks packets whose source
-    would be added to the dynamic set: trapped and brute-force packets.
+    is added to the dynamic set: brute-force packets always, trapped ones while automatic bans are on.
     """
     if not config.enabled:
         off = {"verdict": "pass", "reason": "disabled"}
@@ -148,7 +148,8 @@ def classify_packets(
         reason.alias("reason"),
         F.when(reason == "set", F.col("matched_set")).alias("matched_set"),
     )
-    return out.withColumn("ban", F.col("reason").isin("trap", "bruteforce"))
+    bans = ["trap", "bruteforce"] if config.autoban else ["bruteforce"]
+    return out.withColumn("ban", F.col("reason").isin(*bans))
 
 
 def offences(classified: DataFrame, ts: str = "ts_us") -> DataFrame:
