@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import plen, query, v4num, v6hex
-from catalog.sources import BOGON, CLEAN4, CLEAN6
+from catalog.sources import BOGON
 from catalog.views import AS_OF
 from dropscope.config import Config
 from dropscope.functions import ip as IP
@@ -252,6 +252,3 @@ def active_history(v):
     from dropscope.operators.flows import active_history as op
 
     return op(v.packets.select(F.col("src").alias("ip")), v.ip_info)
-
-
-__all__ = ["CLEAN4", "CLEAN6"]

@@ -15,7 +15,7 @@ from dropscope.config import WINDOWS
 from dropscope.functions import ip as IP
 from dropscope.functions import ports as P
 from dropscope.functions.text import list_badge, risk_band
-from dropscope.functions.times import _prune, bucket_label, floor_div, in_window, series_start
+from dropscope.functions.times import _prune, bucket_label, floor_div, series_start
 
 # The columns of a series and the lists each one adds up.
 SERIES_COLUMNS = {
@@ -274,7 +274,3 @@ def with_country(top: DataFrame, ip_info: DataFrame) -> DataFrame:
 def tail_packets(lines: DataFrame, order: str = "pkt_id", n: int = 1000) -> DataFrame:
     """The last ``n`` capture lines in capture order."""
     return lines.orderBy(F.col(order).desc()).limit(n).orderBy(order)
-
-
-def recent_hits(ip_drops: DataFrame, as_of: int, seconds: int | None) -> DataFrame:
-    return in_window(ip_drops, as_of, seconds)

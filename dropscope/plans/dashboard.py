@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from dropscope.config import WINDOWS, Config
 from dropscope.functions import ip as IP
-from dropscope.functions.text import list_badge, risk_band
 from dropscope.functions.ports import preview
 from dropscope.operators import reports as R
-from dropscope.operators.deltas import set_sizes, set_trend
+from dropscope.operators.deltas import set_trend
 
 GRAINS = ("hourly", "daily", "monthly", "yearly")
 
