@@ -160,9 +160,9 @@ def top_ips_enriched(ip_drops: DataFrame, ip_info: DataFrame, where: Column | No
 
 def attach_info(top: DataFrame, ip_info: DataFrame, n: int) -> DataFrame:
     """Details for at most ``n`` rows per table: the cut list is the broadcast side, the dimension is only scanned."""
-    top = F.broadcast(top)  # at most n rows per table by construction
     info = ip_info.select(F.col("ip").alias("_ip"), "country", "risk", "domain", "target_port", "port_history")
-    known = info.join(top.select(F.col("info_ip").alias("_ip")).distinct(), "_ip", "left_semi")
+    wanted = F.broadcast(top.select(F.col("info_ip").alias("_ip")).distinct())  # at most n rows
+    known = info.join(wanted, "_ip", "left_semi")
     return (
         top.join(known, F.col("info_ip") == F.col("_ip"), "left")
         .drop("_ip", "info_ip")
@@ -265,8 +265,9 @@ def live_top5(baseline: DataFrame, current: DataFrame, ip_info: DataFrame, n: in
 
 def with_country(top: DataFrame, ip_info: DataFrame) -> DataFrame:
     """Country of a short list of addresses, ``--`` when unknown. ``top`` must be a cut list."""
-    keyed = F.broadcast(top.withColumn("_ip", IP.strip_prefix("ip")))
-    info = ip_info.select(F.col("ip").alias("_ip"), "country").join(keyed.select("_ip").distinct(), "_ip", "left_semi")
+    keyed = top.withColumn("_ip", IP.strip_prefix("ip"))
+    wanted = F.broadcast(keyed.select("_ip").distinct())
+    info = ip_info.select(F.col("ip").alias("_ip"), "country").join(wanted, "_ip", "left_semi")
     country = F.coalesce(F.when(F.col("country") != "", F.col("country")), F.lit("--"))
     return keyed.join(info, "_ip", "left").withColumn("country", country).drop("_ip")
 
