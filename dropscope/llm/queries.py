@@ -177,3 +177,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = dedup(_table(spark, sf_dir, "documents"))
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     return cut.select("row.doc_id", "n_lines", "n_removed", kept)
+
+
+@_query("op10_counterfactual_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.toxicity import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(
+    "op5_warc_index",
+    r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html,'')) AS n, sha1(coalesce(html,'')) AS d FROM pages),
+m AS (SELECT d, n, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1, 2)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last > page_id THEN last END AS refers_to FROM p LEFT JOIN m USING (d, n)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.warc import archive
+
+    indexed = archive(_table(spark, sf_dir, "pages"))
+    return indexed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
