@@ -199,3 +199,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     indexed = archive(_table(spark, sf_dir, "pages"))
     return indexed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query(
+    "op3_nn_descent_near_dedup",
+    r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(vec_id, m) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.m FROM r JOIN p ON p.a = r.vec_id WHERE r.m < p.b),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.neighbours import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), link=0.98)
