@@ -139,24 +139,17 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``row`` (all columns), ``n_lines``, ``n_removed`` and ``kept_text`` (remaining lines joined by newlines)."""
     joined = _keyed(docs).join(removals(docs), ["id0", "row_key"], "left")
-    parts = F.split("row.text", "\n")
+    joined = joined.select("row", "gone", F.split("row.text", "\n").alias("parts"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
+    left = F.array_join(F.transform(places, lambda p: F.get(F.col("parts"), p)), "\n")
     return joined.select(
         "row",
-        F.coalesce(F.size(parts), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("parts"), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_without(parts, F.col("gone"))).alias("kept_text"),
+        F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("kept_text"),
     )
 
 
-def _without(parts: Column, gone: Column) -> Column:
-    """Lines not in ``gone``: both lists are in order of line number, so stretches between marks are cut out and joined."""
-    marks = F.sort_array(gone)
-    starts = F.concat(F.array(F.lit(0)), F.transform(marks, lambda p: p + 1))
-    ends = F.concat(marks, F.array(F.size(parts)))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.slice(parts, a + 1, b - a))
-    return F.array_join(F.flatten(pieces), "\n")
-
-
 def filter_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the kept text, ``n_chars`` set anew where there is such a column; documents that lose their last line with a word go."""
     cut = dedup(docs)

@@ -23,52 +23,58 @@ from pyspark.sql import functions as F
 from dropscope.llm.common import GAPS, keep, words
 
 SYMBOLS = "#*$%&|<>"  # fixed value
-WINDOW = 8
+WINDOW = 8  # words; runs of this length are built by doubling
 
 
-def _repeated(w: Column, width: int) -> Column:
-    """Words covered by windows of ``width`` words found twice or more in the array ``w``.
+def _ahead(array: str, k: int) -> Column:
+    return F.slice(array, k + 1, F.greatest(F.size(array) - k, F.lit(0)))
 
-    Windows are first compared by hashes, built by doubling in three passes. Only a text with equal hashes has its
-    windows written out, sorted and compared as text, so the count is exact.
-    """
-    shift = lambda a, k: F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
-    hashed = F.transform(w, lambda x: F.xxhash64(x))
+
+def _runs(rows: DataFrame, array: str, combine) -> DataFrame:
+    """``array`` of words (or their hashes) turned into runs of 2, 4, 8 of them, each step in a projection of its own."""
     for k in (1, 2, 4):
-        hashed = F.zip_with(F.slice(hashed, 1, F.greatest(F.size(hashed) - k, F.lit(0))), shift(hashed, k), lambda a, b: F.xxhash64(a, b))
-    n = F.size(w) - width + 1
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    windows = F.sort_array(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(w, i, width), " ").alias("t"), i.alias("i"))))
-    follows = F.zip_with(windows, shift(windows, 1), lambda a, b: F.coalesce(a["t"] == b["t"], F.lit(False)))
-    twice = F.zip_with(
-        windows,
-        F.zip_with(follows, F.concat(F.array(F.lit(False)), follows), lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False))),
-        lambda x, hit: F.when(hit, x["i"]),
-    )
-    at = F.sort_array(F.array_compact(twice))
-    covered = F.aggregate(
-        F.zip_with(at, shift(at, 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(width)), F.lit(width))),
-        F.lit(0),
-        lambda s, x: s + x,
-    )
-    differ = F.size(F.array_distinct(hashed)) == n
-    return F.when(n < 2, 0).when(differ, 0).otherwise(covered)
+        first = F.slice(array, 1, F.greatest(F.size(array) - k, F.lit(0)))
+        rows = rows.withColumn(array, F.zip_with(first, _ahead(array, k), combine))
+    return rows
+
+
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """``n_repeat_words`` of the word array ``w``: words in eight-word windows found twice or more.
+
+    Windows are first compared by hashes. Only a text with equal hashes has its windows written out, sorted and
+    compared as text, so the count is exact. Every step is linear in the text but for that sort.
+    """
+    rows = _runs(rows.withColumn("runs", F.transform("w", lambda x: F.xxhash64(x))), "runs", lambda a, b: F.xxhash64(a, b))
+    again = F.size(F.array_distinct("runs")) < F.size("runs")
+    rows = rows.withColumn("runs", F.when(again, F.col("w"))).drop("w")
+    rows = _runs(rows, "runs", lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.withColumn("runs", F.sort_array(F.transform("runs", lambda t, i: F.struct(t.alias("t"), i.alias("i")))))
+    same = F.zip_with("runs", _ahead("runs", 1), lambda a, b: F.coalesce(a["t"] == b["t"], F.lit(False)))
+    rows = rows.withColumn("same", same)
+    either = F.zip_with("same", F.concat(F.array(F.lit(False)), "same"), lambda a, b: F.coalesce(a, F.lit(False)) | b)
+    rows = rows.withColumn("same", either)
+    hit = F.zip_with("runs", "same", lambda x, met: F.when(met, x["i"]))
+    rows = rows.withColumn("runs", F.sort_array(F.array_compact(hit))).drop("same")
+    steps = F.zip_with("runs", _ahead("runs", 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("bigint")).drop("runs")
 
 
 def counts(docs: DataFrame, host: str = "source") -> DataFrame:
     """``docs`` as one struct column ``row``, with ``host`` and the counts beside it."""
     text = F.coalesce("row.text", F.lit(""))
-    rows = docs.select(F.struct("*").alias("row")).select("row", F.col(f"row.{host}").alias("host"), words(F.col("row.text")).alias("w"))
+    rows = docs.select(F.struct("*").alias("row")).select("row", words(F.col("row.text")).alias("w"))
+    rows = _with_repeats(rows.withColumn("n_words", F.size("w").cast("bigint")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, GAPS, "") != "")
-    return rows.select(
+    return rows.withColumn("lines", lines).select(
         "row",
-        "host",
-        F.size("w").cast("bigint").alias("n_words"),
+        F.col(f"row.{host}").alias("host"),
+        "n_words",
         F.char_length(F.translate(text, GAPS, "")).cast("bigint").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
-        (F.size(lines)).cast("bigint").alias("n_lines"),
-        _repeated(F.col("w"), WINDOW).cast("bigint").alias("n_repeat_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size("lines").cast("bigint").alias("n_lines"),
+        "n_repeat_words",
     )
 
 
@@ -132,6 +138,15 @@ def quality_report(docs: DataFrame, host: str = "source", limit: float = 0.5) ->
 
 
 def filter_documents(docs: DataFrame, host: str = "source", limit: float = 0.5) -> DataFrame:
-    """``docs`` without rejected ones, all columns kept. Counting twice is cheaper than a copy of all texts."""
-    judged = _judged(counts(docs, host), "row")
-    return verdicts(judged, limit).filter("kept").select("row.*")
+    """``docs`` without rejected ones, all columns kept. Texts are counted once; only keys of rejected rows are joined back."""
+
+    def key(prefix: str) -> list[Column]:
+        text, at = F.col(f"{prefix}text"), F.col(f"{prefix}{host}")
+        id0 = F.coalesce(F.col(f"{prefix}doc_id").cast("bigint"), F.lit(2**63 - 1))
+        return [id0.alias("id0"), F.xxhash64(F.coalesce(text, F.lit("")), text.isNull(), at, at.isNull()).alias("row_key")]
+
+    counted = counts(docs, host).select(*key("row."), "host", *NUMBERS, "n_lines")
+    judged = keep(_judged(counted, "id0", "row_key"), "judged")
+    gone = keep(verdicts(judged, limit).filter(~F.col("kept")).select("id0", "row_key").distinct(), "rejected")
+    rows = docs.select(F.struct("*").alias("row")).select("row", *key("row."))
+    return rows.join(gone, ["id0", "row_key"], "left_anti").select("row.*")

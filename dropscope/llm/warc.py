@@ -149,9 +149,9 @@ class LoserTree:
 
 
 def _merge(batches):
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    if not (batches := [b for b in batches if b.num_rows]):
         return
+    table = pa.Table.from_batches(batches)
     # Slices of one run stay in its order: a slice is put back by its sequence numbers.
     order = np.lexsort((table.column("seq").to_numpy(), np.unique(table.column("run").to_pylist(), return_inverse=True)[1]))
     table = table.take(pa.array(order)).combine_chunks()

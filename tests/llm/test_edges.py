@@ -172,7 +172,7 @@ def test_warc(spark):
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0, 4.0]
-    rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, [2.0, 4.0, 6.0, 8.0], 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [0.0] * 4, 0), (8, [nan, 1, 1, 1], 0), (9, [inf, 1, 1, 1], 0), (10, [None, 1.0, 1.0, 1.0], 0), (None, v, 0), (11, [], 0), (12, [1.0, 2.0], 0), (13, [1.0, 2.0, 3.0, 4.1], 0)]
+    rows = [(1, v, 0), (2, v, 0), (2, v, 0), (3, [2.0, 4.0, 6.0, 8.0], 0), (4, v, 1), (5, v, None), (6, None, 0), (7, [0.0] * 4, 0), (8, [nan, 1.0, 1.0, 1.0], 0), (9, [inf, 1.0, 1.0, 1.0], 0), (10, [None, 1.0, 1.0, 1.0], 0), (None, v, 0), (11, [], 0), (12, [1.0, 2.0], 0), (13, [1.0, 2.0, 3.0, 4.1], 0)]
     schema = "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT, grp STRING, unit STRING, node STRING"
     out = neighbours.near_vectors(spark.createDataFrame([(*r, *"xxx") for r in rows], schema)).collect()
     got = sorted(((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in out))
