@@ -31,47 +31,43 @@ class _ChunkIds(dict):
     """Token ids (little-endian bytes) of blank-separated chunks, remembered for frequent chunks.
 
     The tokenizer never joins across blanks, so a text's ids are those of its chunks in order. A chunk of
-    Latin-1 letters with one closing ``.`` or ``,`` is split there and lower-cased first, which the tokenizer
-    does as well; that makes far fewer distinct strings to encode. Caches only save time: a chunk beyond
-    their size is encoded anew.
+    Latin-1 letters with one closing ``.`` or ``,`` is split there and lower-cased first, as the tokenizer does;
+    such a word goes straight to the tokenizer's model, in its byte alphabet. Anything else takes the whole tokenizer.
+    Caches only save time: a chunk beyond their size is encoded anew.
     """
 
-    def __init__(self, path: str, chunks: int = 200_000, cores: int = 400_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    def __init__(self, path: str, chunks: int = 300_000, cores: int = 900_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.max_cores = chunks, cores
+        self.model = self.tokenizer.model
+        self.most, self.most_cores = chunks, cores
         self.cores: dict[str, bytes] = {}
-        self.spare: dict[str, bytes] = {}
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.alphabet = {i: spell(chr(i))[0][0] for i in range(128, 256) if chr(i).isalpha()}
+        self.tails = {t: self.whole(t) for t in ".,"}
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.spare[chunk]
+    def whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, str]:
-        core, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+    def __missing__(self, chunk: str) -> bytes:
+        core, tail = (chunk[:-1], self.tails[chunk[-1]]) if chunk[-1] in ".," else (chunk, b"")
         if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-            return core.lower(), tail
-        return chunk, ""
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Make every chunk of a batch known, encoding what is new in one call."""
-        self.spare = {}
-        new = {c: self.parts(c) for c in set().union(*texts) if c not in self}
-        unknown = [c for c in {x for core, tail in new.values() for x in (core, tail) if x} if c not in self.cores]
-        found = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(unknown, found, strict=True)}
-        if len(self.cores) < self.max_cores:
-            self.cores.update(fresh)
-        for chunk, (core, tail) in new.items():
-            ids = fresh.get(core) or self.cores.get(core, b"")
-            if tail:
-                ids += fresh.get(tail) or self.cores[tail]
-            (self if len(self) < self.chunks else self.spare)[chunk] = ids
+            core = core.lower()
+            ids = self.cores.get(core)
+            if ids is None:
+                spelled = core if core.isascii() else core.translate(self.alphabet)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+                if len(self.cores) < self.most_cores:
+                    self.cores[core] = ids
+            ids += tail
+        else:
+            ids = self.whole(chunk)
+        if len(self) < self.most:
+            self[chunk] = ids
+        return ids
 
 
 def _tokenizing(path: str, capacity: int, end_id: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,7 +84,6 @@ def _tokenizing(path: str, capacity: int, end_id: int) -> Callable[[Iterable[pa.
                 part = batch.slice(at, size)
                 at += size
                 texts = [t.replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                known.learn(texts)
                 out = []
                 for doc_id, chunks in zip(part.column("doc_id").to_pylist(), texts, strict=True):
                     ids = b"".join(map(known.__getitem__, chunks)) + end
