@@ -123,7 +123,7 @@ t AS (SELECT split_part(ip,'/',1) AS ip, sum(count) AS total FROM (SELECT ip, co
 s AS (SELECT t.*, j.*, CASE WHEN regexp_matches(t.ip,'^(10\.|127\.|192\.168\.)') THEN 'lan' WHEN total < 5 THEN 'skipped' WHEN c<>'' THEN 'known' ELSE 'unknown' END AS status FROM t LEFT JOIN j ON j.ip=t.ip)
 SELECT s.ip, CASE status WHEN 'lan' THEN 'LAN' WHEN 'skipped' THEN '--' WHEN 'known' THEN c ELSE 'XX' END AS country,
  CASE status WHEN 'known' THEN coalesce(r,0) ELSE 0 END AS risk,
- CASE status WHEN 'lan' THEN 'Local/Private/Spoofed' WHEN 'skipped' THEN 'Skipped (Low Volume)' WHEN 'known' THEN d ELSE 'Rate Limited/Unknown' END AS domain, status FROM s""",
+ CASE status WHEN 'lan' THEN 'private address' WHEN 'skipped' THEN 'too few hits to ask' WHEN 'known' THEN d ELSE 'no answer' END AS domain, status FROM s""",
 )
 def enrichment_status(v):
     hits = v.ip_drops.select("ip", "count").unionByName(

@@ -198,12 +198,11 @@ def classify_forwarded(v):
 
 @query(
     "all_set_hits",
-    """SELECT ip, list_type, count FROM fw_ip_drops WHERE list_type='trap' UNION ALL SELECT ip, list_type, count FROM fw_ip_drops WHERE list_type='geo'
-UNION ALL SELECT ip, list_type, count FROM fw_ip_drops WHERE list_type='manual'""",
+    "SELECT ip, list_type, count FROM fw_ip_drops",
 )
 def all_set_hits(v):
     one = lambda t: v.ip_drops.filter(F.col("list_type") == t).select("ip", "list_type", "count")
-    return T.all_set_hits([one("trap"), one("geo"), one("manual")])
+    return T.all_set_hits([one("trap"), one("geo"), one("manual"), one("main")])
 
 
 @query("union_sources", "SELECT line FROM fw_blocklist_raw UNION ALL SELECT line FROM fw_zone_lines")

@@ -28,6 +28,16 @@ def render_history(history: Column | str) -> Column:
     )
 
 
+def add_to_history(text: Column | str, seen: Column | str) -> Column:
+    """Stored entries in order, then those of ``seen`` (array of port, proto) not among them.
+
+    The union compares entries as text, which is hashed; over structs it would compare every pair.
+    """
+    shown = lambda e: F.concat_ws("/", e["port"].cast("string"), e["proto"])
+    old, new = (F.transform(x, shown) for x in (parse_history(text), _col(seen)))
+    return F.array_join(F.array_union(old, new), ",")
+
+
 def has_port(text: Column | str, port: Column | str, proto: str) -> Column:
     """Exact element test on the text form: is ``port/proto`` one of the entries?"""
     wanted = F.concat(_col(port).cast("string"), F.lit("/" + proto))

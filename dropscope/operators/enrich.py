@@ -36,9 +36,9 @@ def enrich(ips: DataFrame, reputation: DataFrame, min_hits: int = 5) -> DataFram
         F.coalesce(pick(F.col("_r").cast("int"), F.lit(0), F.lit(0), F.lit(0)), F.lit(0)).alias("risk"),
         pick(
             F.col("_d"),
-            F.lit("Local/Private/Spoofed"),
-            F.lit("Skipped (Low Volume)"),
-            F.lit("Rate Limited/Unknown"),
+            F.lit("private address"),
+            F.lit("too few hits to ask"),
+            F.lit("no answer"),
         ).alias("domain"),
         "status",
     )

@@ -40,11 +40,10 @@ def merge_port_history(ip_info: DataFrame, packets: DataFrame) -> DataFrame:
     """
     info = ip_info.select("ip", "port_history", F.lit(True).alias("known"))
     rows = seen_ports(packets).join(info, "ip", "left")
-    merged = F.array_union(P.parse_history("port_history"), F.col("seen"))
     return rows.select(
         "ip",
         F.col("last_port").alias("target_port"),
-        P.render_history(merged).alias("port_history"),
+        P.add_to_history("port_history", "seen").alias("port_history"),
         F.coalesce("known", F.lit(False)).alias("known"),
     )
 
@@ -52,7 +51,7 @@ def merge_port_history(ip_info: DataFrame, packets: DataFrame) -> DataFrame:
 def apply_port_history(ip_info: DataFrame, packets: DataFrame, as_of: int) -> DataFrame:
     """Details table with new ports for sources it already has; never adds a row."""
     new = seen_ports(packets)
-    merged = P.render_history(F.array_union(P.parse_history("port_history"), F.col("seen")))
+    merged = P.add_to_history("port_history", "seen")
     hit = F.col("seen").isNotNull()
     changed = {
         "target_port": F.when(hit, F.col("last_port")).otherwise(F.col("target_port")),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from dropscope.config import SET_TAGS, Config
 from dropscope.operators import abuse, deltas, flows, netsets, retention
@@ -53,10 +52,8 @@ def read_sets(spark: SparkSession, store: str) -> DataFrame:
     """All published sets as one table; sets never published are absent."""
     out = S.empty(spark, "net_set").select("set_name", "net")
     for name in [*SET_TAGS, "FirewallWhite", "FirewallWhite6"]:
-        try:
+        if S.current_version(spark, store, f"set_{name}") is not None:
             out = out.unionByName(S.read_versioned(spark, store, f"set_{name}").select("set_name", "net"))
-        except AnalysisException:
-            continue
     return out
 
 

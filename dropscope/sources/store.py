@@ -32,9 +32,12 @@ VERSION_SCHEMA = "version BIGINT, rows BIGINT, committed_at BIGINT"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """New folder for intermediate tables, under the folder the cluster names; local only where none is set."""
+    """New folder for intermediate tables, under the folder the cluster names. A local folder is taken only
+    in local mode: elsewhere each executor would write to its own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="dropscope-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/dropscope/{uuid.uuid4().hex}"
@@ -87,12 +90,23 @@ def read_facts(spark: SparkSession, store: str, name: str) -> DataFrame:
 # ---- versioned tables -----------------------------------------------------------------------------
 
 
-def current_version(spark: SparkSession, store: str, name: str) -> int | None:
+def _missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def _version_log(spark: SparkSession, store: str, name: str) -> DataFrame | None:
+    """The version log; None only where none was ever written."""
     try:
-        log = spark.read.schema(VERSION_SCHEMA).json(f"{store}/{name}/versions")
-    except AnalysisException:
-        return None
-    return log.agg(F.max("version")).first()[0]
+        return spark.read.schema(VERSION_SCHEMA + ", path STRING").json(f"{store}/{name}/versions")
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+
+
+def current_version(spark: SparkSession, store: str, name: str) -> int | None:
+    log = _version_log(spark, store, name)
+    return None if log is None else log.agg(F.max("version")).first()[0]
 
 
 def publish(df: DataFrame, store: str, name: str, as_of: int = 0, min_rows: int = 0) -> int | None:
@@ -116,7 +130,9 @@ def publish(df: DataFrame, store: str, name: str, as_of: int = 0, min_rows: int
 
 def read_versioned(spark: SparkSession, store: str, name: str, version: int | None = None) -> DataFrame:
     """Current (or a given) version of a table."""
-    log = spark.read.schema(VERSION_SCHEMA + ", path STRING").json(f"{store}/{name}/versions")
+    log = _version_log(spark, store, name)
+    if log is None:
+        raise FileNotFoundError(f"{name} has no version in {store}")
     if version is not None:
         log = log.filter(F.col("version") == version)
     row = log.agg(F.max_by("path", "version").alias("path")).first()
@@ -124,12 +140,18 @@ def read_versioned(spark: SparkSession, store: str, name: str, version: int | No
 
 
 def load_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    """The four tables; one not written yet is empty."""
+    """The four tables; one not written yet is empty. A version log that names a lost folder is an error."""
     out = {}
     for name in ("drops", "ip_drops", "ip_info", "abuse_reports"):
+        if name not in FACTS:
+            known = _version_log(spark, store, name) is not None
+            out[name] = read_versioned(spark, store, name) if known else empty(spark, name)
+            continue
         try:
-            out[name] = read_facts(spark, store, name) if name in FACTS else read_versioned(spark, store, name)
-        except AnalysisException:
+            out[name] = read_facts(spark, store, name)
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             out[name] = empty(spark, name)
     return out
 
@@ -138,9 +160,14 @@ def load_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``target`` not named in ``changes``, plus ``changes`` in the target's shape."""
-    kept = target.join(changes.select(*key), key, "left_anti")
-    return kept.unionByName(align_schema(changes, target.schema))
+    """Rows of ``target`` not named in ``changes``, plus ``changes`` in the target's shape.
+
+    Of changes with the same key the one whose other columns, in the target's order, are largest counts (nulls smallest).
+    """
+    rows = align_schema(changes, target.schema)
+    rest = [c for c in target.columns if c not in key]
+    rows = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_row")).select(*key, "_row.*").select(*target.columns)
+    return target.join(changes.select(*key), key, "left_anti").unionByName(rows)
 
 
 def apply_ban_events(net_set: DataFrame, events: DataFrame) -> DataFrame:

@@ -125,7 +125,7 @@ def parse_packets(lines: DataFrame, since_us: int | None = None, col: str = "lin
         port=F.when(_dots("_dst").isin(1, 4), digits.try_cast("int")),
         proto=F.when(tcp, "tcp").otherwise("udp"),
     ).drop(col, "_words", "_at", "_src", "_dst")
-    rows = rows.filter((F.length("ip") >= 7) & (F.col("port") > 0))
+    rows = rows.filter(((F.length("ip") >= 7) | F.col("ip").contains(":")) & (F.col("port") > 0))
     return rows if since_us is None else rows.filter(F.col("ts_us") > since_us)
 
 

@@ -25,7 +25,7 @@ PACKETS = [
     ("1704067207.1 IP6 2001:db8::5 > 2001:db8:ffff::1: ICMP6, echo", None),
     ("1704067207.1 IP 198.51.0.8 > 203.0.113.1: ICMP echo request", None),
     # A source shorter than seven characters is noise.
-    ("1704067207.1 IP ::5.1024 > 2001:db8:ffff::1.22: Flags [S]", None),
+    ("1704067207.1 IP ::5.1024 > 2001:db8:ffff::1.22: Flags [S]", ("::5", 22, "tcp")),
     ("no arrow here", None),
     ("1704067207.1 IP 198.51.0.8.1 > ", None),
 ]
