@@ -83,10 +83,10 @@ def _tokenizing(path: str, capacity: int, end_id: int) -> Callable[[Iterable[pa.
             while at < batch.num_rows:  # small steps bound the memory of a batch of long texts
                 part = batch.slice(at, size)
                 at += size
-                texts = [t.replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
                 out = []
-                for doc_id, chunks in zip(part.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = b"".join(map(known.__getitem__, chunks)) + end
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    # One text at a time: its words are looked up while they are still in the processor's cache.
+                    ids = b"".join(map(known.__getitem__, text.replace("\n", " ").split(" "))) + end
                     for k, cut in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[cut : cut + 4 * capacity]
                         out.append((doc_id, k, cut // 4, len(piece) // 4, piece))
