@@ -159,7 +159,11 @@ def fit(sampled: DataFrame, features: int = 4096, swap_penalty: float = 1.0, rid
     w, b = np.zeros(size), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     total = lambda m, k: np.bincount(m[0], w[m[1]], k)
     back = lambda m, g: np.bincount(m[1], g[m[0]], size)
-    scale = 1 / np.sqrt(np.bincount(own[1], minlength=size) / n + 1e-3)  # rare features take larger steps
+    slope = np.sqrt(np.bincount(own[1], minlength=size) / n + 1e-3)  # rare features take larger steps
+    if pairs:  # and those that swaps touch smaller ones, as the penalty is steep for them
+        touched = np.bincount(first[1], minlength=size) + np.bincount(second[1], minlength=size)
+        slope = slope + 8 * swap_penalty * touched / len(pairs)
+    scale = 1 / slope
     speed, speed_b = np.zeros(size), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + total(own, n), -30, 30)))
