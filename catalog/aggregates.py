@@ -14,7 +14,8 @@ from catalog.sources import PORT_ROWS
 from catalog.views import AS_OF
 from dropscope.config import Config
 from dropscope.operators import abuse, classify, deltas, detect, reports, retention
-from dropscope.plans import period
+from dropscope.plans import period, refresh
+from dropscope.sources import store as S
 from dropscope.sources import text as T
 
 CFG = Config()
@@ -189,6 +190,29 @@ def ip_delta(v):
     return deltas.ip_delta(v.set_snapshots)
 
 
+@query(
+    "statistics_run",
+    rf"""WITH {RC}, t AS (SELECT run_ts, 'AutoBan' AS set_name, CAST(sum(CAST(regexp_extract(line,'^\s*(\d+)',1) AS BIGINT)) AS BIGINT) AS packets
+  FROM fw_rule_lines WHERE chain='trap' AND contains(line,'DROP') GROUP BY run_ts),
+a AS (SELECT run_ts, set_name AS name, '' AS list_type, packets FROM rcf WHERE set_name <> 'AutoBan' UNION ALL SELECT run_ts, set_name, '', packets FROM t
+  UNION ALL SELECT run_ts, ip, list_type, packets FROM fw_set_snapshots),
+d AS (SELECT *, coalesce(lag(packets) OVER (PARTITION BY name, list_type ORDER BY run_ts),0) AS prev FROM a),
+e AS (SELECT *, CAST(CASE WHEN packets<prev THEN packets ELSE packets-prev END AS BIGINT) AS count FROM d)
+SELECT run_ts AS timestamp, name, list_type, count FROM e WHERE count > 0""",
+)
+def statistics_run(v):
+    """The job over four slices of time, the third of them twice."""
+    store = S.scratch_dir(v.spark)
+    rules, snaps = T.parse_rule_counters(v.rule_lines), v.set_snapshots
+    ends = F.min("run_ts"), F.max("run_ts")
+    low, high = rules.select("run_ts").unionByName(snaps.select("run_ts")).agg(*ends).first()
+    for i in (0, 1, 2, 2, 3):
+        span = F.col("run_ts").between(low + (high + 1 - low) * i // 4, low + (high + 1 - low) * (i + 1) // 4 - 1)
+        refresh.statistics_run(v.spark, store, rules.filter(span), snaps.filter(span), None, AS_OF, v.rule_lines.filter(span))
+    lists = S.read_facts(v.spark, store, "drops").select("timestamp", F.col("list_name").alias("name"), F.lit("").alias("list_type"), "count")
+    return lists.unionByName(S.read_facts(v.spark, store, "ip_drops").select("timestamp", F.col("ip").alias("name"), "list_type", "count"))
+
+
 @query("counter_delta", f"WITH {DELTA} SELECT run_ts, ip, list_type, packets, prev, delta FROM e")
 def counter_delta(v):
     return deltas.counter_delta(v.set_snapshots, ["ip", "list_type"])

@@ -41,18 +41,37 @@ def counter_delta(df: DataFrame, key: list[str], order: str = "run_ts", value: s
     return previous_value(df, key, order, value).withColumn("delta", restart_delta(F.col(value), F.col("prev")))
 
 
-def list_delta(rule_counters: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Positive increases per list: ``run_ts, list_name, count``."""
+def carried_delta(readings: DataFrame, last: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
+    """``key, order, value, prev, delta`` of readings newer than their key's reading in ``last``, against which
+    the first of them is taken. Older ones were counted, or are part of the next increase, as counters add up."""
+    shape = [*key, order, value]
+    seen = last.select(*key, F.col(order).alias("_seen"))
+    fresh = readings.join(seen, key, "left").filter(F.col("_seen").isNull() | (F.col(order) > F.col("_seen")))
+    rows = fresh.select(*shape, F.lit(True).alias("_new")).unionByName(last.select(*shape, F.lit(False).alias("_new")))
+    return counter_delta(rows, key, order, value).filter("_new").drop("_new")
+
+
+def last_counters(readings: DataFrame, last: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
+    """The newest reading of every key, of both tables: what the next run starts from."""
+    rows = readings.select(*key, order, value).unionByName(last.select(*key, order, value))
+    newest = F.max(F.struct(order, value)).alias("_r")
+    return rows.groupBy(*key).agg(newest).select(*key, f"_r.{order}", f"_r.{value}")
+
+
+def list_delta(rule_counters: DataFrame, key: list[str] | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Positive increases per list: ``run_ts, list_name, count``; from the readings in ``last``, if given."""
     key = key or ["set_name"]
-    out = counter_delta(rule_counters, key).filter(F.col("delta") > 0)
+    rows = counter_delta(rule_counters, key) if last is None else carried_delta(rule_counters, last, key)
+    out = rows.filter(F.col("delta") > 0)
     extra = [c for c in key if c != "set_name"]
     return out.select("run_ts", *extra, F.col("set_name").alias("list_name"), F.col("delta").alias("count"))
 
 
-def ip_delta(snapshots: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Positive increases per address and list type: ``run_ts, ip, count, list_type``."""
+def ip_delta(snapshots: DataFrame, key: list[str] | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Positive increases per address and list type: ``run_ts, ip, count, list_type``; from the readings in ``last``, if given."""
     key = key or ["ip", "list_type"]
-    out = counter_delta(snapshots, key).filter(F.col("delta") > 0)
+    rows = counter_delta(snapshots, key) if last is None else carried_delta(snapshots, last, key)
+    out = rows.filter(F.col("delta") > 0)
     extra = [c for c in key if c not in ("ip", "list_type")]
     return out.select("run_ts", *extra, "ip", F.col("delta").alias("count"), "list_type")
 
@@ -64,6 +83,14 @@ def trap_counter(rule_lines: DataFrame, chain: str) -> DataFrame:
     return drop.groupBy("run_ts").agg(F.coalesce(F.sum(packets), F.lit(0)).alias("packets"))
 
 
+def list_counters(rule_counters: DataFrame, trap_lines: DataFrame, chains: dict[str, str]) -> DataFrame:
+    """``run_ts, set_name, packets`` per list; a set named in ``chains`` counts by the DROP rules of its trap chain, not by set matches."""
+    out = rule_counters.filter(~F.col("set_name").isin(*chains)).select("run_ts", "set_name", "packets")
+    for name, chain in chains.items():
+        out = out.unionByName(trap_counter(trap_lines, chain).withColumn("set_name", F.lit(name)))
+    return out
+
+
 def snapshot_delta(before: DataFrame, after: DataFrame, key: str = "ip", value: str = "packets") -> DataFrame:
     """Positive difference of two readings; keys new in ``after`` count in full."""
     old = before.groupBy(key).agg(F.sum(value).alias("_old"))

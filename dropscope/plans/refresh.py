@@ -13,6 +13,8 @@ from dropscope.sources import text as X
 
 # Fewest raw lines a download must have before it replaces a set.
 MIN_LINES_V4, MIN_LINES_V6 = 50, 10
+# Ban sets whose drops are counted by a trap chain.
+TRAP_CHAINS = {"AutoBan": "trap"}
 
 
 def clean_v4(lines: DataFrame) -> DataFrame:
@@ -58,14 +60,31 @@ def read_sets(spark: SparkSession, store: str) -> DataFrame:
 
 
 def statistics_run(
-    spark: SparkSession, store: str, rule_counters: DataFrame, snapshots: DataFrame, packets: DataFrame, as_of: int
+    spark: SparkSession,
+    store: str,
+    rule_counters: DataFrame,
+    snapshots: DataFrame,
+    packets: DataFrame | None,
+    as_of: int,
+    trap_lines: DataFrame | None = None,
 ) -> None:
-    """Append list and address deltas, then merge the capture into the details table."""
-    new_drops = deltas.list_delta(rule_counters).withColumnRenamed("run_ts", "timestamp")
-    S.append_drops(new_drops, store)
-    S.append_ip_drops(deltas.ip_delta(snapshots).withColumnRenamed("run_ts", "timestamp"), store)
-    info = S.load_store(spark, store)["ip_info"]
-    S.publish(flows.apply_port_history(info, packets, as_of), store, "ip_info", as_of)
+    """Append list and address deltas, then merge the capture, if any, into the details table.
+
+    Increases are taken from the last counters of the runs before, which are carried in two versioned tables. A run that is
+    repeated, or was lost between any two of its steps and runs again, adds nothing twice: readings already carried are passed
+    over, and rows already stored are not appended again. With ``trap_lines`` the ban series come from their trap chains.
+    """
+    lists = rule_counters if trap_lines is None else deltas.list_counters(rule_counters, trap_lines, TRAP_CHAINS)
+    for name, fact, key, readings, delta in (
+        ("list_counters", "drops", ["set_name"], lists, deltas.list_delta),
+        ("ip_counters", "ip_drops", ["ip", "list_type"], snapshots.filter("ip is not null"), deltas.ip_delta),
+    ):
+        last = S.read_or_empty(spark, store, name)
+        S.append_once(delta(readings, last=last).withColumnRenamed("run_ts", "timestamp"), store, fact)
+        S.publish(deltas.last_counters(readings, last, key), store, name, as_of)
+    if packets is not None:
+        info = S.load_store(spark, store)["ip_info"]
+        S.publish(flows.apply_port_history(info, packets, as_of), store, "ip_info", as_of)
 
 
 def enrichment_run(spark: SparkSession, store: str, reputation: DataFrame, as_of: int) -> None:

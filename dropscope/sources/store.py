@@ -24,6 +24,8 @@ SCHEMAS = {
     "ip_drops": "timestamp BIGINT, ip STRING, count BIGINT, list_type STRING",
     "ip_info": "ip STRING, country STRING, risk INT, domain STRING, updated BIGINT, target_port INT, port_history STRING",
     "abuse_reports": "ip STRING, last_sent BIGINT",
+    "list_counters": "set_name STRING, run_ts BIGINT, packets BIGINT",
+    "ip_counters": "ip STRING, list_type STRING, run_ts BIGINT, packets BIGINT",
     "net_set": "set_name STRING, net STRING, added_at BIGINT, expires_at BIGINT",
 }
 # Partition column of each fact table.
@@ -82,6 +84,29 @@ def append_ip_drops(df: DataFrame, store: str) -> None:
     append_facts(df.filter(F.col("ip").isNotNull()), store, "ip_drops")
 
 
+def append_once(df: DataFrame, store: str, name: str) -> None:
+    """Append the rows whose key (all columns but ``count``) the table lacks, so a job that was lost after its append
+    can run again. Only the partitions of the rows' own time span are read."""
+    spark, schema = df.sparkSession, table_schema(name)
+    path = scratch_dir(spark)
+    align_schema(df, schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if low is None:
+        return
+    day = lambda t: F.to_date(F.timestamp_seconds(F.lit(t)))
+    first = F.to_date(F.trunc(day(low), "month")) if FACTS[name] == "event_month" else day(low)
+    try:
+        held = read_facts(spark, store, name).filter(F.col(FACTS[name]).between(first, day(high)))
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+    else:
+        key = [c for c in rows.columns if c != "count"]
+        rows = rows.join(held.select(*key), key, "left_anti")
+    append_facts(rows, store, name)
+
+
 def read_facts(spark: SparkSession, store: str, name: str) -> DataFrame:
     schema = T.StructType(table_schema(name).fields + [T.StructField(FACTS[name], T.DateType())])
     return spark.read.schema(schema).parquet(f"{store}/{name}")
@@ -139,13 +164,18 @@ def read_versioned(spark: SparkSession, store: str, name: str, version: int | No
     return spark.read.parquet(row["path"])
 
 
+def read_or_empty(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """Current version of a table with a known schema; empty if none was ever published."""
+    known = _version_log(spark, store, name) is not None
+    return read_versioned(spark, store, name) if known else empty(spark, name)
+
+
 def load_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The four tables; one not written yet is empty. A version log that names a lost folder is an error."""
     out = {}
     for name in ("drops", "ip_drops", "ip_info", "abuse_reports"):
         if name not in FACTS:
-            known = _version_log(spark, store, name) is not None
-            out[name] = read_versioned(spark, store, name) if known else empty(spark, name)
+            out[name] = read_or_empty(spark, store, name)
             continue
         try:
             out[name] = read_facts(spark, store, name)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dropscope.operators import abuse, flows
+from dropscope.plans import refresh
 from dropscope.sources import store as S
 from dropscope.sources import text as T
 
@@ -51,3 +52,22 @@ def test_report_queue_prunes_facts(spark, tmp_path):
     hits = abuse.new_hits(cands, S.read_facts(spark, store, "ip_drops"), 1706659200 - 3 * 86400)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and hits.first()["new_hits"] == 15
+
+
+def test_statistics_run_again_adds_nothing(spark, tmp_path):
+    store = str(tmp_path)
+    rules = lambda *r: spark.createDataFrame(r, "run_ts BIGINT, set_name STRING, packets BIGINT")
+    snaps = lambda *r: spark.createDataFrame(r, "run_ts BIGINT, ip STRING, list_type STRING, packets BIGINT")
+    first = rules((3600, "GeoBlock", 10)), snaps((3600, "a", "geo", 10), (3600, None, "geo", 4))
+    second = rules((90000, "GeoBlock", 25), (93600, "GeoBlock", 5)), snaps((90000, "a", "geo", 17), (90000, "b", "geo", 1))
+    for counters, readings in (first, first, second, first, second):
+        refresh.statistics_run(spark, store, counters, readings, None, 0)
+    got = {n: sorted((r["timestamp"], r["count"]) for r in S.load_store(spark, store)[n].collect()) for n in ("drops", "ip_drops")}
+    assert got == {"drops": [(3600, 10), (90000, 15), (93600, 5)], "ip_drops": [(3600, 10), (90000, 1), (90000, 7)]}
+
+
+def test_append_after_a_lost_run(spark, tmp_path):
+    rows = spark.createDataFrame([(3600, "a", 5, "geo"), (200000, "a", 6, "geo")], S.table_schema("ip_drops"))
+    S.append_facts(rows.limit(1), str(tmp_path), "ip_drops")
+    S.append_once(rows, str(tmp_path), "ip_drops")
+    assert S.read_facts(spark, str(tmp_path), "ip_drops").count() == 2
