@@ -112,6 +112,7 @@ def repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     texts = _texts(docs).join(held, ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"])
     windows = keep(texts.select("doc_id", "row_key", "text", "grams").mapInArrow(_windows(width), "doc_id BIGINT, row_key BIGINT, place INT, window BIGINT"), "windows")
     starts = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("window", "lo")
+    starts = keep(starts, "starts")  # read from a table, so that a very common window's part of the join can be split
     hit = windows.join(starts, "window").filter("doc_id > lo")
 
     # Places of one document are its own words' places, so a group is no larger than its document.
