@@ -41,7 +41,7 @@ STAGES = [
     ("source_mixing", mix_sources),
     ("best_fit_packing", pack),
 ]
-# Tokenizing is beyond SQL: tests/llm/test_pipeline.py holds run() against a brute-force version.
+# Tokenizing is beyond SQL: tests/llm/test_methods.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
