@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_GAP = np.isin(np.arange(256), np.frombuffer(GAPS.encode(), np.uint8))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)  # A-Z only
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
+_NEXT_GAP = re.compile(b"[" + GAPS.encode() + b"]")
+_BASE = 0xD1342543DE82EF95
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base and of its inverse, modulo 2**64."""
+    out = np.ones((2, n), np.uint64)
+    out[0, 1:], out[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+    return tuple(np.multiply.accumulate(out, axis=1))
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word of ``data``, which ends with a blank.
+
+    A word's hash is a difference of two running sums, shifted back to its start.
+    """
+    power, back = _powers(1 << (max(len(data), 1 << 20) - 1).bit_length())
+    raw = np.frombuffer(data, np.uint8)
+    gap = _GAP[raw]
+    edge = np.flatnonzero(np.diff(gap, prepend=True))
+    starts, ends = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[: len(raw)])])
+    return starts, mixed((total[ends] - total[starts]) * back[starts])
+
+
+def lower_word_hashes(texts: list[bytes], most: int = 1 << 20) -> list[np.ndarray]:
+    """Hashes of the words of each text, A-Z lower-cased. About ``most`` bytes are worked on at once: short texts
+    together, a longer text in parts that end at blanks."""
+    parts, owner = [], []
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            gap = _NEXT_GAP.search(text, at + most)
+            end = gap.end() if gap else len(text)
+            parts.append(text[at:end] + b" ")
+            owner.append(i)
+            at = end
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    first = 0
+    while first < len(parts):
+        last, size = first + 1, len(parts[first])
+        while last < len(parts) and size + len(parts[last]) <= most:
+            size += len(parts[last])
+            last += 1
+        starts, hashes = _hashed(b"".join(parts[first:last]))
+        cuts = np.searchsorted(starts, np.cumsum([len(p) for p in parts[first : last - 1]]))
+        for i, h in zip(owner[first:last], np.split(hashes, cuts), strict=True):
+            out[i].append(h)
+        first = last
+    return [np.concatenate(h) if h else np.empty(0, np.uint64) for h in out]
+
+
 def rolled(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp hash (base odd, modulo 2**64, mixed) of every run of ``width`` words.
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dropscope.llm.common import WordHashes, keep, mixed, rolled, row_key, rows_of
+from dropscope.llm.common import keep, lower_word_hashes, mixed, rolled, row_key, rows_of
 from dropscope.llm.graph import components
 
 BANDS, ROWS = 24, 4
@@ -39,13 +39,10 @@ _SEEDS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3
 SIGNED = "doc_id BIGINT, row_key BIGINT, n BIGINT, print BINARY, bands ARRAY<BIGINT>, sketch BINARY"
 
 
-def shingles(known: WordHashes, text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, A-Z lower-cased."""
-    words = (text or b"").lower().split()  # bytes: exactly ASCII blanks and letters
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = known.of(words)
-    return np.unique(rolled(hashes, min(width, len(words))))
+def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
+    hashed = lower_word_hashes([t or b"" for t in texts])
+    return [np.unique(rolled(h, min(width, len(h)))) if len(h) else h for h in hashed]
 
 
 def samples(sets: list[np.ndarray]) -> np.ndarray:
@@ -85,11 +82,10 @@ def allowed_flips(similarity: float) -> int:
 
 def _signing(width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = list(rows_of([batch.slice(at, 256)]))
-                sets = [shingles(known, r[2], width) for r in rows]
+                sets = shingle_sets([r[2] for r in rows], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 bands, sketches = [None] * len(rows), [None] * len(rows)
                 if full:
@@ -125,11 +121,10 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``node, set`` of the full shingle sets of the named classes (``node, doc_id, row_key``)."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = list(rows_of([batch.slice(at, 256)]))
-                sets = [shingles(known, r[1], width).view(np.int64) for r in rows]
+                sets = [s.view(np.int64) for s in shingle_sets([r[1] for r in rows], width)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"]
                 )

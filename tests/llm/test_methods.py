@@ -127,7 +127,7 @@ def test_groups_without_a_common_leader(spark):
         for j in range(k * 4, k * 4 + 4):
             t[j * 8] = f"c{k}"
         rows.append((50 - k, " ".join(t[: 8 * 4 * 12 + 40])))
-    sets = [minhash.shingles(minhash.WordHashes(), t.encode(), 5) for _, t in rows]
+    sets = minhash.shingle_sets([t.encode() for _, t in rows], 5)
     parent = list(range(12))
     root = lambda x: x if parent[x] == x else root(parent[x])
     for i in range(12):
