@@ -10,6 +10,7 @@ from catalog.views import AS_OF
 from dropscope.config import Config
 from dropscope.operators import abuse, classify, deltas, flows, netsets, reports, retention
 from dropscope.plans import refresh
+from dropscope.sources import store as S
 from dropscope.sources import text as T
 
 QUAD = r"([0-9]{1,3}\.){3}[0-9]{1,3}"
@@ -128,6 +129,29 @@ def retain_ip_drops(v):
     return retention.retain_ip_drops(v.ip_drops, retention.vip_ips(v.ip_drops, AS_OF), AS_OF)
 
 
+@query(
+    "retention_run",
+    f"""WITH {VIP}, days AS (SELECT timestamp - timestamp % 86400 + 43200 AS t, ip, list_type, CAST(sum(count) AS BIGINT) AS n
+  FROM fw_ip_drops WHERE timestamp < 1706572800 GROUP BY 1,2,3)
+SELECT t AS timestamp, ip AS name, list_type, n AS count FROM days WHERE NOT (t < 1706659200-2592000 AND n <= 5)
+ AND NOT (t < 1706659200-3888000 AND ip NOT IN (SELECT ip FROM vip))
+UNION ALL SELECT timestamp, ip, list_type, count FROM fw_ip_drops WHERE timestamp >= 1706572800
+UNION ALL SELECT t, list_name, '', CAST(sum(count) AS BIGINT) FROM (SELECT *, CASE WHEN timestamp < 1706572800
+  THEN timestamp - timestamp % 86400 + 43200 ELSE timestamp END AS t FROM fw_drops) x GROUP BY 1,2""",
+)
+def retention_run(v):
+    """What the store reads after two retention runs: daily tiers before the boundary, raw rows after it."""
+    store = S.scratch_dir(v.spark)
+    S.append_drops(v.drops, store)
+    S.append_ip_drops(v.ip_drops, store)
+    S.publish(v.ip_info, store, "ip_info", AS_OF)
+    for _ in range(2):
+        refresh.retention_run(v.spark, store, AS_OF)
+    tables = S.load_store(v.spark, store)
+    lists = tables["drops"].select("timestamp", F.col("list_name").alias("name"), F.lit("").alias("list_type"), "count")
+    return tables["ip_drops"].select("timestamp", F.col("ip").alias("name"), "list_type", "count").unionByName(lists)
+
+
 @query(
     "prune_ip_info",
     f"WITH {KEPT} SELECT ip, country, risk, domain, updated, target_port, port_history FROM fw_ip_info WHERE ip IN (SELECT split_part(ip,'/',1) FROM kept)",

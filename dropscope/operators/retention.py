@@ -13,31 +13,32 @@ from dropscope.operators.reports import top_n_per
 NOON = 43200
 
 
-def _closed_day(as_of: int) -> int:
+def closed_day(as_of: int) -> int:
     """First second of the day the trailing 24 hours begin in: only whole days before it are rolled up."""
     return (as_of - DAY) // DAY * DAY
 
 
-def _rollup(facts: DataFrame, key: list[str], as_of: int) -> DataFrame:
-    old = facts.filter(F.col("timestamp") < _closed_day(as_of))
+def rollup(facts: DataFrame, key: list[str], as_of: int) -> DataFrame:
+    """One row per closed UTC day and key, stamped noon; days rolled up before stay as they are."""
+    old = facts.filter(F.col("timestamp") < closed_day(as_of))
     noon = (day_floor(F.col("timestamp")) + NOON).alias("timestamp")
     return old.groupBy(noon, *key).agg(F.sum("count").alias("count"))
 
 
 def rollup_drops(drops: DataFrame, as_of: int) -> DataFrame:
     """Daily tier: one row per closed UTC day and list, stamped noon."""
-    return _rollup(drops, ["list_name"], as_of)
+    return rollup(drops, ["list_name"], as_of)
 
 
 def rollup_ip_drops(ip_drops: DataFrame, as_of: int) -> DataFrame:
     """Daily tier per address and list type."""
-    return _rollup(ip_drops, ["ip", "list_type"], as_of)
+    return rollup(ip_drops, ["ip", "list_type"], as_of)
 
 
 def compact(facts: DataFrame, key: list[str], as_of: int) -> DataFrame:
     """Daily tier plus the raw rows of days that are still open."""
-    fresh = facts.filter(F.col("timestamp") >= _closed_day(as_of)).select("timestamp", *key, "count")
-    return _rollup(facts, key, as_of).select("timestamp", *key, "count").unionByName(fresh)
+    fresh = facts.filter(F.col("timestamp") >= closed_day(as_of)).select("timestamp", *key, "count")
+    return rollup(facts, key, as_of).select("timestamp", *key, "count").unionByName(fresh)
 
 
 def vip_ips(ip_drops: DataFrame, as_of: int, n: int = 15) -> DataFrame:
@@ -51,13 +52,13 @@ def vip_ips(ip_drops: DataFrame, as_of: int, n: int = 15) -> DataFrame:
 
 
 def not_vip(ip_drops: DataFrame, vip: DataFrame) -> DataFrame:
-    """Rows of unprotected sources. ``vip`` is a cut list, so it is broadcast and the facts do not move."""
-    return ip_drops.join(F.broadcast(vip), "ip", "left_anti")
+    """Rows of unprotected sources. A cut list as ``vip`` is small enough for Spark to broadcast by measured size."""
+    return ip_drops.join(vip, "ip", "left_anti")
 
 
 def retain_ip_drops(ip_drops: DataFrame, vip: DataFrame, as_of: int) -> DataFrame:
     """History kept: no row of at most 5 hits after 30 days, after 45 days only protected sources."""
-    flagged = ip_drops.join(F.broadcast(vip.select("ip", F.lit(True).alias("_vip"))), "ip", "left")
+    flagged = ip_drops.join(vip.select("ip", F.lit(True).alias("_vip")), "ip", "left")
     ts = F.col("timestamp")
     faint = (ts < as_of - 30 * DAY) & (F.col("count") <= 5)
     stale = (ts < as_of - 45 * DAY) & F.col("_vip").isNull()

@@ -96,14 +96,21 @@ def enrichment_run(spark: SparkSession, store: str, reputation: DataFrame, as_of
 
 
 def retention_run(spark: SparkSession, store: str, as_of: int) -> None:
-    """New versions of the aged tables: ``drops_daily``, ``ip_drops_kept`` and a pruned ``ip_info``."""
+    """Roll newly closed days into the daily tiers, drop old facts of unprotected sources, prune ``ip_info``.
+
+    The old tier and the raw rows after it are read, not older raw rows; ``load_store`` then reads the new tier. A
+    clock before that of the last run changes nothing.
+    """
+    last = [S.boundary(spark, store, name) for name in S.FACTS]
+    if any(edge is not None and edge > retention.closed_day(as_of) for edge in last):
+        return
+    drops = S.read_history(spark, store, "drops", late=False)
+    S.publish(retention.rollup(drops, ["list_name"], as_of), store, "drops_daily", as_of)
+    vip = retention.vip_ips(S.read_history(spark, store, "ip_drops"), as_of)
+    aged = retention.rollup(S.read_history(spark, store, "ip_drops", late=False), ["ip", "list_type"], as_of)
+    S.publish(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops_daily", as_of)
     tables = S.load_store(spark, store)
-    S.publish(retention.compact(tables["drops"], ["list_name"], as_of), store, "drops_daily", as_of)
-    aged = retention.compact(tables["ip_drops"], ["ip", "list_type"], as_of)
-    vip = retention.vip_ips(tables["ip_drops"], as_of)
-    S.publish(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops_kept", as_of)
-    kept = S.read_versioned(spark, store, "ip_drops_kept")
-    S.publish(retention.prune_ip_info(tables["ip_info"], kept), store, "ip_info", as_of)
+    S.publish(retention.prune_ip_info(tables["ip_info"], tables["ip_drops"]), store, "ip_info", as_of)
 
 
 def report_run(spark: SparkSession, store: str, config: Config, as_of: int) -> DataFrame:

@@ -4,6 +4,11 @@ Facts are appended and partitioned by time so trailing windows prune files: ``ip
 ``event_date``; ``drops``, with a few hundred rows a day, by ``event_month``. Everything replaced as a whole (``ip_info``, ``abuse_reports``, network sets) is versioned: a job
 writes a new version folder, then adds one row to the version log. Readers follow the log, so they see
 the old or the new table, never a mixture; a job lost half-way leaves an unreferenced folder.
+
+Closed days of the facts are read from a daily tier (``drops_daily``, ``ip_drops_daily``: versioned tables), raw rows
+only from the tier's boundary on. The boundary follows from the clock of the tier's version, so both switch
+at once. Rows that arrive for days before it are stored in partitions of their own (``late``) and always read.
+Raw partitions before the boundary are no longer read and may be removed by the scheduler.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from dropscope.config import SET_FAMILIES
+from dropscope.operators.retention import closed_day
 from dropscope.functions import ip as IP
 
 SCHEMAS = {
@@ -72,8 +78,10 @@ def append_facts(df: DataFrame, store: str, name: str) -> None:
     rows = align_schema(df, table_schema(name)).filter(F.col("count") > 0)
     part, day = FACTS[name], F.to_date(F.timestamp_seconds("timestamp"))
     rows = rows.withColumn(part, day if part == "event_date" else F.to_date(F.trunc(day, "month")))
+    edge = boundary(df.sparkSession, store, name)
+    rows = rows.withColumn("late", F.lit(False) if edge is None else F.col("timestamp") < edge)
     # REBALANCE lets adaptive execution both merge small and split large time partitions.
-    rows.hint("rebalance", part).write.mode("append").partitionBy(part).parquet(f"{store}/{name}")
+    rows.hint("rebalance", part).write.mode("append").partitionBy("late", part).parquet(f"{store}/{name}")
 
 
 def append_drops(df: DataFrame, store: str) -> None:
@@ -107,9 +115,43 @@ def append_once(df: DataFrame, store: str, name: str) -> None:
     append_facts(rows, store, name)
 
 
+def _raw(spark: SparkSession, store: str, name: str) -> DataFrame:
+    parts = [T.StructField("late", T.BooleanType()), T.StructField(FACTS[name], T.DateType())]
+    return spark.read.schema(T.StructType(table_schema(name).fields + parts)).parquet(f"{store}/{name}")
+
+
 def read_facts(spark: SparkSession, store: str, name: str) -> DataFrame:
-    schema = T.StructType(table_schema(name).fields + [T.StructField(FACTS[name], T.DateType())])
-    return spark.read.schema(schema).parquet(f"{store}/{name}")
+    """All raw rows ever stored."""
+    return _raw(spark, store, name).drop("late")
+
+
+def boundary(spark: SparkSession, store: str, name: str) -> int | None:
+    """First second that the daily tier of a fact table does not cover; None without a tier."""
+    log = _version_log(spark, store, f"{name}_daily")
+    return None if log is None else closed_day(log.agg(F.max_by("committed_at", "version")).first()[0])
+
+
+def read_history(spark: SparkSession, store: str, name: str, late: bool = True) -> DataFrame:
+    """The daily tier up to its boundary, raw rows from there on, and (with ``late``) those that came too late for
+    the tier. Partitions of raw rows before the boundary are not scanned."""
+    edge, part = boundary(spark, store, name), FACTS[name]
+    columns = table_schema(name).names
+    try:
+        raw = _raw(spark, store, name)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        raw = spark.createDataFrame([], table_schema(name)).withColumns({"late": F.lit(False), part: F.lit(None).cast("date")})
+    if edge is None:
+        return raw.drop("late")
+    day = F.to_date(F.timestamp_seconds(F.lit(edge)))
+    first = day if part == "event_date" else F.to_date(F.trunc(day, "month"))
+    fresh = raw.filter(~F.col("late") & (F.col(part) >= first) & (F.col("timestamp") >= edge))
+    fresh = fresh.unionByName(raw.filter("late")) if late else fresh
+    tier_day = F.to_date(F.timestamp_seconds("timestamp"))
+    tier = read_versioned(spark, store, f"{name}_daily").select(*columns)
+    tier = tier.withColumn(part, tier_day if part == "event_date" else F.to_date(F.trunc(tier_day, "month")))
+    return tier.unionByName(fresh.drop("late"))
 
 
 # ---- versioned tables -----------------------------------------------------------------------------
@@ -172,18 +214,8 @@ def read_or_empty(spark: SparkSession, store: str, name: str) -> DataFrame:
 
 def load_store(spark: SparkSession, store: str) -> dict[str, DataFrame]:
     """The four tables; one not written yet is empty. A version log that names a lost folder is an error."""
-    out = {}
-    for name in ("drops", "ip_drops", "ip_info", "abuse_reports"):
-        if name not in FACTS:
-            out[name] = read_or_empty(spark, store, name)
-            continue
-        try:
-            out[name] = read_facts(spark, store, name)
-        except AnalysisException as e:
-            if not _missing(e):
-                raise
-            out[name] = empty(spark, name)
-    return out
+    facts = {name: read_history(spark, store, name) for name in FACTS}
+    return facts | {name: read_or_empty(spark, store, name) for name in ("ip_info", "abuse_reports")}
 
 
 # ---- changes to versioned tables ------------------------------------------------------------------

@@ -71,3 +71,26 @@ def test_append_after_a_lost_run(spark, tmp_path):
     S.append_facts(rows.limit(1), str(tmp_path), "ip_drops")
     S.append_once(rows, str(tmp_path), "ip_drops")
     assert S.read_facts(spark, str(tmp_path), "ip_drops").count() == 2
+
+
+def test_daily_tier_is_read(spark, tmp_path):
+    """Sums stay as they are for what is kept; later runs add days, late rows are neither lost nor counted twice."""
+    store, noon, day = str(tmp_path), 1706616000, 86400
+    rows = [(noon - d * day + k, "a", 10 + d, "trap") for d in range(6) for k in (0, 7)]
+    schema = S.table_schema("ip_drops")
+    total = lambda: S.load_store(spark, store)["ip_drops"].agg(F.sum("count")).first()[0]
+    S.append_facts(spark.createDataFrame(rows, schema), store, "ip_drops")
+    before = total()
+    for as_of in (noon - 2 * day, noon, noon, noon - 3 * day):
+        refresh.retention_run(spark, store, as_of)
+        assert total() == before
+    late = spark.createDataFrame([(noon - 5 * day, "b", 3, "geo")], schema)
+    S.append_once(late, store, "ip_drops")
+    S.append_once(late, store, "ip_drops")
+    assert total() == before + 3
+    refresh.retention_run(spark, store, noon + day)
+    assert total() == before + 3
+    assert S.read_versioned(spark, store, "ip_drops_daily").count() == 5
+    plan = S.read_history(spark, store, "ip_drops")._jdf.queryExecution().executedPlan().toString()
+    scans = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
+    assert sum("event_date#" in p for p in scans) == sum("late#" in p for p in scans) - 1 == 1  # the tier has neither

@@ -77,7 +77,7 @@ def test_jobs_end_to_end(spark, tmp_path):
     again = {r.status: r.n for r in R.report_run(spark, store, Config(), AS_OF).collect()}
     assert first.get("reported", 0) > 0 and "reported" not in again
     R.retention_run(spark, store, AS_OF)
-    assert S.read_versioned(spark, store, "drops_daily").agg(F.sum("count")).first() == tables["drops"].agg(F.sum("count")).first()
+    assert S.load_store(spark, store)["drops"].agg(F.sum("count")).first() == tables["drops"].agg(F.sum("count")).first()
 
 
 def test_dashboard_document(spark):
