@@ -2,7 +2,8 @@
 
 1. Vectors that can be compared are normalised in double precision; equal ones of one label are one node with a weight.
 2. A neighbour graph is started from random-projection leaves: nodes meet in small leaves of one label, and each
-   keeps its ``k`` best neighbours. Rounds of leaves are as many as make a pair at the threshold miss all of them
+   keeps its ``k`` best neighbours; a list full of links would hide others, so a leaf also returns links that connect
+   all that its pairs connect. Rounds of leaves are as many as make a pair at the threshold miss all of them
    with probability 1e-4; a leaf of very many like vectors is split at random.
 3. The graph is refined by neighbours-of-neighbours joins until they find no new link between components.
 4. A list full of links is saturated, however long it is made, in a large group of like vectors. Neighbours of
@@ -84,8 +85,27 @@ def _codes(rounds: int, bits: int, seed: int) -> Callable:
     return run
 
 
-def _best(k: int, floor: float) -> Callable:
-    """Each node's ``k`` best neighbours in a leaf."""
+def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of links that connect whatever ``links`` connects, at most one per node."""
+    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    free, fresh = links.any(axis=1), np.ones(links.shape[1], bool)  # rows and columns not reached yet
+    while free.any():
+        row = np.flatnonzero(free)[:1]
+        free[row] = False
+        while len(row):
+            col = np.flatnonzero(links[row].any(axis=0) & fresh)
+            rows.append(row[links[np.ix_(row, col)].argmax(axis=0)])
+            cols.append(col)
+            fresh[col] = False
+            row = np.flatnonzero(links[:, col].any(axis=1) & free)
+            rows.append(row)
+            cols.append(col[links[np.ix_(row, col)].argmax(axis=1)] if len(row) else row)
+            free[row] = False
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _best(k: int, floor: float, link: float) -> Callable:
+    """Each node's ``k`` best neighbours in a leaf, and links that join all linked nodes of the leaf."""
 
     def run(leaf: pa.Table) -> pa.Table:
         unit, node = _matrix(leaf.column("unit")), leaf.column("node").to_numpy()
@@ -96,7 +116,8 @@ def _best(k: int, floor: float) -> Callable:
         row = np.repeat(np.arange(len(node)), near)
         col = at.ravel()
         ok = cosine[row, col] >= floor
-        row, col = row[ok], col[ok]
+        links = _forest(cosine >= link)
+        row, col = np.concatenate([row[ok], links[0]]), np.concatenate([col[ok], links[1]])
         a, b = np.minimum(node[row], node[col]), np.maximum(node[row], node[col])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(cosine[row, col], pa.float64())})
 
@@ -114,7 +135,7 @@ def start(vectors: DataFrame, largest: int, link: float, k: int, floor: float, s
     salt = F.expr(f"pmod(xxhash64(node, code, {seed}), (size + {SPLIT - 1}) div {SPLIT})")
     leaves = placed.join(sizes, ["grp", "code"]).select("node", "grp", "code", salt.alias("salt"))
     leaves = leaves.join(vectors.select("node", "unit"), "node")
-    return leaves.groupBy("grp", "code", "salt").applyInArrow(_best(k, floor), EDGE).distinct()
+    return leaves.groupBy("grp", "code", "salt").applyInArrow(_best(k, floor, link), EDGE).distinct()
 
 
 def cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
 import hashlib
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,20 @@ def test_vectors(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_vectors_of_two_full_lists(spark):
+    """Links across two groups, each larger than a list of neighbours."""
+    rng = np.random.default_rng(1)
+    first, second = np.eye(64)[0], np.array([0.985, math.sqrt(1 - 0.985**2)] + [0.0] * 62)
+    around = lambda x: (x + rng.standard_normal((12, 64)) * 0.0028).tolist()
+    rows = list(enumerate(around(first) + around(second)))
+    unit = np.array([r[1] for r in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    cosine = unit @ unit.T
+    assert cosine[:12, 12:].min() >= 0.98 and cosine[:12, :12].min() > cosine[:12, 12:].max()
+    out = neighbours.near_vectors(spark.createDataFrame([(*r, 0) for r in rows], "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in out} == {(23, 0)}
+
+
 def test_stages_on_nothing(spark, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:
