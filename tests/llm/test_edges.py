@@ -197,6 +197,24 @@ def test_vectors_of_two_full_lists(spark):
     assert {(r["n_links"], r["component_id"]) for r in out} == {(23, 0)}
 
 
+def test_vectors_of_crowded_labels(spark):
+    """Pairs in large labels whose vectors all point the same way: one compared whole, one in leaves, both without loss."""
+    rng, rows, pairs = np.random.default_rng(2), [], 40
+    for label, mean in enumerate((0.9, 0.5)):
+        rest = rng.standard_normal((6000, 63))
+        rest /= np.linalg.norm(rest, axis=1)[:, None]
+        turned = 1 - (1 - 0.985) / (1 - mean)
+        rest[pairs : 2 * pairs] -= (rest[pairs : 2 * pairs] * rest[:pairs]).sum(axis=1)[:, None] * rest[:pairs]
+        rest[pairs : 2 * pairs] /= np.linalg.norm(rest[pairs : 2 * pairs], axis=1)[:, None]
+        rest[pairs : 2 * pairs] = turned * rest[:pairs] + math.sqrt(1 - turned**2) * rest[pairs : 2 * pairs]
+        unit = np.hstack([np.full((6000, 1), math.sqrt(mean)), math.sqrt(1 - mean) * rest])
+        rows += [(6000 * label + i, u, label) for i, u in enumerate(unit.tolist())]
+    out = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    out = neighbours.near_vectors(out, floor=0.98, most_rounds=1)
+    got = sorted((r["component_id"], r["vec_id"]) for r in out.filter("n_links > 0").collect())
+    assert got == sorted((6000 * label + i, 6000 * label + i + far) for label in (0, 1) for i in range(pairs) for far in (0, pairs))
+
+
 def test_stages_on_nothing(spark, none):
     docs = none
     for _, stage in corpus_pipeline.STAGES:
