@@ -5,13 +5,16 @@ before (last counters, recent packets, open bans), the job applies the batch ope
 micro-batch plus a small carried table, so results equal the batch form and hot sources are split the
 same way. The carried table of batch n is written once under its batch number on the shared store and
 only read by batch n + 1; a replayed batch reads the same input and overwrites the same output.
+
+Rows may come in any order. Keys with a row older than what they carry are computed again from the stored
+rows of all batches, from that row on; results of earlier batches that no longer hold are withdrawn.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.utils import AnalysisException
@@ -46,13 +49,50 @@ class Carried:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
 
+class Taken:
+    """All rows a job has taken, under their batch numbers; read for keys with late rows only."""
+
+    def __init__(self, path: str, schema: str):
+        self.path, self.schema = path, schema
+
+    def save(self, df: DataFrame, batch_id: int) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        return df.sparkSession.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+
+    def until(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        rows = spark.read.schema(f"{self.schema}, batch INT").parquet(self.path)
+        return rows.filter(F.col("batch") <= batch_id).drop("batch")
+
+
 def _emit(df: DataFrame, out: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
 
-def read_output(spark: SparkSession, out: str) -> DataFrame:
-    """All batches a job has written."""
-    return spark.read.parquet(out)
+def _without(rows: DataFrame, gone: DataFrame, *when: Column) -> DataFrame:
+    """``rows`` without those equal to a row of ``gone`` in its columns ``_gone_...``."""
+    same = [F.col(c.removeprefix("_gone_")).eqNullSafe(F.col(c)) for c in gone.columns if c.startswith("_gone_")]
+    return rows.join(gone, [*same, *when], "left_anti")
+
+
+def read_output(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """All batches a job has written (those ``before`` a batch), without what later ones have withdrawn."""
+    earlier = F.lit(True) if before is None else F.col("batch") < before
+    rows = spark.read.parquet(out).filter(earlier)
+    try:
+        gone = spark.read.parquet(f"{out}-withdrawn")
+    except AnalysisException:
+        return rows
+    gone = gone.filter(earlier).withColumnRenamed("batch", "_until")
+    return _without(rows, gone, F.col("batch") < F.col("_until"))
+
+
+def _revise(fresh: DataFrame, right: DataFrame, given: DataFrame, out: str, batch_id: int) -> None:
+    """Emit ``fresh``, and of ``right`` what is not among the earlier results ``given``; withdraw the rest of ``given``."""
+    right, given = right.select(*fresh.columns), given.select(*fresh.columns)
+    gone = given.exceptAll(right).distinct().toDF(*[f"_gone_{c}" for c in fresh.columns])
+    _emit(gone, f"{out}-withdrawn", batch_id)
+    gone = fresh.sparkSession.read.schema(gone.schema).parquet(f"{out}-withdrawn/batch={batch_id}")
+    _emit(fresh.unionByName(right.exceptAll(_without(given, gone))), out, batch_id)
 
 
 def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
@@ -60,9 +100,12 @@ def _each_batch(stream: DataFrame, step: Callable[[DataFrame, int], None], check
 
 
 def stream_flows(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Distinct (ip, port, proto) of a capture-text stream; late packets are not lost until ``delay``."""
+    """Distinct (ip, port, proto) of a capture-text stream, each once, however late its packets are.
+
+    The state holds every flow met and no packet is too late, so ``delay`` bounds nothing; it stays for callers.
+    """
     packets = X.parse_packets(lines).withColumn("ts", F.timestamp_micros("ts_us"))
-    return packets.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ip", "port", "proto"])
+    return packets.dropDuplicates(["ip", "port", "proto"])
 
 
 def stream_port_history(packets: DataFrame, store: str, checkpoint: str, as_of: int) -> DataStreamWriter:
@@ -81,21 +124,31 @@ def stream_port_history(packets: DataFrame, store: str, checkpoint: str, as_of:
 def stream_counter_delta(snapshots: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
     """Positive counter increases of a snapshot stream: ``run_ts, ip, count, list_type``.
 
-    The carried table is the last reading per key, about one snapshot. A reading not newer than the one
-    carried is skipped.
+    The carried table is the last reading per key, about one snapshot.
     """
-    key = ["ip", "list_type"]
-    last = Carried(f"{out}-state", "ip STRING, list_type STRING, run_ts BIGINT, packets BIGINT")
+    key, cols = ["ip", "list_type"], ["ip", "list_type", "run_ts", "packets"]
+    schema = "ip STRING, list_type STRING, run_ts BIGINT, packets BIGINT"
+    last, taken = Carried(f"{out}-state", schema), Taken(f"{out}-taken", schema)
+
+    def increases(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(F.col("delta") > 0)
+        return rows.select("run_ts", "ip", F.col("delta").alias("count"), "list_type")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = last.before(batch.sparkSession, batch_id)
+        spark = batch.sparkSession
+        old = last.before(spark, batch_id).select(*cols)
+        new = taken.save(batch.select(*cols), batch_id)
         seen = old.select(*key, F.col("run_ts").alias("_seen"))
-        cols = [*key, "run_ts", "packets"]
-        fresh = batch.select(*cols).join(seen, key, "left")
-        fresh = fresh.filter(F.col("_seen").isNull() | (F.col("run_ts") > F.col("_seen"))).select(*cols)
-        both = old.select(*cols, F.lit(True).alias("_old")).unionByName(fresh.withColumn("_old", F.lit(False)))
-        rows = deltas.counter_delta(both, key).filter(~F.col("_old") & (F.col("delta") > 0))
-        _emit(rows.select("run_ts", "ip", F.col("delta").alias("count"), "list_type"), out, batch_id)
+        firsts = new.groupBy(*key).agg(F.min("run_ts").alias("_first"))
+        late = firsts.join(seen, key).filter("_first <= _seen").select(*key, "_first")
+        both = old.withColumn("_old", F.lit(True)).unionByName(new.withColumn("_old", F.lit(False)))
+        fresh = increases(deltas.counter_delta(both.join(late, key, "left_anti"), key).filter(~F.col("_old")))
+        if late.isEmpty():
+            _emit(fresh, out, batch_id)
+        else:
+            rows = deltas.counter_delta(taken.until(spark, batch_id).join(late, key), key)
+            given = read_output(spark, out, batch_id).join(late, key).filter("run_ts >= _first")
+            _revise(fresh, increases(rows.filter("run_ts >= _first")), given, out, batch_id)
         newest = both.groupBy(*key).agg(F.max(F.struct("run_ts", "packets")).alias("m"))
         last.save(newest.select(*key, "m.run_ts", "m.packets"), batch_id)
 
@@ -118,25 +171,36 @@ def stream_live_top5(hits: DataFrame, ip_info: DataFrame, out: str, checkpoint:
 def stream_bruteforce(packets: DataFrame, config: Config, out: str, checkpoint: str) -> DataStreamWriter:
     """Brute-force hits of a packet stream, as in the batch detector.
 
-    The carried table holds protected connections of the last ``brute_seconds``, all a later packet can
-    still count.
+    The carried table holds, per source and protocol, the protected connections of the ``brute_seconds`` before the
+    newest one, so a clock far ahead concerns its own source only.
     """
     schema = "pkt_id BIGINT, src STRING, proto STRING, ts_us BIGINT"
-    recent = Carried(f"{out}-state", schema)
-    names = ["pkt_id", "src", "proto", "ts_us"]
+    recent, taken = Carried(f"{out}-state", schema), Taken(f"{out}-taken", schema)
+    names, key, span = ["pkt_id", "src", "proto", "ts_us"], ["src", "proto"], config.brute_seconds * detect.US
+
+    def hits(rows: DataFrame) -> DataFrame:
+        counted = detect.trailing_count(rows, key, "ts_us", config.brute_seconds, config.brute_hits + 1)
+        return counted.withColumn("hits", F.col("recent") - 1)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = recent.before(batch.sparkSession, batch_id).withColumn("_carried", F.lit(True))
-        new = detect.protected(batch, config).select(*names).withColumn("_carried", F.lit(False))
+        spark = batch.sparkSession
+        old = recent.before(spark, batch_id).withColumn("_carried", F.lit(True))
+        new = taken.save(detect.protected(batch, config).select(*names), batch_id).withColumn("_carried", F.lit(False))
         both = old.unionByName(new)
-        counted = detect.trailing_count(
-            both, ["src", "proto"], "ts_us", config.brute_seconds, config.brute_hits + 1
-        )
-        hits = counted.withColumn("hits", F.col("recent") - 1)
-        _emit(hits.filter(~F.col("_carried")).select(*names, "hits"), out, batch_id)
-        top = both.agg(F.max("ts_us")).first()[0] or 0  # one number
-        keep = both.filter(F.col("ts_us") >= top - config.brute_seconds * detect.US)
-        recent.save(keep.select(*names), batch_id)
+        seen = old.groupBy(*key).agg(F.max("ts_us").alias("_seen"))
+        firsts = new.groupBy(*key).agg(F.min("ts_us").alias("_first"))
+        # A connection of the same instant counts for the ones carried.
+        late = firsts.join(seen, key).filter("_first <= _seen").select(*key, "_first")
+        fresh = hits(both.join(late, key, "left_anti")).filter(~F.col("_carried")).select(*names, "hits")
+        if late.isEmpty():
+            _emit(fresh, out, batch_id)
+        else:
+            rows = taken.until(spark, batch_id).join(late, key).filter(F.col("ts_us") >= F.col("_first") - span)
+            given = read_output(spark, out, batch_id).join(late, key).filter("ts_us >= _first")
+            _revise(fresh, hits(rows).filter("ts_us >= _first"), given, out, batch_id)
+        top = both.groupBy(*key).agg(F.max("ts_us").alias("_top"))
+        kept = both.join(top, key).filter(F.col("ts_us") >= F.col("_top") - span)
+        recent.save(kept.select(*names), batch_id)
 
     return _each_batch(packets, step, checkpoint)
 
@@ -144,20 +208,36 @@ def stream_bruteforce(packets: DataFrame, config: Config, out: str, checkpoint:
 def stream_bans(offences: DataFrame, out: str, checkpoint: str, timeout: int) -> DataStreamWriter:
     """Ban intervals of an offence stream (src, ts in seconds); 0 is permanent.
 
-    The carried table is the end of the last ban per source; offences before it open nothing.
+    The carried table is the last ban per source. Offences during it open nothing; one before it can move the
+    source's bans from there on.
     """
-    last = Carried(f"{out}-state", "src STRING, end_s BIGINT, permanent BOOLEAN")
+    last = Carried(f"{out}-state", "src STRING, start_s BIGINT, end_s BIGINT")
+    taken = Taken(f"{out}-taken", "src STRING, ts BIGINT")
+    newest = F.max(F.struct("start_s", "end_s")).alias("m")
+
+    def free(rows: DataFrame, bans: DataFrame) -> DataFrame:
+        rows = rows.join(bans, "src", "left").filter(F.col("start_s").isNull() | (F.col("ts") >= F.col("end_s")))
+        return detect.ban_intervals(rows.select("src", "ts"), timeout)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        old = last.before(batch.sparkSession, batch_id)
-        rows = batch.select("src", "ts").join(old, "src", "left")
-        free = rows.filter(F.col("permanent").isNull() | (~F.col("permanent") & (F.col("ts") >= F.col("end_s"))))
+        spark = batch.sparkSession
+        old = last.before(spark, batch_id)
+        new = taken.save(batch.select("src", F.col("ts").cast("bigint").alias("ts")).filter("ts IS NOT NULL").distinct(), batch_id)
+        firsts = new.groupBy("src").agg(F.min("ts").alias("_first"))
+        late = firsts.join(old, "src").filter("_first < start_s").select("src", "_first")
+        fresh = free(new.join(late, "src", "left_anti"), old)
+        if late.isEmpty():
+            _emit(fresh, out, batch_id)
+        else:
+            given = read_output(spark, out, batch_id).join(late, "src")
+            before = given.filter("start_s < _first").groupBy("src").agg(newest).select("src", "m.*")
+            rows = taken.until(spark, batch_id).join(late, "src").filter("ts >= _first")
+            _revise(fresh, free(rows, before), given.filter("start_s >= _first"), out, batch_id)
         # Stored first: the emitted rows and the carried rows come from one computation.
-        _emit(detect.ban_intervals(free.select("src", "ts"), timeout), out, batch_id)
-        made = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")
-        ends = made.select("src", "end_s", F.col("end_s").isNull().alias("permanent")).unionByName(old)
-        top = ends.groupBy("src").agg(F.max("end_s").alias("end_s"), F.max("permanent").alias("permanent"))
-        last.save(top, batch_id)
+        made = read_output(spark, out, batch_id + 1)
+        changed = made.filter(F.col("batch") == batch_id) if late.isEmpty() else made.join(late, "src", "left_semi").unionByName(made.filter(F.col("batch") == batch_id))
+        kept = changed.select("src", "start_s", "end_s").unionByName(old.join(late, "src", "left_anti"))
+        last.save(kept.groupBy("src").agg(newest).select("src", "m.start_s", "m.end_s"), batch_id)
 
     return _each_batch(offences, step, checkpoint)
 
