@@ -215,3 +215,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dropscope.llm.neighbours import near_vectors
 
     return near_vectors(_table(spark, sf_dir, "embeddings"), link=0.98)
+
+
+@_query(
+    "op13_private_spans",
+    r"""
+WITH k(kind, r, pat, start_, up, down) AS (VALUES
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 90, 'email|mail|contact|correo|courriel', 'example|test'),
+  ('ip', 2, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', 60, 'ip|host|address|client|server', 'version|release|build|firmware'),
+  ('card', 3, '[0-9](?:[\x20-]?[0-9])+', 80, 'card|visa|mastercard|amex|credit|tarjeta|carte|karte', 'order|invoice|isbn|item|serial|tracking|part'),
+  ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', 70, 'phone|tel|telefon|telefono|call|mobile|fax|handy|whatsapp|contact', 'order|invoice|isbn|item|serial|tracking|part'),
+  ('iban', 5, '\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b', 80, 'iban|bank|account|konto|cuenta|compte', 'order|invoice|isbn|item|serial|tracking|part'),
+  ('ssn', 6, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', 30, 'ssn|social security|tax id|taxpayer', 'order|invoice|isbn|item|serial|tracking|part'),
+  ('local_phone', 7, '\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}\b', 30, 'phone|tel|telefon|telefono|call|mobile|fax|handy|whatsapp|contact', 'order|invoice|isbn|item|serial|tracking|part')),
+x AS (SELECT doc_id, text, k.*, string_split_regex(text, pat) AS gap, regexp_extract_all(text, pat) AS m FROM documents, k WHERE regexp_matches(text, pat)),
+y AS (SELECT * EXCLUDE (gap, m), i, gap[i] AS gap, m[i] AS m FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM x)),
+z AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS c FROM y),
+t AS (SELECT *, e - length(m) AS b, CASE kind WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: coalesce(TRY_CAST(p AS HUGEINT) > 255, true))) = 0
+  WHEN 'card' THEN length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE 2 * CAST(d[i] AS INT) - CASE WHEN d[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 WHEN 'ssn' THEN d[1:3] NOT IN ('000', '666') AND d[1] <> '9'
+  WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(c, 5) || left(c, 4), ''), lambda s: CASE WHEN s <= '9' THEN CAST(s AS INT) ELSE ascii(s) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1
+  ELSE true END AS ok FROM z),
+w AS (SELECT *, translate(substr(text, greatest(1, b - 47), least(b, 48)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS l,
+  translate(substr(text, e + 1, 16), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS rr FROM t WHERE ok),
+p AS (SELECT *, least(100, start_ + CASE WHEN regexp_matches(l, '(^|[^a-z])(' || up || ')([^a-z]|$)') OR regexp_matches(rr, '(^|[^a-z])(' || up || ')([^a-z]|$)') THEN 30 ELSE 0 END
+  - CASE WHEN regexp_matches(l, '(^|[^a-z])(' || down || ')([^a-z]|$)') OR regexp_matches(rr, '(^|[^a-z])(' || down || ')([^a-z]|$)') THEN 30 ELSE 0 END) AS score FROM w),
+s AS (SELECT * FROM p WHERE r <= 4 OR score >= 50 AND NOT EXISTS (SELECT 1 FROM p q WHERE q.r <= 4 AND q.doc_id = p.doc_id AND q.b < p.e AND p.b < q.e)),
+a AS (SELECT doc_id, count(*) FILTER (r = 1) AS n_email, count(*) FILTER (r = 2) AS n_ip, count(*) FILTER (r = 3) AS n_card, count(*) FILTER (r = 4) AS n_phone,
+  string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, r) FILTER (r <= 4) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, r) AS spans,
+  string_agg(CAST(score AS VARCHAR), ',' ORDER BY b, r) AS scores FROM s GROUP BY 1)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN a USING (doc_id)""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.personal import private_report
+
+    return private_report(_table(spark, sf_dir, "documents"))
