@@ -251,3 +251,45 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dropscope.llm.personal import private_report
 
     return private_report(_table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op12_conversation_repair",
+    r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS b FROM conversations),
+h AS (SELECT * EXCLUDE (b), xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, v: list_reduce([xor(a, v), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END))) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE h WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), copy) AS i FROM d),
+q AS (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev, left(role, 1) AS ini, count(*) OVER (PARTITION BY conv_id) AS n,
+  NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut FROM o),
+r AS (SELECT conv_id, i, n, turn, role, text, ini, blank, NOT blank AND seen AS dup, NOT blank AND NOT seen AND cut AS trunc, prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au') AS bad,
+  CASE WHEN blank OR seen THEN 1000000000 WHEN cut THEN 5 ELSE 0 END AS x FROM q),
+b(conv_id, i, c) AS (SELECT DISTINCT conv_id, n + 1, [0, 10, 5, 0]::BIGINT[] FROM r UNION ALL
+  SELECT conv_id, i, [least(y[1], 5 + least(y[3], 5 + y[4])), least(y[2], 5 + least(y[3], 5 + y[4])), least(y[3], 5 + y[4]), least(y[4], 5 + y[3])] FROM (
+  SELECT b.conv_id, r.i, [least(2 + c[1], 1 + x + c[3], CASE ini WHEN 's' THEN x + c[2] WHEN 'u' THEN x + c[3] END), least(2 + c[2], 1 + x + c[3], CASE ini WHEN 'u' THEN x + c[3] END),
+    least(2 + c[3], 1 + x + c[4], CASE ini WHEN 'a' THEN x + c[4] END), least(2 + c[4], 1 + x + c[3], CASE ini WHEN 'u' THEN x + c[3] END)] AS y
+  FROM b JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i - 1)),
+f(conv_id, i, s, audit, kept) AS (SELECT DISTINCT conv_id, 1::BIGINT, 1, '', []::VARCHAR[] FROM r UNION ALL
+  SELECT conv_id, CASE e WHEN 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN s WHEN 'K' THEN k ELSE nx END, audit || e,
+    CASE e WHEN 'D' THEN kept WHEN 'K' THEN list_append(kept, role || ':' || text) ELSE list_append(kept, CASE nx WHEN 3 THEN 'user:' ELSE 'assistant:' END || CASE e WHEN 'R' THEN text ELSE '' END) END
+  FROM (SELECT *, CASE WHEN p.c[s] = 2 + p.c1[s] THEN 'D' WHEN p.c[s] = 5 + p.c[nx] THEN 'I' WHEN p.c[s] = x + p.c1[k] THEN 'K' ELSE 'R' END AS e FROM (
+    SELECT f.*, CASE s WHEN 3 THEN 4 ELSE 3 END AS nx, CASE WHEN s = 1 AND ini = 's' THEN 2 WHEN s <> 3 AND ini = 'u' THEN 3 WHEN s = 3 AND ini = 'a' THEN 4 END AS k, r.role, r.text, r.x, b.c, g.c AS c1
+    FROM f JOIN b ON b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.i = f.i LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i
+    LEFT JOIN b g ON g.conv_id IS NOT DISTINCT FROM f.conv_id AND g.i = f.i + 1 WHERE r.i IS NOT NULL OR s IN (2, 3)) p)),
+e AS (SELECT conv_id, arg_max(audit, length(audit)) AS audit, arg_max(kept, length(audit)) AS kept FROM f GROUP BY 1),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (trunc) AS truncated, count(*) FILTER (bad) AS illegal FROM r GROUP BY 1),
+z AS (SELECT t.*, b.c[1] AS cost, e.audit, sha256(array_to_string(e.kept, chr(10))) AS repaired FROM t JOIN e ON e.conv_id IS NOT DISTINCT FROM t.conv_id
+  JOIN b ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.repair import repair_report
+
+    return repair_report(_table(spark, sf_dir, "conversations"))
