@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 import zlib
-from functools import lru_cache
 
 from dropscope.llm import repair
 
@@ -15,33 +14,34 @@ def _search(rows):
     """Least (cost, letters) of ``rows`` (initial, what is left) by trying every edit, at most two inserts in a row."""
     follow = {"": "su", "s": "u", "u": "a", "a": "u"}
 
-    @lru_cache(maxsize=None)
-    def best(i, last, inserts):
-        options = []
-        if inserts < 2:
-            for role in "ua":
-                if role in follow[last]:
-                    cost, rest = best(i, role, inserts + 1)
-                    options.append((cost + 5, "I" + rest))
-        if i == len(rows):
-            if last in ("", "a"):
-                options.append((0, ""))
-            return min(options, default=(10**9, ""))
-        initial, left = rows[i]
-        cost, rest = best(i + 1, last, 0)
-        options.append((cost + 2, "D" + rest))
-        if left != "gone":
-            extra = 5 if left == "open" else 0
-            if initial and initial in follow[last]:
-                cost, rest = best(i + 1, initial, 0)
-                options.append((cost + extra, "K" + rest))
-            for role in "ua":
-                if role in follow[last]:
-                    cost, rest = best(i + 1, role, 0)
-                    options.append((cost + extra + 1, "R" + rest))
-        return min(options)
-
-    return best(0, "", 0)
+    best = {}
+    for i in range(len(rows), -1, -1):
+        for inserts in (2, 1, 0):
+            for last in follow:
+                options = []
+                for role in "ua" if inserts < 2 else "":
+                    if role in follow[last]:
+                        cost, rest = best[i, role, inserts + 1]
+                        options.append((cost + 5, "I" + rest))
+                if i == len(rows):
+                    if last in ("", "a"):
+                        options.append((0, ""))
+                    best[i, last, inserts] = min(options, default=(10**9, ""))
+                    continue
+                initial, left = rows[i]
+                cost, rest = best[i + 1, last, 0]
+                options.append((cost + 2, "D" + rest))
+                if left != "gone":
+                    extra = 5 if left == "open" else 0
+                    if initial and initial in follow[last]:
+                        cost, rest = best[i + 1, initial, 0]
+                        options.append((cost + extra, "K" + rest))
+                    for role in "ua":
+                        if role in follow[last]:
+                            cost, rest = best[i + 1, role, 0]
+                            options.append((cost + extra + 1, "R" + rest))
+                best[i, last, inserts] = min(options)
+    return best[0, "", 0]
 
 
 def _codes(rows):
@@ -129,9 +129,6 @@ def test_report_equals_plain_python(spark):
     df = spark.createDataFrame([(*t, "x", "y", None) for t in turns], SCHEMA)
     got = repair.repair_report(df).collect()
     names = (*repair.NUMBERS, "audit", "repaired_sha256")
-    import sys
-
-    sys.setrecursionlimit(20_000)
     assert {r["conv_id"]: tuple(r[n] for n in names) for r in got} == _report(turns) and len(got) == 64
 
 
