@@ -129,7 +129,7 @@ def test_report_equals_plain_python(spark):
     df = spark.createDataFrame([(*t, "x", "y", None) for t in turns], SCHEMA)
     got = repair.repair_report(df).collect()
     names = (*repair.NUMBERS, "audit", "repaired_sha256")
-    assert {r["conv_id"]: tuple(r[n] for n in names) for r in got} == _report(turns) and len(got) == 64
+    assert {r["conv_id"]: tuple(r[n] for n in names) for r in got} == _report(turns) and len(got) == 63
 
 
 def test_repaired_rows(spark):
