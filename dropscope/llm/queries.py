@@ -293,3 +293,29 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dropscope.llm.repair import repair_report
 
     return repair_report(_table(spark, sf_dir, "conversations"))
+
+
+@_query(
+    "op11_source_divergence",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+t AS (SELECT id, lang, source, unnest(t) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) + any_value(v) AS total FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // total AS p FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+l AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // ((SELECT sum(n) FROM c x WHERE x.lang = c.lang) + any_value(v)) AS q FROM c JOIN v USING (lang) GROUP BY 1, 2),
+a AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3),
+pair AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(a.value, 0) AS BIGINT) AS value FROM g JOIN g h ON h.lang = g.lang AND h.source <> g.source
+  LEFT JOIN a ON a.lang = g.lang AND a.source = g.source AND a.item = h.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR r <= 200""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dropscope.llm.divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
