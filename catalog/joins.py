@@ -8,7 +8,7 @@ from catalog.registry import hits, query, v4num
 from catalog.sources import CLEAN4, CLEAN6, PACKETS
 from catalog.views import AS_OF
 from dropscope.config import Config
-from dropscope.operators import abuse, classify, deltas, flows, netsets, reports, retention
+from dropscope.operators import abuse, classify, deltas, flows, membership, netsets, reports, retention
 from dropscope.plans import refresh
 from dropscope.sources import store as S
 from dropscope.sources import text as T
@@ -217,6 +217,66 @@ def classify_forwarded(v):
     return classify.classify_packets(v.packets, v.net_set, cfg, forward=True).select("pkt_id", "verdict", "reason")
 
 
+# ---- membership over time -------------------------------------------------------------------------
+
+LIFE = {"AutoBan": 60, "AutoBan6": 60}
+# Adds with their life and the next cut (removal, flush, rebuild); an add during a life changes nothing.
+SPANS = """sm AS (SELECT * FROM fw_set_events WHERE action IN ('flush','rebuild')),
+sa AS (SELECT e.set_name, e.net, e.event_time AS t, coalesce(e.timeout, (SELECT arg_max(timeout, {'t':event_time,'d':timeout}) FROM sm WHERE sm.set_name=e.set_name AND action='rebuild' AND sm.event_time<=e.event_time),
+   CASE WHEN e.set_name LIKE 'AutoBan%' THEN 60 ELSE 0 END) AS d,
+  least((SELECT min(event_time) FROM sm WHERE sm.set_name=e.set_name AND sm.event_time>e.event_time),
+   (SELECT min(event_time) FROM fw_set_events r WHERE r.action='remove' AND r.set_name=e.set_name AND r.net=e.net AND r.event_time>=e.event_time)) AS cap FROM fw_set_events e WHERE action='add'),
+so AS (SELECT set_name, net, coalesce(cap, 1::BIGINT << 61) AS cap, t, max(CASE WHEN d > 0 THEN t + d ELSE 1::BIGINT << 62 END) AS e FROM sa WHERE cap IS NULL OR cap > t GROUP BY ALL),
+sb AS (SELECT set_name, net, cap, min(t) AS t, arg_min(e, t) AS e FROM so GROUP BY ALL UNION ALL
+ SELECT sb.set_name, sb.net, sb.cap, min(so.t), arg_min(so.e, so.t) FROM sb JOIN so ON so.set_name=sb.set_name AND so.net=sb.net AND so.cap=sb.cap AND so.t >= sb.e GROUP BY ALL),
+spans AS (SELECT set_name, net, CAST(t AS BIGINT) AS added_at, CASE WHEN least(e, cap) < 1::BIGINT << 61 THEN CAST(least(e, cap) AS BIGINT) END AS expires_at FROM sb)"""
+MIDDLE = 1704067200 + 450  # half-way through the packets
+
+
+@query("set_intervals", f"WITH RECURSIVE {SPANS} SELECT set_name, net, added_at, expires_at FROM spans")
+def set_intervals(v):
+    return membership.set_intervals(v.set_events, LIFE)
+
+
+LIVE = f"live AS (SELECT * FROM spans WHERE added_at <= {MIDDLE} AND (expires_at IS NULL OR expires_at > {MIDDLE}))"
+
+
+@query(
+    "ip_lookup_at",
+    f"""WITH RECURSIVE {SPANS}, {LIVE}, {hits('fw_packets', 'live', 'src')}
+SELECT a.ip, count(h.set_name) > 0 AS blocked, coalesce(string_agg(h.set_name, ',' ORDER BY h.set_name),'') AS lists FROM a LEFT JOIN h ON h.ip=a.ip GROUP BY a.ip""",
+)
+def ip_lookup_at(v):
+    """Which sets held each source at one second."""
+    out = netsets.ip_lookup(v.packets, membership.set_intervals(v.set_events, LIFE), "src", MIDDLE)
+    return out.select(F.col("src").alias("ip"), "blocked", F.array_join("lists", ",").alias("lists"))
+
+
+@query(
+    "match_sets_at",
+    f"""WITH RECURSIVE {SPANS}, k AS (SELECT DISTINCT src, ts_us // 1000000 AS s FROM fw_packets),
+{hits('k', "(SELECT concat(set_name,'|',added_at,'|',coalesce(CAST(expires_at AS VARCHAR),'')) AS set_name, net FROM spans)", 'src')},
+o(base,rk) AS (VALUES ('FirewallBlock',0),('VPNBlock',1),('GeoBlock',2),('AutoBan',3),('Blacklist',4)),
+x AS (SELECT k.src, k.s, split_part(set_name,'|',1) AS set_name FROM k JOIN h ON h.ip=k.src WHERE CAST(split_part(set_name,'|',2) AS BIGINT) <= s AND (split_part(set_name,'|',3) = '' OR TRY_CAST(split_part(set_name,'|',3) AS BIGINT) > s)),
+m AS (SELECT src, s, bool_or(set_name LIKE 'FirewallWhite%') AS white, arg_min(set_name, rk) FILTER (rk IS NOT NULL) AS matched FROM x LEFT JOIN o ON o.base=regexp_replace(set_name,'6$','') GROUP BY 1,2)
+SELECT pkt_id, p.src, coalesce(white,false) AS white, matched AS matched_set FROM fw_packets p LEFT JOIN m ON m.src=p.src AND m.s=p.ts_us // 1000000""",
+)
+def match_sets_at(v):
+    """Sets that held a packet's source in the packet's own second."""
+    spans = membership.set_intervals(v.set_events, LIFE)
+    return classify.match_sets(v.packets, spans, ts="ts_us").select("pkt_id", "src", "white", "matched_set")
+
+
+@query(
+    "apply_bans_at",
+    f"WITH RECURSIVE {SPANS.replace('FROM fw_set_events', 'FROM ev').replace('sm AS (', 'ev AS (SELECT event_time, set_name, net, action, timeout FROM fw_set_events WHERE event_time <= ' + str(MIDDLE) + ' UNION ALL SELECT 0, set_name, net, ' + chr(39) + 'add' + chr(39) + ', 0 FROM fw_net_set), sm AS (', 1)}, {LIVE} SELECT set_name, net, added_at, expires_at FROM live",
+)
+def apply_bans_at(v):
+    """The stored sets after all events up to one second, with the times of their entries."""
+    stored = v.net_set.withColumns({c: F.lit(None).cast("bigint") for c in ("added_at", "expires_at")})
+    return S.apply_ban_events(stored, v.set_events, MIDDLE, LIFE)
+
+
 # ---- set operations and merging -------------------------------------------------------------------
 
 

@@ -132,6 +132,14 @@ SELECT {CUST_IP} AS ip, CASE WHEN c_custkey % 9 = 0 THEN '{{{{"errors":[{{{{"sta
  ELSE concat('{{{{"data":{{{{"ipAddress":"x","countryCode":"',CASE WHEN c_custkey % 9 = 2 THEN '' ELSE upper(substr(n_name,1,2)) END,'","abuseConfidenceScore":',cast(c_custkey % 101 as varchar(9)),',"domain":"',lower(c_mktsegment),'.example"}}}}}}}}') END AS json
 FROM customer JOIN nation ON c_nationkey=n_nationkey""",
     "fw_downloads": "SELECT source, CAST(1706659200 - (doc_id * 37) % 50000 AS bigint) AS fetched_at, CAST(n_chars % 40 AS bigint) AS size, doc_id FROM documents",
+    "fw_set_events": f"""
+SELECT 1704067200 + ({{US}} - 1704067200000000) {{DIV}} 2880000000 AS event_time,
+ CASE event_type WHEN 'error' THEN 'AutoBan' WHEN 'purchase' THEN 'AutoBan6' WHEN 'view' THEN 'GeoBlock' WHEN 'signup' THEN 'FirewallWhite' ELSE 'Blacklist' END AS set_name,
+ CASE WHEN event_id % 211 IN (0,1) THEN CAST(NULL AS varchar(9)) WHEN event_type='purchase' THEN concat('2001:db8::',lower({{HEX_USER}}),'/128') WHEN event_type='view' THEN concat('198.51.',cast(user_id {{DIV}} 256 as varchar(9)),'.',cast(user_id % 4 * 64 as varchar(9)),'/26')
+  ELSE {USER_IP} END AS net,
+ CASE event_id % 211 WHEN 0 THEN 'flush' WHEN 1 THEN 'rebuild' ELSE CASE WHEN event_id % 5 = 3 THEN 'remove' ELSE 'add' END END AS action,
+ CASE WHEN event_id % 211 = 1 THEN event_id % 4 * 45 WHEN event_id % 6 = 0 THEN 20 + event_id % 70 END AS timeout
+FROM events""",
     "fw_ban_requests": f"""
 SELECT CAST({{US}} {{DIV}} 1000000 AS bigint) AS event_time, CASE WHEN event_type='purchase' THEN concat('2001:db8::',lower({{HEX_USER}})) WHEN event_type='view' THEN concat('127.0.0.',cast(user_id % 250 as varchar(9))) ELSE {USER_IP} END AS ip,
  CASE WHEN event_id % 3 = 0 THEN 'unban' ELSE 'ban' END AS action FROM events""",

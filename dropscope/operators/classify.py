@@ -8,34 +8,44 @@ from pyspark.sql import functions as F
 from dropscope.config import Config
 from dropscope.functions import ip as IP
 from dropscope.functions.times import floor_div
+from dropscope.operators.membership import sets_at
 from dropscope.operators.netsets import matches
 
 # Order in which the block sets are consulted.
 SET_ORDER = ["FirewallBlock", "VPNBlock", "GeoBlock", "AutoBan", "Blacklist"]
 
 
-def _sets_of_source(ips: DataFrame, net_set: DataFrame, config: Config, col: str) -> DataFrame:
-    """One row per matched source: ``white`` and the first block set that holds it."""
+def _first_set(hits: DataFrame, config: Config, key: list[str]) -> DataFrame:
+    """One row per matched source (and second): ``white`` and the first block set that holds it."""
+    col = key[0]
     order = [s for s in SET_ORDER if (s != "AutoBan" or config.autoban) and (s != "Blacklist" or config.manual)]
     rank, white = F.lit(None).cast("int"), F.col("set_name").isin("FirewallWhite", "FirewallWhite6")
     base = F.regexp_replace("set_name", "6$", "")
     for i, name in enumerate(order):
         rank = F.when(base == name, i).otherwise(rank)
     names = F.array(*[F.lit(s) for s in order])
-    per = matches(ips, net_set, col).groupBy(col).agg(F.max(white).alias("white"), F.min(rank).alias("_rank"))
+    per = hits.groupBy(*key).agg(F.max(white).alias("white"), F.min(rank).alias("_rank"))
     found = F.get(names, F.col("_rank"))
     family = F.when(IP.is_v6(col) & found.isNotNull(), F.concat(found, F.lit("6"))).otherwise(found)
-    return per.select(col, "white", family.alias("matched_set"))
+    return per.select(*key, "white", family.alias("matched_set"))
 
 
-def match_sets(packets: DataFrame, net_set: DataFrame, config: Config | None = None, col: str = "src") -> DataFrame:
+def match_sets(
+    packets: DataFrame, net_set: DataFrame, config: Config | None = None, col: str = "src", ts: str | None = None
+) -> DataFrame:
     """``packets`` plus ``white`` and ``matched_set``.
 
     Distinct sources are looked up once; the result has one row per source, so adaptive execution may
-    split a hot source's packets over many tasks (or broadcast the lookup when it is measured small).
+    split a hot source's packets over many tasks (or broadcast the lookup when it is measured small). With ``ts``
+    (microseconds), ``net_set`` has ``added_at, expires_at`` and a packet meets the entries valid in its second.
     """
-    found = _sets_of_source(packets, net_set, config or Config(), col)
-    return packets.join(found, col, "left").withColumn("white", F.coalesce("white", F.lit(False)))
+    white = F.coalesce("white", F.lit(False))
+    if ts is None:
+        found = _first_set(matches(packets, net_set, col), config or Config(), [col])
+        return packets.join(found, col, "left").withColumn("white", white)
+    timed = packets.withColumn("_second", floor_div(ts, 1000000))
+    found = _first_set(sets_at(timed, net_set, col, "_second"), config or Config(), [col, "_second"])
+    return timed.join(found, [col, "_second"], "left").select(*packets.columns, white.alias("white"), "matched_set")
 
 
 def _rules_v4(config: Config, tcp: tuple[int, ...], udp: tuple[int, ...], forward: bool) -> list[tuple[Column, str, str]]:
@@ -108,18 +118,20 @@ def classify_packets(
     forward: bool = False,
     over_limit: DataFrame | None = None,
     brute: DataFrame | None = None,
+    ts: str | None = None,
 ) -> DataFrame:
     """``packets`` plus ``verdict``, ``reason``, ``matched_set`` and ``ban``.
 
     ``over_limit`` (conn_id = pkt_id) and ``brute`` (pkt_id) are results of the detectors; packets to a
     service port named there are dropped before the service rule lets them pass. ``ban`` marks packets whose source
-    is added to the dynamic set: brute-force packets always, trapped ones while automatic bans are on.
+    is added to the dynamic set: brute-force packets always, trapped ones while automatic bans are on. ``ts``: see
+    ``match_sets``.
     """
     if not config.enabled:
         off = {"verdict": "pass", "reason": "disabled"}
         cols = [F.lit(v).alias(k) for k, v in off.items()]
         return packets.select("*", *cols, F.lit(None).cast("string").alias("matched_set"), F.lit(False).alias("ban"))
-    rows = match_sets(packets, net_set, config)
+    rows = match_sets(packets, net_set, config, ts=ts)
     v6 = IP.is_v6("src")
     decide = F.when(
         v6, _decide(_rules_v6(config, config.tcp_services, config.udp_services, forward))

@@ -8,16 +8,13 @@ slot needs from the rest arrives as one row per source and slot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dropscope.config import DAY, Config
 from dropscope.functions.times import floor_div
+from dropscope.operators.holds import greedy_holds
 
 US = 1000000
 
@@ -171,72 +168,34 @@ def bruteforce_bans(packets: DataFrame, config: Config, ts: str = "ts_us") -> Da
     While a source is banned its connections are dropped before they are counted, so after a ban the count
     starts anew: a hit opens the next ban only if the whole run of connections behind it came after the
     ban's end. Ends fall on whole seconds, so of all hits whose run began in the same second only the first
-    can matter; that leaves one row per source and second to fold.
+    can matter; that leaves one row per source and second, folded as in ``ban_intervals``.
     """
     rows = protected(packets, config).select("src", "proto", ts)
     hits = nth_previous(rows, ["src", "proto"], ts, config.brute_hits, config.brute_seconds)
-    began, at = floor_div("nth", US).alias("began"), floor_div(ts, US)
-    firsts = hits.groupBy("src", began).agg(F.min(at).alias("ts"))
+    began, at = floor_div("nth", US).alias("free"), floor_div(ts, US)
+    firsts = hits.groupBy("src", began).agg(F.min(at).alias("start"))
     if config.ban_timeout == 0:
-        return firsts.groupBy("src").agg(F.min("ts").alias("start_s"), F.lit(None).cast("long").alias("end_s"))
-    ordered = firsts.repartition("src").sortWithinPartitions("src", "began")
-    timeout = config.ban_timeout
-    return ordered.mapInPandas(lambda b: _fold_runs(b, timeout), "src string, start_s long, end_s long")
-
-
-def _fold_runs(batches: Iterator[pd.DataFrame], timeout: int) -> Iterator[pd.DataFrame]:
-    """Ban starts over rows sorted by (src, began): the earliest hit whose run began after the last ban."""
-    current, free_from, best = None, None, None
-    for pdf in batches:
-        who, start = [], []
-        for src, began, ts in zip(pdf["src"], pdf["began"], pdf["ts"]):
-            if best is not None and (src != current or began > best):
-                who.append(current)
-                start.append(best)
-                free_from, best = best + timeout, None
-            if src != current:
-                current, free_from = src, None
-            if free_from is None or began >= free_from:
-                best = ts if best is None else min(best, ts)
-        yield pd.DataFrame({"src": who, "start_s": start, "end_s": [s + timeout for s in start]})
-    if best is not None:
-        yield pd.DataFrame({"src": [current], "start_s": [best], "end_s": [best + timeout]})
-
-
-def _fold_bans(batches: Iterator[pd.DataFrame], timeout: int) -> Iterator[pd.DataFrame]:
-    """Greedy ban starts over rows sorted by (src, ts); keeps one source and one time between batches."""
-    current, free_from = None, None
-    for pdf in batches:
-        src, ts = pdf["src"].to_numpy(), pdf["ts"].to_numpy()
-        edges = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1), len(src)]
-        who, start = [], []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if a == b:
-                continue
-            if src[a] != current:
-                current, free_from = src[a], None
-            at = a if free_from is None else a + int(np.searchsorted(ts[a:b], free_from))
-            while at < b:
-                who.append(current)
-                start.append(int(ts[at]))
-                free_from = start[-1] + timeout
-                at += int(np.searchsorted(ts[at:b], free_from))
-        yield pd.DataFrame({"src": who, "start_s": start, "end_s": [s + timeout for s in start]})
+        return firsts.groupBy("src").agg(F.min("start").alias("start_s"), F.lit(None).cast("long").alias("end_s"))
+    # A run that began a little later may hit earlier: runs of the next seconds are seen from the day before as well.
+    slots = F.array_distinct(F.array(floor_div("free", DAY), floor_div(F.col("free") - config.brute_seconds - 1, DAY)))
+    near = W.partitionBy("src", "_slot").orderBy("free").rangeBetween(0, config.brute_seconds + 1)
+    soonest = firsts.withColumn("_slot", F.explode(slots)).withColumn("start", F.min("start").over(near))
+    soonest = soonest.filter(F.col("_slot") == floor_div("free", DAY))
+    return greedy_holds(soonest.select("src", "free", "start", (F.col("start") + config.ban_timeout).alias("end")), ["src"])
 
 
 def ban_intervals(offences: DataFrame, timeout: int = DAY, ts: str = "ts") -> DataFrame:
     """Bans opened by offences: ``src, start_s, end_s`` in whole seconds; hits during a ban do not extend it.
 
-    ``timeout`` 0 is a permanent ban (``end_s`` null). Each ban depends on the one before, so a source is
-    folded in order, as a stream: offences shrink to distinct seconds on the map side, which bounds a
-    source by the length of history and not by its rows, and the sorted rows pass through a fold that
-    holds two values. No group is gathered in memory.
+    ``timeout`` 0 is a permanent ban (``end_s`` null). Each ban depends on the one before; days of a source are
+    folded side by side and chained (see ``holds``), so a busy source is many tasks. A day holds at most 86,400 distinct
+    seconds of a source.
     """
     seconds = offences.select("src", F.col(ts).cast("long").alias("ts")).filter(F.col("ts").isNotNull())
     if timeout == 0:
         return seconds.groupBy("src").agg(F.min("ts").alias("start_s"), F.lit(None).cast("long").alias("end_s"))
-    ordered = seconds.distinct().repartition("src").sortWithinPartitions("src", "ts")
-    return ordered.mapInPandas(lambda rows: _fold_bans(rows, timeout), "src string, start_s long, end_s long")
+    at = F.col("ts")
+    return greedy_holds(seconds.select("src", at.alias("free"), at.alias("start"), (at + timeout).alias("end")), ["src"])
 
 
 def bans_at(intervals: DataFrame, as_of: int) -> DataFrame:

@@ -28,10 +28,10 @@ def _is_short() -> Column:
     return F.col("plen") < F.when(F.col("family") == 4, SHORT_V4).otherwise(SHORT_V6)
 
 
-def keyed_sets(net_set: DataFrame) -> DataFrame:
-    """``set_name, family, plen, key, salt``; short prefixes once per salt."""
-    rows = with_bits(net_set.select("set_name", "net"), "net").select(
-        "set_name", "family", "plen", IP.network_key("bits", "plen").alias("key")
+def keyed_sets(net_set: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """``set_name, family, plen, key, salt`` and the columns ``more``; short prefixes once per salt."""
+    rows = with_bits(net_set.select("set_name", "net", *more), "net").select(
+        "set_name", "family", "plen", IP.network_key("bits", "plen").alias("key"), *more
     )
     salts = F.when(_is_short(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return rows.distinct().withColumn("salt", F.explode(salts))
@@ -70,8 +70,20 @@ def matches(ips: DataFrame, net_set: DataFrame, col: str = "ip") -> DataFrame:
     return hit.select(col, "set_name").distinct()
 
 
-def ip_lookup(ips: DataFrame, net_set: DataFrame, col: str = "ip") -> DataFrame:
-    """Which sets hold each address: ``ip, blocked, lists`` (lists bounded by the number of sets)."""
+def matched_spans(ips: DataFrame, net_set: DataFrame, more: tuple[str, ...], col: str = "ip") -> DataFrame:
+    """As ``matches``, one row per entry that differs in the columns ``more``."""
+    keyed = keyed_sets(net_set, more)
+    probe = expand_prefixes(ips, prefix_lengths(keyed), col)
+    return probe.join(keyed, ["family", "plen", "key", "salt"]).select(col, "set_name", *more).distinct()
+
+
+def ip_lookup(ips: DataFrame, net_set: DataFrame, col: str = "ip", as_of: int | None = None) -> DataFrame:
+    """Which sets hold each address: ``ip, blocked, lists`` (lists bounded by the number of sets). With ``as_of``,
+    only entries valid at that second count."""
+    if as_of is not None:
+        from dropscope.operators.membership import live_at
+
+        net_set = live_at(net_set, as_of)
     found = matches(ips, net_set, col).groupBy(col).agg(F.array_sort(F.collect_set("set_name")).alias("lists"))
     out = ips.select(col).distinct().join(found, col, "left")
     none = F.array().cast("array<string>")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from dropscope.config import SET_FAMILIES
+from dropscope.operators.membership import apply_events
 from dropscope.operators.retention import closed_day
 from dropscope.functions import ip as IP
 
@@ -232,8 +233,16 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return target.join(changes.select(*key), key, "left_anti").unionByName(rows)
 
 
-def apply_ban_events(net_set: DataFrame, events: DataFrame) -> DataFrame:
-    """Sets after a log of ``event_time, set_name, net, action`` (add/remove); the latest event per entry wins."""
+def apply_ban_events(
+    net_set: DataFrame, events: DataFrame, as_of: int | None = None, timeouts: dict[str, int] | None = None
+) -> DataFrame:
+    """Sets after a log of ``event_time, set_name, net, action`` (add/remove); the latest event per entry wins.
+
+    With ``as_of``, entries have times: those valid at that second are returned with ``added_at`` and ``expires_at``,
+    and adds last as long as ``timeouts`` says for their set (see ``membership.apply_events``).
+    """
+    if as_of is not None:
+        return apply_events(net_set, events, as_of, timeouts)
     last = events.groupBy("set_name", "net").agg(F.max_by("action", F.struct("event_time", "action")).alias("action"))
     kept = net_set.select("set_name", "net").join(last.select("set_name", "net"), ["set_name", "net"], "left_anti")
     return kept.unionByName(last.filter(F.col("action") == "add").select("set_name", "net"))

@@ -253,17 +253,18 @@ def stream_series(drops: DataFrame, grain: str = "1 hour", delay: str = "1 hour"
     return out.select(F.unix_timestamp("window.start").alias("start_s"), *SERIES_COLUMNS, "total")
 
 
-def stream_log_scan(lines: DataFrame, net_set: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+def stream_log_scan(lines: DataFrame, net_set: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
     """Status of every attacking address of a log stream, reported once: ``ip, status``.
 
-    The carried table lists addresses already reported, so a later batch skips them.
+    The carried table lists addresses already reported, so a later batch skips them. A function as ``net_set`` is called in
+    every batch and so gives the sets then current, for instance ``membership.live_at`` over the newest version.
     """
     known = Carried(f"{out}-state", "ip STRING")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         old = known.before(batch.sparkSession, batch_id)
         ips = X.attacker_ips(batch).join(old, "ip", "left_anti")
-        _emit(netsets.new_attackers(ips, net_set), out, batch_id)
+        _emit(netsets.new_attackers(ips, net_set() if callable(net_set) else net_set), out, batch_id)
         made = batch.sparkSession.read.parquet(f"{out}/batch={batch_id}")
         known.save(old.unionByName(made.select("ip")), batch_id)
 
