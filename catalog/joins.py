@@ -238,6 +238,14 @@ def set_intervals(v):
     return membership.set_intervals(v.set_events, LIFE)
 
 
+def _stored_spans(v):
+    """The intervals as a stored table, which lookups read."""
+    path = S.scratch_dir(v.spark)
+    spans = membership.set_intervals(v.set_events, LIFE)
+    spans.write.parquet(path)
+    return v.spark.read.schema(spans.schema).parquet(path)
+
+
 LIVE = f"live AS (SELECT * FROM spans WHERE added_at <= {MIDDLE} AND (expires_at IS NULL OR expires_at > {MIDDLE}))"
 
 
@@ -248,7 +256,7 @@ SELECT a.ip, count(h.set_name) > 0 AS blocked, coalesce(string_agg(h.set_name, '
 )
 def ip_lookup_at(v):
     """Which sets held each source at one second."""
-    out = netsets.ip_lookup(v.packets, membership.set_intervals(v.set_events, LIFE), "src", MIDDLE)
+    out = netsets.ip_lookup(v.packets, _stored_spans(v), "src", MIDDLE)
     return out.select(F.col("src").alias("ip"), "blocked", F.array_join("lists", ",").alias("lists"))
 
 
@@ -263,8 +271,7 @@ SELECT pkt_id, p.src, coalesce(white,false) AS white, matched AS matched_set FRO
 )
 def match_sets_at(v):
     """Sets that held a packet's source in the packet's own second."""
-    spans = membership.set_intervals(v.set_events, LIFE)
-    return classify.match_sets(v.packets, spans, ts="ts_us").select("pkt_id", "src", "white", "matched_set")
+    return classify.match_sets(v.packets, _stored_spans(v), ts="ts_us").select("pkt_id", "src", "white", "matched_set")
 
 
 @query(

@@ -8,6 +8,7 @@ every stretch opens its holds by itself. So a key with a third of all rows is sp
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,20 +24,31 @@ from dropscope.functions.times import floor_div
 FOREVER = 1 << 62
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row of the last column: seconds ``free`` in order, and the hold ``start, end`` of a key free at each."""
+def _stretches(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From the lists in the last column, row by row: seconds ``free`` in order, and the hold ``start, end`` of a key
+    free at each; where each row's begin."""
     lists = batch.column(batch.num_columns - 1)
-    for i in range(len(lists)):
-        item = lists[i].values
-        x, start, end = (item.field(k).to_numpy() for k in range(3))
-        order = np.lexsort((-end, start, x))
-        x, start, end = x[order], start[order], end[order]
-        # The earliest start at or after each place; of equal seconds the first says it.
-        least = np.minimum.accumulate(start[::-1])[::-1]
-        at = np.where(start == least, np.arange(len(x)), len(x))
-        at = np.minimum.accumulate(at[::-1])[::-1]
-        first = np.append(True, x[1:] != x[:-1])
-        yield x[first], least[first], end[at][first]
+    lengths, items = lists.value_lengths().to_numpy(), lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lengths)
+    x, start, end = (items.field(k).to_numpy() for k in range(3))
+    order = np.lexsort((-end, start, x, row))
+    row, x, start, end = row[order], x[order], start[order], end[order]
+    if (start != x).any():
+        for a, b in _spans_of(row, len(lists)):
+            if b - a > 1:
+                # The earliest start at or after each place; of equal seconds the first says it.
+                least = np.minimum.accumulate(start[a:b][::-1])[::-1]
+                at = np.where(start[a:b] == least, np.arange(b - a), b - a)
+                at = np.minimum.accumulate(at[::-1])[::-1]
+                start[a:b], end[a:b] = least, end[a:b][at]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    return x[first], start[first], end[first], np.searchsorted(row[first], np.arange(len(lists) + 1))
+
+
+def _spans_of(row: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    edges = np.searchsorted(row, np.arange(n + 1)).tolist()
+    return zip(edges[:-1], edges[1:], strict=True)
 
 
 def _exits(x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +64,19 @@ def _exits(x: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[edge], out[edge]
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate(values) if values else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-
-
 def _tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tables = [_exits(x, end) for x, _, end in _stretches(batch)]
-        kept = batch.columns[:-1]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, _lists([t[0] for t in tables]), _lists([t[1] for t in tables])], names=[*batch.schema.names[:-1], "bounds", "exits"]
-        )
+        x, _, end, edges = _stretches(batch)
+        bounds, exits, lengths = [], [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            known = (x[a:b], end[a:b]) if b - a == 1 else _exits(x[a:b], end[a:b])
+            bounds.append(known[0])
+            exits.append(known[1])
+            lengths.append(len(known[0]))
+        ends = pa.array(np.cumsum([0, *lengths]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(v), pa.int64())) for v in (bounds, exits) if v]
+        if lists:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=[*batch.schema.names[:-1], "bounds", "exits"])
 
 
 def _chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,32 +84,35 @@ def _chained(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, free = None, None
     for batch in batches:
         keys = zip(*(c.to_pylist() for c in batch.columns[:-3]), strict=True)
-        bounds, exits = batch.columns[-2:]
+        lists = batch.column(batch.num_columns - 2)
+        edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).tolist()
+        bounds, exits = lists.flatten().to_pylist(), batch.columns[-1].flatten().to_pylist()
         entry = []
         for i, key in enumerate(keys):
             if key != last:
                 last, free = key, None
             entry.append(free)
-            k = 0 if free is None else int(np.searchsorted(bounds[i].values.to_numpy(), free))
-            if k < len(bounds[i].values):
-                free = exits[i].values[k].as_py()
+            k = edges[i] if free is None else bisect_left(bounds, free, edges[i], edges[i + 1])
+            if k < edges[i + 1]:
+                free = exits[k]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(entry, pa.int64())], names=[*batch.schema.names[:-2], "entry"])
 
 
 def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        owner, starts, ends = [], [], []
+        x, start, end, edges = _stretches(batch)
+        picked, owner = [], []
         entries = batch.column(batch.num_columns - 2).to_pylist()
-        for i, (x, start, end) in enumerate(_stretches(batch)):
-            at = 0 if entries[i] is None else int(np.searchsorted(x, entries[i]))
-            while at < len(x):
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            at = a if entries[i] is None else a + int(np.searchsorted(x[a:b], entries[i]))
+            while at < b:
+                picked.append(at)
                 owner.append(i)
-                starts.append(start[at])
-                ends.append(end[at])
-                at = int(np.searchsorted(x, end[at]))
+                at = b if b - at == 1 else a + int(np.searchsorted(x[a:b], end[at]))
         keys = [c.take(pa.array(owner, pa.int64())) for c in batch.columns[:-3]]
-        until = pa.array([None if e >= FOREVER else e for e in ends], pa.int64())
-        yield pa.RecordBatch.from_arrays([*keys, pa.array(starts, pa.int64()), until], names=[*batch.schema.names[:-3], "start_s", "end_s"])
+        picked = np.array(picked, np.int64)
+        until = pa.array(end[picked], pa.int64(), mask=end[picked] >= FOREVER)
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(start[picked], pa.int64()), until], names=[*batch.schema.names[:-3], "start_s", "end_s"])
 
 
 def greedy_holds(opens: DataFrame, key: list[str], slot: int = DAY) -> DataFrame:

@@ -30,24 +30,24 @@ def set_intervals(events: DataFrame, timeouts: dict[str, int] | None = None) ->
     """``set_name, net, added_at, expires_at`` from events ``event_time, set_name, net, action, timeout``.
 
     ``action`` is add (``timeout`` in seconds, 0: none, null: that of the set), remove, flush or rebuild (with the
-    set's new ``timeout``). ``timeouts`` holds the sets' first timeouts; sets not named have none. Flushes
-    and rebuilds are commands to a whole set: they are kept as one short list per set.
+    set's new ``timeout``). ``timeouts`` holds the sets' first timeouts; sets not named have none. What holds for an
+    add (the set's timeout, the next cut) is looked up by second, so repeated adds of one second cost one lookup.
     """
-    action = F.col("action")
-    new = F.when(action == "rebuild", F.coalesce("timeout", F.lit(0)))
-    whole = events.filter(action.isin("flush", "rebuild")).groupBy("set_name")
-    marks = whole.agg(F.sort_array(F.collect_set(F.struct(F.col("event_time").alias("t"), new.alias("timeout")))).alias("_marks"))
-    own = events.filter(action.isin("add", "remove") & F.col("net").isNotNull() & F.col("set_name").isNotNull() & F.col("event_time").isNotNull())
-    own = own.select("set_name", "net", F.col("event_time").cast("bigint").alias("t"), "action", "timeout").join(marks, "set_name", "left")
+    action, entry = F.col("action"), ["set_name", "net"]
+    dated = events.withColumn("t", F.col("event_time").cast("bigint")).filter("t IS NOT NULL AND set_name IS NOT NULL")
+    whole = dated.filter(action.isin("flush", "rebuild"))
+    own = dated.filter(action.isin("add", "remove") & F.col("net").isNotNull())
+    adds = own.filter("action = 'add'").select(*entry, "t", "timeout")
+    new = whole.filter("action = 'rebuild'").select("set_name", "t", F.coalesce("timeout", F.lit(0)).cast("bigint").alias("new"))
+    told = last_at(adds, new, ["set_name"], "t", "new", slot=86400)
+    wiped = _first_at(adds.select("set_name", (F.col("t") + 1).alias("t")), whole, ["set_name"], "t")
+    wiped = wiped.select("set_name", (F.col("t") - 1).alias("t"), F.col("next").alias("wiped"))
     given: Column = F.lit(0).cast("bigint")
     for name, seconds in (timeouts or {}).items():
         given = F.when(F.col("set_name") == name, F.lit(seconds).cast("bigint")).otherwise(given)
-    told = F.filter("_marks", lambda m: (m["t"] <= F.col("t")) & m["timeout"].isNotNull())
-    wiped = F.get(F.filter("_marks", lambda m: m["t"] > F.col("t")), F.lit(0))["t"]
-    life = F.coalesce("timeout", F.get(told, F.size(told) - 1)["timeout"], given)
-    adds = own.filter("action = 'add'").select("set_name", "net", "t", life.alias("life"), wiped.alias("wiped"))
-    entry = ["set_name", "net"]
     cuts = _first_at(adds, own.filter("action = 'remove'"), entry, "t")
+    adds = adds.join(told, ["set_name", "t"], "left").join(wiped, ["set_name", "t"], "left")
+    adds = adds.select(*entry, "t", F.coalesce("timeout", "new", given).alias("life"), "wiped")
     opens = adds.join(cuts, [*entry, "t"], "left").withColumn("cap", F.least("next", "wiped"))
     opens = opens.filter(F.col("cap").isNull() | (F.col("cap") > F.col("t")))
     end = F.when(F.col("life") > 0, F.col("t") + F.col("life"))
