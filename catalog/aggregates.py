@@ -499,20 +499,24 @@ def bruteforce_bans(v):
 
 
 CONN_CFG = dataclasses.replace(PACKET_CFG, bypass_conn_tcp=(8080,), conn_limit=15, conn_limit_custom=20)
-LEVELS = """ev AS (SELECT conn_id, src, start_us AS t, 1 AS d, dport=8080 AS c FROM fw_connections UNION ALL SELECT conn_id, src, end_us, -1, dport=8080 FROM fw_connections),
-lv AS (SELECT *, CAST(sum(d) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS o FROM ev),
-op AS (SELECT *, CASE WHEN c THEN 'custom' ELSE 'default' END AS port_class, CASE WHEN c THEN 20 ELSE 15 END AS allowed FROM lv WHERE d=1)"""
+# Openings one by one: of those admitted before, the ones still open count.
+LEVELS = """co AS (SELECT conn_id, src, start_us, end_us, CASE WHEN dport=8080 THEN 'custom' ELSE 'default' END AS port_class, CASE WHEN dport=8080 THEN 20 ELSE 15 END AS allowed,
+  row_number() OVER (PARTITION BY src ORDER BY start_us, conn_id) AS k FROM fw_connections),
+ad AS (SELECT co.*, 1::BIGINT AS open, [end_us] AS held FROM co WHERE k=1 UNION ALL
+  SELECT n.*, len(l)+1, CASE WHEN len(l) < n.allowed THEN list_append(l, n.end_us) ELSE l END FROM
+   (SELECT src, k+1 AS k, held FROM ad) p JOIN co n ON n.src=p.src AND n.k=p.k, LATERAL (SELECT list_filter(p.held, lambda e: e > n.start_us) AS l) x),
+op AS (SELECT conn_id, src, port_class, allowed, CAST(open AS BIGINT) AS o FROM ad)"""
 
 
 @query(
     "peak_connections",
-    f"WITH {LEVELS} SELECT src, port_class, max(o) AS peak, allowed, max(o) > allowed AS over FROM op GROUP BY src, port_class, allowed",
+    f"WITH RECURSIVE {LEVELS} SELECT src, port_class, max(o) AS peak, allowed, max(o) > allowed AS over FROM op GROUP BY src, port_class, allowed",
 )
 def peak_connections(v):
     return detect.peak_connections(v.connections, CONN_CFG)
 
 
-@query("over_limit_opens", f"WITH {LEVELS} SELECT conn_id, src, o AS open FROM op WHERE o > allowed")
+@query("over_limit_opens", f"WITH RECURSIVE {LEVELS} SELECT conn_id, src, o AS open FROM op WHERE o > allowed")
 def over_limit_opens(v):
     return detect.over_limit_opens(v.connections, CONN_CFG)
 
@@ -547,7 +551,7 @@ def permanent_bans(v):
 
 @query(
     "classify_with_detectors",
-    f"""WITH {CLASSIFY}, {BRUTE}, {LEVELS}, x AS (SELECT DISTINCT conn_id FROM op WHERE o > allowed)
+    f"""WITH RECURSIVE {CLASSIFY}, {BRUTE}, {LEVELS}, x AS (SELECT DISTINCT conn_id FROM op WHERE o > allowed)
 SELECT d.pkt_id, CASE WHEN reason='service' AND x.conn_id IS NOT NULL THEN 'connlimit' WHEN reason='service' AND br.pkt_id IS NOT NULL THEN 'bruteforce' ELSE reason END AS reason
 FROM d LEFT JOIN br ON br.pkt_id=d.pkt_id LEFT JOIN x ON x.conn_id=d.pkt_id""",
 )

@@ -8,6 +8,10 @@ slot needs from the rest arrives as one row per source and slot.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,51 +98,80 @@ def _custom_port(conns: DataFrame, config: Config) -> Column:
     return F.when(custom, "custom").otherwise("default")
 
 
-def _open_levels(conns: DataFrame, config: Config, slot_seconds: int) -> DataFrame:
-    """Connections open at every instant something opens: ``src, t, port_class, open``."""
-    ends = F.array(
-        F.struct(F.col("start_us").alias("t"), F.lit(1).alias("d"), _custom_port(conns, config).alias("c")),
-        F.struct(F.col("end_us").alias("t"), F.lit(-1).alias("d"), F.lit(None).cast("string").alias("c")),
-    )
-    events = conns.select("src", F.explode(ends).alias("e")).select("src", "e.t", "e.d", "e.c")
-    opened = lambda c: F.max(F.when(F.col("c") == c, F.lit(c)))
-    instants = events.groupBy("src", "t").agg(
-        F.sum("d").alias("d"), F.array_compact(F.array(opened("default"), opened("custom"))).alias("classes")
-    ).withColumn("slot", floor_div("t", slot_seconds * US))
-    here = W.partitionBy("src", "slot").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
-    level = instants.withColumn("open", F.sum("d").over(here))
-    # One row per source and slot.
-    nets = instants.groupBy("src", "slot").agg(F.sum("d").alias("net"))
-    before = F.sum("net").over(W.partitionBy("src").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
-    starts = nets.select("src", "slot", F.coalesce(before, F.lit(0)).alias("before"))
-    return level.join(starts, ["src", "slot"]).select(
-        "src", "t", F.explode("classes").alias("port_class"), (F.col("open") + F.col("before")).alias("open")
-    )
+def busy_stretches(conns: DataFrame, slot_seconds: int = 10) -> DataFrame:
+    """``src, start_us, busy``: the start of the stretch without an idle instant that each opening belongs to.
+
+    Before a stretch begins, everything the source ever opened has ended, refused or not; so stretches decide about
+    their connections independently. Latest ends and stretch starts run inside one source and slot; earlier
+    slots come as one row each.
+    """
+    slot = floor_div("start_us", slot_seconds * US).alias("slot")
+    opens = conns.groupBy("src", "start_us").agg(F.max("end_us").alias("e")).withColumn("slot", slot)
+    inner = W.partitionBy("src", "slot").orderBy("start_us")
+    before = W.partitionBy("src").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    ends = opens.groupBy("src", "slot").agg(F.max("e").alias("m")).withColumn("m", F.max("m").over(before))
+    so_far = F.greatest("m", F.max("e").over(inner.rowsBetween(W.unboundedPreceding, -1)))
+    fresh = F.when(F.col("so_far").isNull() | (F.col("so_far") <= F.col("start_us")), F.col("start_us"))
+    marked = opens.join(ends, ["src", "slot"]).withColumn("so_far", so_far).select("src", "slot", "start_us", fresh.alias("b"))
+    begun = marked.groupBy("src", "slot").agg(F.max("b").alias("m")).withColumn("m", F.max("m").over(before))
+    busy = F.coalesce(F.max("b").over(inner.rowsBetween(W.unboundedPreceding, 0)), "m")
+    return marked.join(begun, ["src", "slot"]).select("src", "start_us", busy.alias("busy"))
+
+
+_ATTEMPT = "conn_id bigint, src string, port_class string, open bigint, allowed int"
+
+
+def _admit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Greedy admission over rows sorted by (src, busy, start_us, conn_id): a heap of the ends of admitted connections."""
+    stretch, ends = None, []
+    for batch in batches:
+        src, busy, start, end, allowed = (batch.column(c).to_pylist() for c in ("src", "busy", "start_us", "end_us", "allowed"))
+        level = []
+        for who, at, opens, closes, limit in zip(src, busy, start, end, allowed, strict=True):
+            if (who, at) != stretch:
+                stretch, ends = (who, at), []
+            while ends and ends[0] <= opens:
+                heappop(ends)
+            level.append(len(ends) + 1)
+            if limit is None or len(ends) < limit:
+                heappush(ends, closes)
+        cols = [batch.column("conn_id").cast(pa.int64()), batch.column("src"), batch.column("port_class"), pa.array(level, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*cols, batch.column("allowed")], names=["conn_id", "src", "port_class", "open", "allowed"])
+
+
+def admissions(conns: DataFrame, config: Config, slot_seconds: int = 10) -> DataFrame:
+    """Every opening in the order of (start, conn_id) with the connections then ``open``, itself included, and the
+    number ``allowed`` (null: no limit): ``conn_id, src, port_class, open, allowed``.
+
+    ``conns``: conn_id, src, start_us, end_us (exclusive) and optionally proto, dport. An opening over its limit is refused and
+    does not count from then on. All admitted connections of a source count; the port being opened selects the
+    limit (custom for bypass ports, where 0 means none). A stretch streams through a fold that holds the ends
+    of admitted connections; a busy source is as many pieces as it has stretches. Rows without a start or end are ignored.
+    """
+    limit = F.when(F.col("port_class") == "default", config.conn_limit).otherwise(config.conn_limit_custom or None).cast("int")
+    rows = conns.filter("start_us IS NOT NULL AND end_us IS NOT NULL AND src IS NOT NULL")
+    keyed = rows.select("conn_id", "src", "start_us", "end_us", _custom_port(conns, config).alias("port_class"))
+    keyed = keyed.join(busy_stretches(rows, slot_seconds), ["src", "start_us"]).withColumn("allowed", limit)
+    order = ["src", "busy", "start_us", "conn_id"]
+    return keyed.repartition("src", "busy").sortWithinPartitions(*order).mapInArrow(_admit, _ATTEMPT)
 
 
-def _with_limit(df: DataFrame, config: Config, value: str) -> DataFrame:
-    allowed = F.when(F.col("port_class") == "default", config.conn_limit).otherwise(config.conn_limit_custom)
-    unlimited = (F.col("port_class") == "custom") & (F.col("allowed") == 0)
-    return df.withColumn("allowed", allowed).withColumn("over", (F.col(value) > F.col("allowed")) & ~unlimited)
+def _over() -> Column:
+    return F.coalesce(F.col("open") > F.col("allowed"), F.lit(False))
 
 
 def peak_connections(conns: DataFrame, config: Config, slot_seconds: int = 10) -> DataFrame:
-    """Most connections a source held open at once, per port class: ``src, port_class, peak, allowed, over``.
+    """Most connections a source tried to hold open at once, per port class: ``src, port_class, peak, allowed, over``.
 
-    ``conns``: conn_id, src, start_us, end_us (exclusive) and optionally proto, dport. All open
-    connections of a source count; the port of the connection being opened selects the limit (custom for
-    bypass ports, where 0 means unlimited).
+    Refused openings count for themselves only, so ``peak`` is at most one over the limit (``allowed``, 0: none).
     """
-    levels = _open_levels(conns, config, slot_seconds)
-    peaks = levels.groupBy("src", "port_class").agg(F.max("open").alias("peak"))
-    return _with_limit(peaks, config, "peak")
+    peaks = admissions(conns, config, slot_seconds).groupBy("src", "port_class", "allowed").agg(F.max("open").alias("peak"), F.max(_over()).alias("over"))
+    return peaks.select("src", "port_class", "peak", F.coalesce("allowed", F.lit(0)).alias("allowed"), "over")
 
 
 def over_limit_opens(conns: DataFrame, config: Config, slot_seconds: int = 10) -> DataFrame:
-    """Connections opened while their source was over its limit: ``conn_id, src, open``."""
-    levels = _with_limit(_open_levels(conns, config, slot_seconds), config, "open").filter("over")
-    keyed = conns.select("conn_id", "src", F.col("start_us").alias("t"), _custom_port(conns, config).alias("port_class"))
-    return keyed.join(levels, ["src", "t", "port_class"]).select("conn_id", "src", "open")
+    """Refused openings: ``conn_id, src, open``."""
+    return admissions(conns, config, slot_seconds).filter(_over()).select("conn_id", "src", "open")
 
 
 def nth_previous(rows: DataFrame, key: list[str], ts: str, n: int, seconds: int) -> DataFrame:

@@ -120,9 +120,14 @@ def test_peaks_and_over_limit(spark):
         rows.append((i, src, "tcp", rng.choice([22, 8080]), a, a + rng.randrange(0, 200) * 1000000))
     cfg = Config(bypass_conn_tcp=(8080,), conn_limit=5, conn_limit_custom=7)
     df = spark.createDataFrame(rows, "conn_id long, src string, proto string, dport int, start_us long, end_us long")
-    at = {i: sum(s2 == s and a2 <= a < e2 for _, s2, _, _, a2, e2 in rows) for i, s, _, _, a, _ in rows}
+    at, held = {}, defaultdict(list)
+    for i, s, _, p, a, e in sorted(rows, key=lambda r: (r[4], r[0])):
+        held[s] = [x for x in held[s] if x > a]
+        at[i] = len(held[s]) + 1
+        if at[i] <= (7 if p == 8080 else 5):
+            held[s].append(e)
     over = {i for i, s, _, p, a, e in rows if at[i] > (7 if p == 8080 else 5)}
-    assert {r.conn_id for r in detect.over_limit_opens(df, cfg).collect()} == over
+    assert over and {r.conn_id: r.open for r in detect.over_limit_opens(df, cfg).collect()} == {i: at[i] for i in over}
     want = defaultdict(int)
     for i, s, _, p, *_ in rows:
         k = (s, "custom" if p == 8080 else "default")
@@ -269,3 +274,32 @@ def test_bruteforce_bans_restart_the_count(spark):
             seen[(src, proto)].append(us)
     got = {(r.src, r.start_s) for r in detect.bruteforce_bans(df, cfg).collect()}
     assert len(want) > 10 and got == want
+
+
+def test_refused_openings_hold_nothing(spark):
+    """Twenty long openings, fifteen admitted; when those have closed, fourteen more fit although the refused would still be open."""
+    sec = 1_000_000
+    rows = [(i, "a", i * sec, (100 if i < 15 else 900) * sec) for i in range(20)] + [(100 + i, "a", (200 + i) * sec, 800 * sec) for i in range(16)]
+    df = spark.createDataFrame(rows, "conn_id long, src string, start_us long, end_us long")
+    got = detect.over_limit_opens(df, Config(conn_limit=15)).collect()
+    assert {r.conn_id for r in got} == {15, 16, 17, 18, 19, 115} and all(r.open == 16 for r in got)
+
+
+def test_a_busy_source_is_cut_where_nothing_is_open(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(4000):
+        start = rng.randrange(0, 20_000) * 1_000_000
+        rows.append((i, "a" if i % 3 else f"s{i % 7}", start, start + rng.randrange(0, 6) * 1_000_000))
+    df = spark.createDataFrame(rows, "conn_id long, src string, start_us long, end_us long")
+    got = {(r.src, r.start_us): r.busy for r in detect.busy_stretches(df).collect()}
+    want, latest, begun = {}, {}, {}
+    by_start = defaultdict(int)
+    for _, s, a, e in rows:
+        by_start[s, a] = max(by_start[s, a], e)
+    for (s, a), e in sorted(by_start.items(), key=lambda x: x[0][1]):
+        if latest.get(s, -1) <= a:
+            begun[s] = a
+        want[s, a] = begun[s]
+        latest[s] = max(latest.get(s, -1), e)
+    assert got == want and len({b for (s, _), b in want.items() if s == "a"}) > 100
