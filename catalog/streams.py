@@ -13,6 +13,7 @@ from catalog.views import AS_OF, Views
 from dropscope.sources import store as S
 from dropscope.sources import text as X
 from dropscope.streaming import jobs as J
+from dropscope.streaming import keyed as K
 
 
 def _live(v) -> Views:
@@ -34,6 +35,53 @@ def _to_files(df: DataFrame, v) -> DataFrame:
     return v.spark.read.schema(schema).parquet(out)
 
 
+def _in_files(df: DataFrame, v, at: str, lateness: int, parts: int = 4) -> DataFrame:
+    """``df`` as a stream of ``parts`` files in the order of ``at``, one a trigger; a third of the rows of the last ``lateness`` units
+    before each cut come with the next file."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = max(1, (high - low) // parts + 1)
+    place = F.floor((F.col(at) - low) / step)
+    late = ((F.col(at) - low) % step >= step - lateness) & (F.pmod(F.xxhash64(*df.columns), F.lit(3)) == 0)
+    path = S.scratch_dir(v.spark)
+    dealt = df.withColumn("_part", F.least(place + late.cast("int"), F.lit(parts - 1)))
+    dealt.repartition(parts, "_part").write.partitionBy("_part").parquet(f"{path}-dealt")
+    for i in range(parts):
+        # One file a part, written in order: the stream takes older files first.
+        v.spark.read.schema(df.schema).parquet(f"{path}-dealt/_part={i}").coalesce(1).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _keyed(results: DataFrame, processor, v) -> DataFrame:
+    out, check = _paths(v)
+    J.run_available(K.to_tables(results, out, check))
+    return K.read_kind(v.spark, out, processor.out, "result")
+
+
+@query(
+    "keyed_bans",
+    """WITH RECURSIVE all_ AS (SELECT DISTINCT ip AS src, timestamp AS ts FROM fw_ip_drops WHERE list_type='trap'),
+offs AS (SELECT * FROM all_ WHERE ts < (SELECT max(ts) FROM all_) - 86400), """
+    + BANS.replace("{t}", "86400"),
+)
+def keyed_bans(v):
+    """Bans from four files with rows up to a day late: all that the watermark has passed."""
+    trap = v.ip_drops.filter(F.col("list_type") == "trap").select(F.col("ip").alias("src"), F.col("timestamp").alias("ts"))
+    return _keyed(K.keyed_bans(_in_files(trap, v, "ts", 86400), 86400, "1 day"), K.Bans, v).select("src", "start_s", "end_s")
+
+
+@query("keyed_deltas", f"WITH {DELTA} SELECT run_ts, ip, delta AS count, list_type FROM e WHERE delta > 0 AND run_ts < (SELECT max(run_ts) FROM fw_set_snapshots) - 86400")
+def keyed_deltas(v):
+    stream = _in_files(v.set_snapshots.select("ip", "list_type", "run_ts", "packets"), v, "run_ts", 86400)
+    return _keyed(K.keyed_deltas(stream, "1 day"), K.Counters, v).select("run_ts", "ip", "count", "list_type")
+
+
+@query("keyed_bruteforce", f"WITH {BRUTE} SELECT pkt_id, src, proto, ts_us, hits FROM br WHERE ts_us // 1000 < (SELECT max(ts_us) FROM fw_packets WHERE state='NEW' AND proto IN ('tcp','udp') AND dport IN (22,443,51515)) // 1000 - 30000")
+def keyed_bruteforce(v):
+    stream = _in_files(v.packets, v, "ts_us", 30_000_000)
+    out = _keyed(K.keyed_bruteforce(stream, PACKET_CFG, "30 seconds"), K.Bruteforce, v)
+    return out.select("pkt_id", "src", "proto", "ts_us", "hits")
+
+
 @query("stream_flows", f"WITH {PACKETS} SELECT DISTINCT ip, port, proto FROM packets")
 def stream_flows(v):
     return _to_files(J.stream_flows(_live(v).packet_text).select("ip", "port", "proto"), v)
