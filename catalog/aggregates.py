@@ -147,13 +147,12 @@ def bruteforce_stats(v):
 
 @query(
     "ips_preview",
-    f"""WITH {PORT_ROWS}, l AS (SELECT full_port, list_sort(list(DISTINCT ip)) AS l, sum(count) AS t FROM r WHERE win='all' GROUP BY full_port ORDER BY t DESC, full_port LIMIT 10)
-SELECT full_port, array_to_string(l[1:3],', ') AS preview, CAST(greatest(len(l)-3,0) AS BIGINT) AS more FROM l""",
+    f"""WITH {PORT_ROWS}, l AS (SELECT win, full_port, list_sort(list(DISTINCT ip)) AS l, row_number() OVER (PARTITION BY win ORDER BY sum(count) DESC, full_port) AS k FROM r GROUP BY win, full_port QUALIFY k <= 10)
+SELECT win AS "window", full_port, array_to_string(l[1:3],', ') AS preview, CAST(greatest(len(l)-3,0) AS BIGINT) AS more FROM l""",
 )
 def ips_preview(v):
-    """The shown addresses of the all-time port table."""
-    out = reports.port_stats(v.ip_drops, v.ip_info, AS_OF)
-    return out.filter(F.col("window") == "all").select("full_port", "preview", "more")
+    """The shown addresses of every port table."""
+    return reports.port_stats(v.ip_drops, v.ip_info, AS_OF).select("window", "full_port", "preview", "more")
 
 
 # ---- deltas, sizes, trends ------------------------------------------------------------------------
@@ -387,9 +386,10 @@ def abuse_unknown(v):
     return _families(lambda f: abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, f))
 
 
-@query("unknown_port_sources", _class_sql("unknown", 4))
+@query("unknown_port_sources", _both("unknown").replace("LIMIT 20", ""))
 def unknown_port_sources(v):
-    return abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, 4)
+    """All of them, not only those that a report has room for."""
+    return _families(lambda f: abuse.unknown_port_sources(v.ip_drops, v.ip_info, AS_OF, f, 1 << 30))
 
 
 @query("abuse_static", _both("static"))
@@ -437,7 +437,7 @@ def new_hits_since_report(v):
     return abuse.new_hits(cooled.filter(F.col("last_sent") > 0), v.ip_drops)
 
 
-HITS24 = "total,' hits in 24h)'"
+HITS24 = "total,' packets during the last day)'"
 COMMENT = f"""CASE class WHEN 'brute' THEN concat('Firewall: connection attempts to closed service ports [',pt,'], trapped. (',{HITS24})
  WHEN 'scan' THEN concat('Firewall: port scan on ports [',pt,'], blocked. (',{HITS24}) WHEN 'unknown' THEN concat('Firewall: trapped traffic, port unknown (probably UDP). (',{HITS24})
  WHEN 'static' THEN concat('Firewall: repeated traffic from a listed address, blocked. (',{HITS24}) WHEN 'net' THEN concat('Firewall: listed network ',ip,' blocked, reported by its network address. (',{HITS24})
@@ -447,7 +447,7 @@ COMMENT = f"""CASE class WHEN 'brute' THEN concat('Firewall: connection attempts
 @query(
     "report_queue",
     f"""WITH {QUEUE} SELECT host AS ip, class, total, CASE class WHEN 'brute' THEN '15,14' WHEN 'net' THEN '14,4' ELSE '14' END AS categories,
- CASE WHEN status='reported' THEN concat({COMMENT}, CASE WHEN again THEN concat(' [+ ',new_hits,' new hits since last report]') ELSE '' END) END AS comment, status FROM st""",
+ CASE WHEN status='reported' THEN concat({COMMENT}, CASE WHEN again THEN concat(' [',new_hits,' more since the report before]') ELSE '' END) END AS comment, status, ports FROM st""",
 )
 def report_queue(v):
     return abuse.report_queue(v.ip_drops, v.ip_info, v.abuse_reports, CFG, AS_OF)

@@ -38,12 +38,13 @@ def attach_port(v):
 
 @query(
     "trap_with_ports",
-    """SELECT d.ip, regexp_replace(d.ip,'/(32|128)$','') AS host, CAST(sum(d.count) AS BIGINT) AS total, i.target_port, i.port_history
+    """SELECT CASE WHEN contains(d.ip,':') THEN 6 ELSE 4 END AS family, d.ip, regexp_replace(d.ip,'/(32|128)$','') AS host, CAST(sum(d.count) AS BIGINT) AS total, i.target_port, i.port_history
 FROM fw_ip_drops d JOIN fw_ip_info i ON i.ip=regexp_replace(d.ip,'/(32|128)$','')
-WHERE d.list_type='trap' AND d.timestamp > 1706659200-86400 AND contains(d.ip,'.') GROUP BY ALL""",
+WHERE d.list_type='trap' AND d.timestamp > 1706659200-86400 GROUP BY ALL""",
 )
 def trap_with_ports(v):
-    return abuse.trap_with_ports(v.ip_drops, v.ip_info, AS_OF, 4)
+    four, six = (abuse.trap_with_ports(v.ip_drops, v.ip_info, AS_OF, f).withColumn("family", F.lit(f)) for f in (4, 6))
+    return four.unionByName(six)
 
 
 HALF = 1705363200

@@ -141,18 +141,15 @@ def parse_reputation(v):
 
 @query(
     "read_fact_tables",
-    """SELECT 'drops' AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum(count) AS BIGINT) AS total FROM fw_drops WHERE timestamp > 1706659200 - 2592000
-UNION ALL SELECT 'ip_drops', count(*), CAST(sum(count) AS BIGINT) FROM fw_ip_drops WHERE timestamp > 1706659200 - 2592000
+    """SELECT 'drops' AS name, CAST(count(*) AS BIGINT) AS n, CAST(sum(count) AS BIGINT) AS total FROM fw_drops
+UNION ALL SELECT 'ip_drops', count(*), CAST(sum(count) AS BIGINT) FROM fw_ip_drops
 UNION ALL SELECT 'ip_info', count(*), CAST(sum(risk) AS BIGINT) FROM fw_ip_info
 UNION ALL SELECT 'abuse_reports', count(*), CAST(sum(last_sent) AS BIGINT) FROM fw_abuse_reports""",
 )
 def read_fact_tables(v):
-    from dropscope.functions.times import in_window
-
     path = _stored(v)
     t = S.load_store(v.spark, path)
     value = {"drops": "count", "ip_drops": "count", "ip_info": "risk", "abuse_reports": "last_sent"}
-    t["drops"], t["ip_drops"] = in_window(t["drops"], AS_OF, 2592000), in_window(t["ip_drops"], AS_OF, 2592000)
     out = None
     for name, col in value.items():
         row = t[name].agg(F.count("*").alias("n"), F.sum(col).cast("long").alias("total"))

@@ -116,7 +116,8 @@ SELECT d.ip, d.delta, coalesce(i.country,'--') AS country, CASE WHEN delta > 100
 )
 def stream_live_top5(v):
     out, check = _paths(v)
-    J.run_available(J.stream_live_top5(_live(v).ip_drops, v.ip_info, out, check))
+    hits = _in_files(v.ip_drops.select("ip", "count", "timestamp"), v, "timestamp", 86400)
+    J.run_available(J.stream_live_top5(hits, v.ip_info, out, check))
     rows = J.read_output(v.spark, out)
     newest = rows.agg(F.max("batch").alias("batch"))
     return rows.join(F.broadcast(newest), "batch", "left_semi").select("ip", "delta", "country", "severity")
@@ -151,6 +152,18 @@ def stream_series(v):
     return _to_files(J.stream_series(rows, "1 day", "1 hour"), v)
 
 
+@query(
+    "stream_series_sums",
+    f"WITH w AS (SELECT *, timestamp - timestamp % 86400 AS start_s FROM fw_ip_drops) SELECT CAST(start_s AS BIGINT) AS start_s, {SUMS} FROM w GROUP BY start_s",
+)
+def stream_series_sums(v):
+    """Every window, from four files of which each has rows of the days before."""
+    out, check = _paths(v)
+    rows = v.ip_drops.select("timestamp", "list_name", "count", F.timestamp_seconds("timestamp").alias("ts"))
+    J.run_available(J.stream_series_sums(_in_files(rows, v, "timestamp", 5 * 86400), out, check, 86400))
+    return J.read_series(v.spark, out)
+
+
 @query(
     "stream_log_scan",
     rf"""WITH atk AS (SELECT DISTINCT unnest(regexp_extract_all(line,'{QUAD}')) AS ip FROM fw_log_lines WHERE regexp_matches(line,'TLS handshake failed|Bad encapsulated packet length')),

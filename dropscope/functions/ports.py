@@ -64,8 +64,8 @@ def service_match(port: Column | str, text: Column | str, tcp: tuple[int, ...],
     return F.coalesce(hit, F.lit(False))
 
 
-def preview(items: Column | str, shown: int = 3, hidden_max: int | None = 100) -> Column:
-    """First ``shown`` entries, how many more there are, and the (cut) text of the rest."""
+def preview(items: Column | str, shown: int = 3, hidden_max: int | None = None) -> Column:
+    """First ``shown`` entries, how many more there are, and the text of the rest; a display may cut it at ``hidden_max``."""
     items = _col(items)
     more = F.greatest(F.size(items) - shown, F.lit(0))
     take = F.size(items) if hidden_max is None else F.lit(hidden_max)

@@ -98,17 +98,19 @@ def enrichment_run(spark: SparkSession, store: str, reputation: DataFrame, as_of
 def retention_run(spark: SparkSession, store: str, as_of: int) -> None:
     """Roll newly closed days into the daily tiers, drop old facts of unprotected sources, prune ``ip_info``.
 
-    The old tier and the raw rows after it are read, not older raw rows; ``load_store`` then reads the new tier. A
-    clock before that of the last run changes nothing.
+    The old tier, the raw rows after it and the rows too late for it are read, not older raw rows; late rows so become
+    part of their days and age like all others. ``load_store`` then reads the new tier. A tier is rolled up once a day; a
+    clock before the day of the last run changes nothing.
     """
-    last = [S.boundary(spark, store, name) for name in S.FACTS]
-    if any(edge is not None and edge > retention.closed_day(as_of) for edge in last):
+    edges, today = {name: S.boundary(spark, store, name) for name in S.FACTS}, retention.closed_day(as_of)
+    if any(edge is not None and edge > today for edge in edges.values()):
         return
-    drops = S.read_history(spark, store, "drops", late=False)
-    S.publish(retention.rollup(drops, ["list_name"], as_of), store, "drops_daily", as_of)
     vip = retention.vip_ips(S.read_history(spark, store, "ip_drops"), as_of)
-    aged = retention.rollup(S.read_history(spark, store, "ip_drops", late=False), ["ip", "list_type"], as_of)
-    S.publish(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops_daily", as_of)
+    if edges["drops"] != today:
+        S.publish(retention.rollup(S.read_history(spark, store, "drops"), ["list_name"], as_of), store, "drops_daily", as_of)
+    if edges["ip_drops"] != today:
+        aged = retention.rollup(S.read_history(spark, store, "ip_drops"), ["ip", "list_type"], as_of)
+        S.publish(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops_daily", as_of)
     tables = S.load_store(spark, store)
     S.publish(retention.prune_ip_info(tables["ip_info"], tables["ip_drops"]), store, "ip_info", as_of)
 

@@ -7,8 +7,11 @@ the old or the new table, never a mixture; a job lost half-way leaves an unrefer
 
 Closed days of the facts are read from a daily tier (``drops_daily``, ``ip_drops_daily``: versioned tables), raw rows
 only from the tier's boundary on. The boundary follows from the clock of the tier's version, so both switch
-at once. Rows that arrive for days before it are stored in partitions of their own (``late``) and always read.
-Raw partitions before the boundary are no longer read and may be removed by the scheduler.
+at once. Rows that arrive for days before it are stored in partitions of their own: ``late`` is the boundary they came
+too late for, 0 for all other rows. They are read beside the tier until a run with a later boundary has added them to the
+tier's days; from that version on they are not, so both switch together and a lost run counts nothing twice.
+Raw partitions before the boundary, and those of earlier boundaries, are no longer read and may be removed by the
+scheduler.
 """
 
 from __future__ import annotations
@@ -80,7 +83,8 @@ def append_facts(df: DataFrame, store: str, name: str) -> None:
     part, day = FACTS[name], F.to_date(F.timestamp_seconds("timestamp"))
     rows = rows.withColumn(part, day if part == "event_date" else F.to_date(F.trunc(day, "month")))
     edge = boundary(df.sparkSession, store, name)
-    rows = rows.withColumn("late", F.lit(False) if edge is None else F.col("timestamp") < edge)
+    zero = F.lit(0).cast("bigint")
+    rows = rows.withColumn("late", zero if edge is None else F.when(F.col("timestamp") < edge, F.lit(edge).cast("bigint")).otherwise(zero))
     # REBALANCE lets adaptive execution both merge small and split large time partitions.
     rows.hint("rebalance", part).write.mode("append").partitionBy("late", part).parquet(f"{store}/{name}")
 
@@ -117,7 +121,7 @@ def append_once(df: DataFrame, store: str, name: str) -> None:
 
 
 def _raw(spark: SparkSession, store: str, name: str) -> DataFrame:
-    parts = [T.StructField("late", T.BooleanType()), T.StructField(FACTS[name], T.DateType())]
+    parts = [T.StructField("late", T.LongType()), T.StructField(FACTS[name], T.DateType())]
     return spark.read.schema(T.StructType(table_schema(name).fields + parts)).parquet(f"{store}/{name}")
 
 
@@ -132,9 +136,9 @@ def boundary(spark: SparkSession, store: str, name: str) -> int | None:
     return None if log is None else closed_day(log.agg(F.max_by("committed_at", "version")).first()[0])
 
 
-def read_history(spark: SparkSession, store: str, name: str, late: bool = True) -> DataFrame:
-    """The daily tier up to its boundary, raw rows from there on, and (with ``late``) those that came too late for
-    the tier. Partitions of raw rows before the boundary are not scanned."""
+def read_history(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """The daily tier up to its boundary, raw rows from there on, and those that came too late for the tier and are not
+    part of it yet. Partitions of raw rows before the boundary, or late for an earlier one, are not scanned."""
     edge, part = boundary(spark, store, name), FACTS[name]
     columns = table_schema(name).names
     try:
@@ -142,13 +146,14 @@ def read_history(spark: SparkSession, store: str, name: str, late: bool = True)
     except AnalysisException as e:
         if not _missing(e):
             raise
-        raw = spark.createDataFrame([], table_schema(name)).withColumns({"late": F.lit(False), part: F.lit(None).cast("date")})
+        raw = spark.createDataFrame([], table_schema(name)).withColumns({"late": F.lit(0).cast("bigint"), part: F.lit(None).cast("date")})
     if edge is None:
         return raw.drop("late")
     day = F.to_date(F.timestamp_seconds(F.lit(edge)))
     first = day if part == "event_date" else F.to_date(F.trunc(day, "month"))
-    fresh = raw.filter(~F.col("late") & (F.col(part) >= first) & (F.col("timestamp") >= edge))
-    fresh = fresh.unionByName(raw.filter("late")) if late else fresh
+    fresh = raw.filter((F.col("late") == 0) & (F.col(part) >= first) & (F.col("timestamp") >= edge))
+    # Rows late for an earlier boundary are in the tier; those late for it but of days after it were in time there.
+    fresh = fresh.unionByName(raw.filter(F.col("late") >= edge))
     tier_day = F.to_date(F.timestamp_seconds("timestamp"))
     tier = read_versioned(spark, store, f"{name}_daily").select(*columns)
     tier = tier.withColumn(part, tier_day if part == "event_date" else F.to_date(F.trunc(tier_day, "month")))

@@ -156,16 +156,25 @@ def stream_counter_delta(snapshots: DataFrame, out: str, checkpoint: str) -> Dat
 
 
 def stream_live_top5(hits: DataFrame, ip_info: DataFrame, out: str, checkpoint: str, n: int = 5) -> DataStreamWriter:
-    """Largest sources since the session began, refreshed per trigger: ``batch, ip, delta, country, severity``."""
+    """Largest sources since the session began, refreshed per trigger: ``batch, ip, delta, country, severity``.
+
+    A trigger gets the new sums of the sources it changed. As sums only grow (``count`` is not negative), a source outside the last
+    list and unchanged stays behind those on it, so the list follows from the last one and the changed sources;
+    the carried table has ``n`` rows.
+    """
     from dropscope.functions.text import severity_band
 
     sums = hits.groupBy("ip").agg(F.sum("count").alias("delta"))
+    listed = Carried(f"{out}-state", "ip STRING, delta BIGINT")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        top = reports.with_country(reports.top_n(batch, "delta", ["ip"], n), ip_info)
-        _emit(top.withColumn("severity", severity_band("delta")), out, batch_id)
+        old = listed.before(batch.sparkSession, batch_id).select("ip", "delta")
+        both = batch.select("ip", "delta").unionByName(old).groupBy("ip").agg(F.max("delta").alias("delta"))
+        listed.save(reports.top_n(both, "delta", ["ip"], n), batch_id)
+        top = listed.before(batch.sparkSession, batch_id + 1).select("ip", "delta")
+        _emit(reports.with_country(top, ip_info).withColumn("severity", severity_band("delta")), out, batch_id)
 
-    return _each_batch(sums, step, checkpoint).outputMode("complete")
+    return _each_batch(sums, step, checkpoint).outputMode("update")
 
 
 def stream_bruteforce(packets: DataFrame, config: Config, out: str, checkpoint: str) -> DataStreamWriter:
@@ -253,6 +262,32 @@ def stream_series(drops: DataFrame, grain: str = "1 hour", delay: str = "1 hour"
     return out.select(F.unix_timestamp("window.start").alias("start_s"), *SERIES_COLUMNS, "total")
 
 
+def stream_series_sums(drops: DataFrame, out: str, checkpoint: str, grain: int = 3600) -> DataStreamWriter:
+    """Partial sums per window of ``grain`` seconds (``ts`` TIMESTAMP, list_name, count), one set per batch.
+
+    There is no state and no row is too late: a late row adds a partial sum to its window, and a replayed batch
+    overwrites its own. ``read_series`` adds the sums up.
+    """
+    sums = [F.sum(F.when(F.col("list_name").isin(lists), F.col("count")).otherwise(0)).alias(name) for name, lists in SERIES_COLUMNS.items()]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        start = (floor_div(F.unix_timestamp("ts"), grain) * grain).alias("start_s")
+        _emit(batch.filter("ts IS NOT NULL").groupBy(start).agg(*sums, F.sum("count").alias("total")), out, batch_id)
+
+    return _each_batch(drops, step, checkpoint)
+
+
+def read_series(spark: SparkSession, out: str) -> DataFrame:
+    """Windows as of all batches: ``start_s``, the series columns and ``total``."""
+    columns = [*SERIES_COLUMNS, "total"]
+    return spark.read.parquet(out).groupBy("start_s").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def compact_series(spark: SparkSession, out: str, into: str) -> None:
+    """All batches as one, in a new folder that readers may switch to."""
+    _emit(read_series(spark, out), into, 0)
+
+
 def stream_log_scan(lines: DataFrame, net_set: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str) -> DataStreamWriter:
     """Status of every attacking address of a log stream, reported once: ``ip, status``.
 

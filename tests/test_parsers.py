@@ -120,6 +120,7 @@ def test_small_texts(spark):
 
 def test_preview_cuts_hidden_text(spark):
     df = spark.createDataFrame([([str(i) for i in range(150)],), (["1"],)], "a array<string>")
-    rows = [r[0] for r in df.select(P.preview("a")).collect()]
+    assert df.select(P.preview("a")).first()[0].hidden == ", ".join(map(str, range(3, 150)))
+    rows = [r[0] for r in df.select(P.preview("a", hidden_max=100)).collect()]
     assert rows[0].shown == "0, 1, 2" and rows[0].more == 147 and rows[0].hidden.endswith("102, ...")
     assert rows[1].more == 0 and rows[1].hidden == ""

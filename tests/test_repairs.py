@@ -90,7 +90,28 @@ def test_daily_tier_is_read(spark, tmp_path):
     assert total() == before + 3
     refresh.retention_run(spark, store, noon + day)
     assert total() == before + 3
-    assert S.read_versioned(spark, store, "ip_drops_daily").count() == 5
+    assert S.read_versioned(spark, store, "ip_drops_daily").count() == 6  # the late row's day is in the tier
     plan = S.read_history(spark, store, "ip_drops")._jdf.queryExecution().executedPlan().toString()
     scans = [p.split("]")[0] for p in plan.split("PartitionFilters: [")[1:]]
     assert sum("event_date#" in p for p in scans) == sum("late#" in p for p in scans) - 1 == 1  # the tier has neither
+
+
+def test_late_rows_age_with_their_days(spark, tmp_path):
+    """A late row is counted at once, once, and goes by the rules of its day; so does one after a repeated run."""
+    store, noon, day = str(tmp_path), 1706616000, 86400
+    schema = S.table_schema("ip_drops")
+    put = lambda *rows: S.append_facts(spark.createDataFrame(list(rows), schema), store, "ip_drops")
+    have = lambda: sorted((r["ip"], r["count"]) for r in S.load_store(spark, store)["ip_drops"].groupBy("ip").agg(F.sum("count").alias("count")).collect())
+    put(*[(noon - d * day, f"big{d}", 10_000 + d, "trap") for d in range(20)])
+    refresh.retention_run(spark, store, noon)
+    all_ = have()
+    put((noon - 100 * day, "faint", 1, "geo"), (noon - 10 * day, "big10", 5, "trap"), (noon - 10 * day, "small", 2, "trap"))
+    now = sorted([*[(i, n + 5 * (i == "big10")) for i, n in all_], ("faint", 1), ("small", 2)])
+    assert have() == now
+    refresh.retention_run(spark, store, noon)  # the same day: nothing moves
+    assert have() == now
+    for as_of in (noon + day, noon + 2 * day):
+        refresh.retention_run(spark, store, as_of)
+        assert have() == [x for x in now if x[0] != "faint"]
+    refresh.retention_run(spark, store, noon + 25 * day)
+    assert not {"faint", "small"} & {i for i, _ in have()}
