@@ -41,37 +41,47 @@ def counter_delta(df: DataFrame, key: list[str], order: str = "run_ts", value: s
     return previous_value(df, key, order, value).withColumn("delta", restart_delta(F.col(value), F.col("prev")))
 
 
-def carried_delta(readings: DataFrame, last: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
-    """``key, order, value, prev, delta`` of readings newer than their key's reading in ``last``, against which
-    the first of them is taken. Older ones were counted, or are part of the next increase, as counters add up."""
+def unseen_readings(readings: DataFrame, recent: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
+    """``key, order, value`` of readings that ``recent`` lacks and that are newer than their key's oldest there; of several
+    at one time the largest."""
+    base = recent.groupBy(*key).agg(F.min(order).alias("_base"))
+    rows = readings.groupBy(*key, order).agg(F.max(value).alias(value)).join(base, key, "left")
+    fresh = rows.filter(F.col("_base").isNull() | (F.col(order) > F.col("_base"))).select(*key, order, value)
+    return fresh.join(recent.select(*key, order), [*key, order], "left_anti")
+
+
+def revised_delta(fresh: DataFrame, recent: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
+    """``key, order, delta`` of the readings whose increase is new or has changed: the ``fresh`` ones and, after a late one, the
+    next that was known before. An increase of 0 is given too, as it may replace another."""
     shape = [*key, order, value]
-    seen = last.select(*key, F.col(order).alias("_seen"))
-    fresh = readings.join(seen, key, "left").filter(F.col("_seen").isNull() | (F.col(order) > F.col("_seen")))
-    rows = fresh.select(*shape, F.lit(True).alias("_new")).unionByName(last.select(*shape, F.lit(False).alias("_new")))
-    return counter_delta(rows, key, order, value).filter("_new").drop("_new")
+    both = fresh.select(*shape, F.lit(1).alias("_new")).unionByName(recent.select(*shape, F.lit(0).alias("_new")))
+    rows = counter_delta(both, key, order, value).drop("prev")
+    return previous_value(rows, key, order, "_new").filter("_new = 1 OR prev = 1").select(*key, order, "delta")
 
 
-def last_counters(readings: DataFrame, last: DataFrame, key: list[str], order: str = "run_ts", value: str = "packets") -> DataFrame:
-    """The newest reading of every key, of both tables: what the next run starts from."""
-    rows = readings.select(*key, order, value).unionByName(last.select(*key, order, value))
-    newest = F.max(F.struct(order, value)).alias("_r")
-    return rows.groupBy(*key).agg(newest).select(*key, f"_r.{order}", f"_r.{value}")
+def recent_readings(
+    fresh: DataFrame, recent: DataFrame, key: list[str], seconds: int = CHUNK, order: str = "run_ts", value: str = "packets"
+) -> DataFrame:
+    """What the next run starts from: per key the readings of the ``seconds`` before its newest and the one before them."""
+    rows = fresh.select(*key, order, value).unionByName(recent.select(*key, order, value))
+    own = W.partitionBy(*key)
+    rows = rows.withColumn("_old", F.when(F.col(order) <= F.max(order).over(own) - seconds, F.col(order)))
+    rows = rows.withColumn("_edge", F.max("_old").over(own))
+    return rows.filter(F.col("_edge").isNull() | (F.col(order) >= F.col("_edge"))).select(*key, order, value)
 
 
-def list_delta(rule_counters: DataFrame, key: list[str] | None = None, last: DataFrame | None = None) -> DataFrame:
-    """Positive increases per list: ``run_ts, list_name, count``; from the readings in ``last``, if given."""
+def list_delta(rule_counters: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Positive increases per list: ``run_ts, list_name, count``."""
     key = key or ["set_name"]
-    rows = counter_delta(rule_counters, key) if last is None else carried_delta(rule_counters, last, key)
-    out = rows.filter(F.col("delta") > 0)
+    out = counter_delta(rule_counters, key).filter(F.col("delta") > 0)
     extra = [c for c in key if c != "set_name"]
     return out.select("run_ts", *extra, F.col("set_name").alias("list_name"), F.col("delta").alias("count"))
 
 
-def ip_delta(snapshots: DataFrame, key: list[str] | None = None, last: DataFrame | None = None) -> DataFrame:
-    """Positive increases per address and list type: ``run_ts, ip, count, list_type``; from the readings in ``last``, if given."""
+def ip_delta(snapshots: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Positive increases per address and list type: ``run_ts, ip, count, list_type``."""
     key = key or ["ip", "list_type"]
-    rows = counter_delta(snapshots, key) if last is None else carried_delta(snapshots, last, key)
-    out = rows.filter(F.col("delta") > 0)
+    out = counter_delta(snapshots, key).filter(F.col("delta") > 0)
     extra = [c for c in key if c not in ("ip", "list_type")]
     return out.select("run_ts", *extra, "ip", F.col("delta").alias("count"), "list_type")
 

@@ -70,18 +70,22 @@ def statistics_run(
 ) -> None:
     """Append list and address deltas, then merge the capture, if any, into the details table.
 
-    Increases are taken from the last counters of the runs before, which are carried in two versioned tables. A run that is
-    repeated, or was lost between any two of its steps and runs again, adds nothing twice: readings already carried are passed
-    over, and rows already stored are not appended again. With ``trap_lines`` the ban series come from their trap chains.
+    The readings of a counter's last day are carried in two versioned tables, so a reading may come up to a day late: it
+    changes its own increase and that of the next reading, also across a restart, and what is stored is settled by
+    signed rows. Older ones are passed over; their increase is part of a later one's. A run that is repeated, or was
+    lost between any two of its steps and runs again, adds nothing twice: known readings are passed over, and rows are
+    settled against what is stored. With ``trap_lines`` the ban series come from their trap chains.
     """
     lists = rule_counters if trap_lines is None else deltas.list_counters(rule_counters, trap_lines, TRAP_CHAINS)
-    for name, fact, key, readings, delta in (
-        ("list_counters", "drops", ["set_name"], lists, deltas.list_delta),
-        ("ip_counters", "ip_drops", ["ip", "list_type"], snapshots.filter("ip is not null"), deltas.ip_delta),
+    for name, fact, key, readings in (
+        ("list_counters", "drops", ["set_name"], lists),
+        ("ip_counters", "ip_drops", ["ip", "list_type"], snapshots.filter("ip is not null")),
     ):
-        last = S.read_or_empty(spark, store, name)
-        S.append_once(delta(readings, last=last).withColumnRenamed("run_ts", "timestamp"), store, fact)
-        S.publish(deltas.last_counters(readings, last, key), store, name, as_of)
+        recent = S.read_or_empty(spark, store, name)
+        fresh = deltas.unseen_readings(readings, recent, key)
+        right = deltas.revised_delta(fresh, recent, key).withColumnsRenamed({"run_ts": "timestamp", "set_name": "list_name", "delta": "count"})
+        S.settle(right, store, fact)
+        S.publish(deltas.recent_readings(fresh, recent, key), store, name, as_of)
     if packets is not None:
         info = S.load_store(spark, store)["ip_info"]
         S.publish(flows.apply_port_history(info, packets, as_of), store, "ip_info", as_of)

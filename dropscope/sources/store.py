@@ -77,9 +77,10 @@ def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
 # ---- appended facts -------------------------------------------------------------------------------
 
 
-def append_facts(df: DataFrame, store: str, name: str) -> None:
-    """One write job is one commit. Rows are spread by date and hash, so a busy day uses many tasks."""
-    rows = align_schema(df, table_schema(name)).filter(F.col("count") > 0)
+def append_facts(df: DataFrame, store: str, name: str, signed: bool = False) -> None:
+    """One write job is one commit. Rows are spread by date and hash, so a busy day uses many tasks. Only positive counts are
+    stored; ``signed`` ones correct rows of the same key and second."""
+    rows = align_schema(df, table_schema(name)).filter(F.col("count") != 0 if signed else F.col("count") > 0)
     part, day = FACTS[name], F.to_date(F.timestamp_seconds("timestamp"))
     rows = rows.withColumn(part, day if part == "event_date" else F.to_date(F.trunc(day, "month")))
     edge = boundary(df.sparkSession, store, name)
@@ -120,6 +121,32 @@ def append_once(df: DataFrame, store: str, name: str) -> None:
     append_facts(rows, store, name)
 
 
+def settle(df: DataFrame, store: str, name: str) -> None:
+    """Append, per key and second (all columns but ``count``) of ``df``, what the stored rows lack for their sum to be ``count``: the whole
+    count, a correction of either sign, or nothing. Running it again changes nothing. Only the partitions of the rows' own
+    time span are read; rows before the daily tier's boundary must still be stored."""
+    spark, schema = df.sparkSession, table_schema(name)
+    path = scratch_dir(spark)
+    align_schema(df, schema).write.parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if low is None:
+        return
+    day = lambda t: F.to_date(F.timestamp_seconds(F.lit(t)))
+    first = F.to_date(F.trunc(day(low), "month")) if FACTS[name] == "event_month" else day(low)
+    key = [c for c in rows.columns if c != "count"]
+    try:
+        held = read_facts(spark, store, name).filter(F.col(FACTS[name]).between(first, day(high)))
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+    else:
+        sums = held.groupBy(*key).agg(F.sum("count").alias("_held"))
+        lacking = F.col("count") - F.coalesce("_held", F.lit(0))
+        rows = rows.join(sums, key, "left").withColumn("count", lacking).select(*schema.names)
+    append_facts(rows, store, name, signed=True)
+
+
 def _raw(spark: SparkSession, store: str, name: str) -> DataFrame:
     parts = [T.StructField("late", T.LongType()), T.StructField(FACTS[name], T.DateType())]
     return spark.read.schema(T.StructType(table_schema(name).fields + parts)).parquet(f"{store}/{name}")

@@ -115,3 +115,17 @@ def test_late_rows_age_with_their_days(spark, tmp_path):
         assert have() == [x for x in now if x[0] != "faint"]
     refresh.retention_run(spark, store, noon + 25 * day)
     assert not {"faint", "small"} & {i for i, _ in have()}
+
+
+def test_late_reading_before_a_restart(spark, tmp_path):
+    """100, then 5 after a restart, then late 500 between them: 100, 400 and 5, however the runs are cut or repeated."""
+    store = str(tmp_path)
+    rules = spark.createDataFrame([], "run_ts BIGINT, set_name STRING, packets BIGINT")
+    snaps = lambda *r: spark.createDataFrame(list(r), "run_ts BIGINT, ip STRING, list_type STRING, packets BIGINT")
+    first = snaps((1000, "a", "geo", 100), (1000, "b", "geo", 1))
+    second = snaps((9000, "a", "geo", 5), (9000, "b", "geo", 30))
+    late = snaps((5000, "a", "geo", 500), (5000, "b", "geo", 30), (10, "a", "geo", 3))
+    for readings in (first, second, second, late, late, first, second):
+        refresh.statistics_run(spark, store, rules, readings, None, 0)
+    rows = S.load_store(spark, store)["ip_drops"].groupBy("ip", "timestamp").agg(F.sum("count").alias("n")).filter("n <> 0").collect()
+    assert {(r["ip"], r["timestamp"]): r["n"] for r in rows} == {("a", 1000): 100, ("a", 5000): 400, ("a", 9000): 5, ("b", 1000): 1, ("b", 5000): 29}
