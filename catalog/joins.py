@@ -285,6 +285,32 @@ def apply_bans_at(v):
     return S.apply_ban_events(stored, v.set_events, MIDDLE, LIFE)
 
 
+# ---- port credit by time --------------------------------------------------------------------------
+
+# The packets stretched over the time of the facts.
+STRETCH = f"{AS_OF}000000 - ({AS_OF}000000 - 1704067200000000 - (ts_us - 1704067200000000) * 2880) * 14"
+
+
+def _credit(select: str) -> str:
+    return f"""WITH w AS (SELECT src AS host, {STRETCH} AS us, max(concat(dport,'/',proto)) AS full_port FROM fw_packets WHERE dport IS NOT NULL GROUP BY 1,2),
+d AS (SELECT *, regexp_replace(ip,'/(32|128)$','') AS host, timestamp*1000000 + 999999 AS us FROM fw_ip_drops),
+j AS (SELECT d.event_id, d.ip, d.count, w.full_port FROM d ASOF LEFT JOIN w ON d.host=w.host AND d.us >= w.us) {select}"""
+
+
+def _port_packets(v):
+    return v.packets.select(F.expr(STRETCH.replace(str(AS_OF) + "000000", str(AS_OF) + "000000L")).alias("ts_us"), F.col("src").alias("ip"), F.col("dport").alias("port"), "proto")
+
+
+@query("port_at_hit", _credit("SELECT event_id, ip, count, full_port FROM j"))
+def port_at_hit(v):
+    return flows.port_at_hit(v.ip_drops, _port_packets(v)).select("event_id", "ip", "count", "full_port")
+
+
+@query("port_credit", _credit("SELECT full_port, count(DISTINCT ip) AS ips, CAST(sum(count) AS BIGINT) AS total FROM j GROUP BY full_port"))
+def port_credit(v):
+    return flows.port_credit(v.ip_drops, _port_packets(v))
+
+
 # ---- set operations and merging -------------------------------------------------------------------
 
 

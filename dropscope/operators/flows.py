@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dropscope.functions import ports as P
+from dropscope.functions import ip as IP
+from dropscope.operators.holds import last_at
 
 
 def distinct_flows(packets: DataFrame) -> DataFrame:
@@ -68,3 +70,24 @@ def enrich_all_sources(ip_info: DataFrame, enriched: DataFrame, as_of: int) -> D
     return enriched.join(old, "ip", "left").select(
         "ip", "country", "risk", "domain", F.lit(as_of).cast("long").alias("updated"), "target_port", "port_history"
     )
+
+
+def port_at_hit(ip_drops: DataFrame, packets: DataFrame) -> DataFrame:
+    """Every hit with the port its source used last, up to and including the hit's second: ``ip_drops`` plus ``full_port`` (``port/proto``;
+    null where nothing was seen before).
+
+    ``packets``: ts_us, ip, port, proto. An as-of join per address and day (see ``holds.last_at``), so a source with a
+    third of all hits is as many pieces as it has days; seconds are looked up once, whatever their hits. Of several
+    packets of one microsecond the largest label counts.
+    """
+    timed = ip_drops.withColumns({"_host": IP.strip_prefix("ip", only_host=True), "_us": F.col("timestamp") * 1000000 + 999999})
+    label = F.concat_ws("/", F.col("port").cast("string"), "proto")
+    seen = packets.filter(F.col("port").isNotNull()).select(F.col("ip").alias("_host"), F.col("ts_us").alias("_us"), label.alias("full_port"))
+    found = last_at(timed, seen, ["_host"], "_us", "full_port", slot=86400 * 1000000)
+    return timed.join(found, ["_host", "_us"], "left").select(*ip_drops.columns, "full_port")
+
+
+def port_credit(ip_drops: DataFrame, packets: DataFrame) -> DataFrame:
+    """Hits by the port used at their time: ``full_port, ips, total``; an address counts for every port it used."""
+    rows = port_at_hit(ip_drops, packets).groupBy("full_port", "ip").agg(F.sum("count").alias("total"))
+    return rows.groupBy("full_port").agg(F.count("ip").alias("ips"), F.sum("total").alias("total"))
