@@ -7,8 +7,9 @@
 2. Rows with equal sets are one class; only its smallest id goes on.
 3. Classes meet in buckets of equal band keys. First every member meets the bucket's smallest member only; links found there
    are confirmed on full sets. Buckets whose members are then still in different components are searched
-   pair by pair across components, inside the task, in blocks; only pairs whose size and sketch allow a link leave it.
-   So a large group of near copies costs one pair per member, and no link between components is lost.
+   pair by pair across components, inside the task, on full sets; sizes and sketches pass over pairs that cannot be linked.
+   Links found join their components at once, and only such links leave the task.
+   So a group of near copies costs one link per member, and no link between components is lost.
 4. Components of the confirmed links.
 
 With 24 bands of 4 samples a pair at similarity 0.85 shares a bucket with probability 1 - 2e-8, at 0.8 1 - 3e-6;
@@ -148,36 +149,49 @@ def confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, percent: int, wid
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.uint16)
 
 
-def _crossing(percent: int, flips: int, block: int = 512):
-    """Pairs of one bucket (or of two of its parts) in different components that may be linked."""
+def _joining(percent: int, flips: int, block: int = 512):
+    """Links of one bucket (or of two of its parts) that join two components; checked on full sets, inside the task.
+
+    Components met here are joined as links are found, so a group of n members gives at most n - 1 links,
+    whatever number of its pairs resemble each other.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        at = np.argsort(group.column("part").to_numpy(), kind="stable")
-        node, comp, n = (group.column(c).to_numpy()[at] for c in ("node", "comp", "n"))
-        part, first, second = (group.column(c).to_numpy()[at] for c in ("part", "i", "j"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)[at]
-        a_side = part == first[0]
-        b_side = part == second[0]
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        b_at = np.flatnonzero(b_side)
-        for x in np.array_split(np.flatnonzero(a_side), max(1, a_side.sum() // block)):
-            for y in np.array_split(b_at, max(1, len(b_at) // block)):
-                small = np.minimum(n[x][:, None], n[y]) * 100 >= percent * np.maximum(n[x][:, None], n[y])
-                i, j = np.nonzero(small & (comp[x][:, None] != comp[y]) & ((first[0] != second[0]) | (node[x][:, None] < node[y])))
-                i, j = x[i], y[j]
-                for cut in range(0, len(i), 100_000):
-                    p, q = i[cut : cut + 100_000], j[cut : cut + 100_000]
-                    ok = _BITS[sketch[p] ^ sketch[q]].sum(1) <= flips
-                    found_a.append(node[p[ok]])
-                    found_b.append(node[q[ok]])
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        node, comp, part, first, second = (group.column(c).to_numpy().copy() for c in ("node", "comp", "part", "i", "j"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        lists = group.column("set").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        words, ids = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mine = np.zeros(len(words), np.int64)
+        b_side = np.flatnonzero(part == second[0])
+        out: list[tuple[int, int]] = []
+        for x in np.flatnonzero(part == first[0]):
+            others = b_side[b_side > x] if first[0] == second[0] else b_side
+            may = (comp[others] != comp[x]) & (100 * np.minimum(n[x], n[others]) >= percent * np.maximum(n[x], n[others]))
+            others = others[may]
+            if not len(others):
+                continue
+            mine[ids[edge[x] : edge[x + 1]]] = 1
+            for cut in range(0, len(others), block):
+                near = others[cut : cut + block]
+                near = near[(comp[near] != comp[x]) & (_BITS[sketch[near] ^ sketch[x]].sum(1) <= flips)]
+                if not len(near):
+                    continue
+                shared = np.add.reduceat(mine[np.concatenate([ids[edge[y] : edge[y + 1]] for y in near])], np.cumsum(n[near]) - n[near])
+                for y in near[100 * shared >= percent * (n[x] + n[near] - shared)]:
+                    if comp[y] != comp[x]:
+                        out.append((min(node[x], node[y]), max(node[x], node[y])))
+                        comp[comp == comp[y]] = comp[x]
+            mine[ids[edge[x] : edge[x + 1]]] = 0
+        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
 
 
-def class_links(docs: DataFrame, classes: DataFrame, percent: int, width: int, part: int = 2048) -> DataFrame:
-    """Confirmed links ``a, b`` between classes (``node, doc_id, row_key, n, bands, sketch``)."""
+def class_links(docs: DataFrame, classes: DataFrame, percent: int, width: int, part: int = 1 << 20) -> DataFrame:
+    """Confirmed links ``a, b`` between classes (``node, doc_id, row_key, n, bands, sketch``): enough of them to connect all
+    that are linked. A bucket is dealt into parts of about ``part`` shingles, which bounds a task."""
     flips = allowed_flips(percent / 100)
     ids = classes.select("node", "doc_id", "row_key")
     drawn = classes.select("node", "n", "sketch")
@@ -193,18 +207,20 @@ def class_links(docs: DataFrame, classes: DataFrame, percent: int, width: int, p
 
     found = components(links).select("node", F.col("component").alias("comp"))
     placed = members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    open_ = placed.join(mixed_, "bucket", "left_semi").filter("size > 2")  # two members have met in the star
-    parts = F.expr(f"(size + {part - 1}) div {part}")
-    open_ = open_.withColumn("parts", parts).withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
+    sized = placed.join(drawn, "node")
+    # Buckets with the same members, as a group of near copies has in many bands, are searched once.
+    members_hash = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    mixed_ = sized.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("work"), F.count("*").alias("m"), members_hash.alias("h"))
+    mixed_ = mixed_.filter("lo < hi AND m > 2")  # two members have met in the star
+    mixed_ = mixed_.groupBy("m", "h").agg(F.min("bucket").alias("bucket"), F.max("work").alias("work"))
+    open_ = keep(sized.join(mixed_.select("bucket", "work"), "bucket").select("bucket", "node", "comp", "sketch", "work"), "open")
+    sets = keep(_sets(docs, ids.join(open_.select("node").distinct(), "node", "left_semi"), width), "open_sets")
+    open_ = open_.withColumn("parts", F.expr(f"(work + {part - 1}) div {part}")).withColumn("part", F.expr("pmod(xxhash64(node), parts)"))
     pairs = F.expr("flatten(transform(sequence(0L, parts - 1), k -> array(struct(least(part, k) AS i, greatest(part, k) AS j))))")
-    dealt = open_.join(drawn, "node").select("bucket", "node", "comp", "n", "sketch", "part", F.explode(pairs).alias("ij"))
-    dealt = dealt.select("bucket", "node", "comp", "n", "sketch", "part", "ij.i", "ij.j")
-    more = dealt.groupBy("bucket", "i", "j").applyInArrow(_crossing(percent, flips), "a BIGINT, b BIGINT").distinct()
-    more = keep(more, "across")
-    if more.isEmpty():
-        return links
-    return links.unionByName(confirm(more, docs, ids, percent, width))
+    dealt = open_.join(sets, "node").select("bucket", "node", "comp", "sketch", "set", "part", F.explode(pairs).alias("ij"))
+    dealt = dealt.select("bucket", "node", "comp", "sketch", "set", "part", "ij.i", "ij.j")
+    more = dealt.groupBy("bucket", "i", "j").applyInArrow(_joining(percent, flips), "a BIGINT, b BIGINT").distinct()
+    return links.unionByName(keep(more, "across"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
