@@ -90,13 +90,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """``text, toxic`` of about ``rows`` labelled training rows at most, chosen by a hash of the id."""
+    """``text, toxic`` of about ``rows`` labelled ids at most, chosen by a hash of the id; an id that repeats in ``docs`` gives one
+    row, its smallest text (null if it has none), so the bound holds for rows as well."""
     own = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     count = own.count()
     if count > rows:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / count))
-    return keep(docs.select("doc_id", "text").join(own, "doc_id").select("text", "toxic"), "sample")
+    texts = docs.select("doc_id", "text").join(own, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return keep(texts.select("text", "toxic"), "sample")
 
 
 def _counting(batches):

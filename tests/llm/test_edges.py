@@ -220,3 +220,13 @@ def test_stages_on_nothing(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.collect() == []
+
+
+def test_a_labelled_id_counts_once(spark):
+    """However often an id repeats, the sample that is fitted on the driver holds one row of it."""
+    docs = spark.range(5000).selectExpr("id % 5 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(5).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    rows = toxicity.sample(docs, labels, 20_000).collect()
+    kept = labels.filter(~toxicity.held_out(F.col("doc_id"))).collect()
+    want = [(min(f"text {i}" for i in range(r["doc_id"], 5000, 5)), r["toxic"]) for r in kept]
+    assert want and sorted((r["text"], r["toxic"]) for r in rows) == sorted(want)
