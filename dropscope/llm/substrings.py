@@ -6,8 +6,8 @@ merge into maximal removal intervals.
 
 Two lossless steps keep most windows out of the shuffle:
 
-* Documents with the same words are one class. All windows of a later copy are repeated, so only the first
-  document of each class is compared.
+* Documents with the same words are one class. All windows of a copy under a later id are repeated, so only the first
+  row of each class is compared; rows of its id with the same words share its intervals.
 * A window can only repeat if its least short-gram hash (its minimizer) does. A document has one distinct
   minimizer per twenty words or so; these are counted first, and only windows whose minimizer occurs in two
   documents are hashed and counted.
@@ -99,10 +99,8 @@ def repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     profiled = keep(profiles(docs, width), "profiles")
     long = profiled.filter(f"n_words >= {width} and doc_id is not null")
     first = long.groupBy("print").agg(F.min(F.struct("doc_id", "row_key")).alias("f"))
-    later = long.select("doc_id", "row_key", "n_words", "print").join(first, "print")
-    copies = later.filter("doc_id > f.doc_id").select(
-        "doc_id", "row_key", "n_words", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("intervals")
-    )
+    members = long.select("doc_id", "row_key", "n_words", "print").join(first, "print")
+    members = members.select("doc_id", "row_key", "n_words", F.col("f.doc_id").alias("lead"), F.col("f.row_key").alias("lead_key")).distinct()
     lead = first.select("f.*")
 
     grams = long.select("doc_id", "row_key", F.explode("grams").alias("gram")).join(lead, ["doc_id", "row_key"], "left_semi")
@@ -122,9 +120,12 @@ def repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     opens = F.array_compact(F.zip_with("at", back, lambda x, p: F.when(p.isNull() | (x - p > width), x)))
     closes = F.array_compact(F.zip_with("at", ahead, lambda x, n: F.when(n.isNull() | (n - x > width), x + width)))
     spans = F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
-    merged = merged.select("doc_id", "row_key", spans.alias("intervals"))
-    counted = profiled.select("doc_id", "row_key", "n_words").distinct()
-    return merged.join(counted, ["doc_id", "row_key"]).select("doc_id", "row_key", "n_words", "intervals").unionByName(copies.distinct())
+    merged = merged.select("doc_id", F.col("row_key").alias("lead_key"), spans.alias("intervals"))
+    # Rows of the first id have its first row's words, so that row's intervals; copies under later ids lose all.
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    cut = members.join(merged, ["doc_id", "lead_key"], "left")
+    cut = cut.select("doc_id", "row_key", "n_words", F.when(F.col("doc_id") > F.col("lead"), whole).otherwise(F.col("intervals")).alias("intervals"))
+    return cut.filter("intervals is not null")
 
 
 def _cutting(batches):

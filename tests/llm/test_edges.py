@@ -143,6 +143,14 @@ def test_substrings(docs, none):
     assert substrings.dedup(none).collect() == []
 
 
+def test_substrings_of_one_id_with_other_blanks(spark):
+    first = " ".join(f"w{i}" for i in range(60))
+    later = first + " " + " ".join(f"v{i}" for i in range(40))
+    rows = [(1, first), (5, later), (5, later.replace(" ", "  ", 1)), (5, later), (6, later.replace(" ", "\t"))]
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), 50).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in out) == [(1, 60, 0), (5, 100, 60), (5, 100, 60), (5, 100, 60), (6, 100, 100)]
+
+
 def test_packing(docs, none):
     rows = packing.packed_digests(docs, tokenizer_path()).collect()
     assert {r["doc_id"] for r in rows} == {1, 2, 3, 4, None, 5, 6, 7, 8}
