@@ -190,15 +190,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op5_warc_index",
     r"""
 WITH p AS (SELECT page_id, strlen(coalesce(html,'')) AS n, sha1(coalesce(html,'')) AS d FROM pages),
-m AS (SELECT d, n, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1, 2)
+m AS (SELECT d, n, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY 1, 2),
+h AS (SELECT page_id, coalesce(url,'') AS u, '^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]+)?([^#]*)' AS x FROM pages),
+k AS (SELECT page_id, array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(u, x, 1, 'i')), '^www[.]', ''), '.')), ',')
+  || ')' || coalesce(nullif(lower(regexp_extract(u, x, 2, 'i')), ''), '/') AS url_key, strftime(make_timestamp(page_id * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "at" FROM h)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN last > page_id THEN last END AS refers_to FROM p LEFT JOIN m USING (d, n)""",
+  CASE WHEN last > page_id THEN last END AS refers_to, url_key, "at", row_number() OVER (ORDER BY url_key, "at", page_id) - 1 AS capture_rank
+FROM p JOIN k USING (page_id) LEFT JOIN m USING (d, n)""",
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dropscope.llm.warc import archive
 
     indexed = archive(_table(spark, sf_dir, "pages"))
-    return indexed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return indexed.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "at", "capture_rank")
 
 
 @_query(

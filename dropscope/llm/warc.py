@@ -1,11 +1,12 @@
 """WARC archives of pages with revisit records, and a globally ordered capture index.
 
-``write_archives`` writes WARC/1.1 text files (records end with two line breaks, so Spark's text writer with that
-separator writes valid files and commits them safely). Of pages with the same payload of ``least`` bytes or
+``write_archives`` writes gzipped WARC/1.1 text files (records end with two line breaks, so Spark's text writer with that
+separator writes valid files and commits them safely). A file is one gzip member. Files hold fewer records where payloads are
+long, so that a file stays in the hundreds of MB or is one page. The capture time is made from ``page_id``, as pages have none. Of pages with the same payload of ``least`` bytes or
 more, the one with the largest id is a response; others are revisit records that refer to it.
-``read_archives`` parses the files back: each file is one index run, sorted by URL key and time in its task.
+``read_archives`` parses the files back as streams, a record at a time: each file is one index run, sorted by URL key and time in its task.
 ``merge_index`` deals the runs out by key range; in each range the slices of the runs, already in order, go through a loser tree,
-one comparison per level and entry. (range, place) order is the global order of captures.
+one comparison per level and entry. (range, place) order is the global order of captures, ``capture_rank`` the place in it from 0.
 
 Defined cases: null html is an empty payload; null url is an empty one; a null id is archived under no id and can't be referred
 to; rows that repeat an id and payload are archived each, the largest (id, then any one) being the response; an empty table
@@ -14,37 +15,54 @@ gives an empty archive and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dropscope.llm.common import keep, rows_of
 from dropscope.sources.store import scratch_dir
 
 END = "\r\n\r\n"
+#: Payload bytes below which so many records go into a file; beyond the last bound each has a file of its own.
+FILES = ((1 << 18, 1024), (1 << 23, 32), (1 << 31, 1))
 INDEX = (
     "url_key STRING, at STRING, page_id BIGINT, record_type STRING, payload_bytes BIGINT, payload_digest STRING, "
     "refers_to BIGINT, run STRING, seq BIGINT, offset BIGINT"
 )
 
 
-def records(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """``value``: the text of each page's record, without its closing line breaks.
-
-    Payloads are grouped by SHA-1 and length through a map-side aggregation of ids alone.
-    """
+def _pages(pages: DataFrame) -> DataFrame:
     page = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
     )
-    page = page.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("bigint"))
-    ids = page.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
-    ids = ids.filter("n > 1 and last is not null").select("digest", "size", "last")
+    return page.withColumn("size", F.octet_length("html").cast("bigint"))
+
+
+def _digest() -> Column:
+    return F.sha1(F.col("html").cast("binary")).alias("digest")
+
+
+def repeated(pages: DataFrame, least: int = 1000) -> DataFrame:
+    """``digest, size, last``: payloads of ``least`` bytes or more that occur again, with the largest id.
+
+    Payloads are grouped by SHA-1 and length through a map-side aggregation of ids alone.
+    """
+    page = _pages(pages).filter(F.col("size") >= least).select("page_id", "size", _digest())
+    ids = page.groupBy("digest", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    return ids.filter("n > 1 and last is not null").select("digest", "size", "last")
+
+
+def records(pages: DataFrame, ids: DataFrame, low: int = 0, high: int = 1 << 31) -> DataFrame:
+    """``value``: the text of the record of each page of ``low`` to under ``high`` bytes, without its closing line breaks."""
+    page = _pages(pages).filter((F.col("size") >= low) & (F.col("size") < high)).select("*", _digest())
     joined = page.join(ids, ["digest", "size"], "left")
     again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     head = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -68,8 +86,15 @@ def records(pages: DataFrame, least: int = 1000) -> DataFrame:
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, per_file: int = 1024) -> None:
-    records(pages, least).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+def write_archives(pages: DataFrame, path: str, least: int = 1000, files: tuple = FILES) -> None:
+    ids = keep(repeated(pages, least), "repeated")
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low = 0
+    for high, per_file in files:
+        if low <= longest:  # longer classes are empty
+            rows = records(pages, ids, low, high)
+            rows.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+        low = high
 
 
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^#]*)", re.I)
@@ -87,20 +112,24 @@ def _parse(batches):
     types = [{"STRING": pa.string(), "BIGINT": pa.int64()}[c.split()[1]] for c in INDEX.split(", ")]
     for path, content in rows_of(batches):
         rows, at, run = [], 0, path.rsplit("/", 1)[-1]
-        while at < len(content):
-            cut = content.index(b"\r\n\r\n", at)
-            lines = content[at:cut].decode().split("\r\n")
-            fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-            start, size = cut + 4, int(fields["Content-Length"])
-            body = content[start : start + size]
-            own = fields["WARC-Record-ID"][len("<urn:page:") : -1]
-            other = fields.get("WARC-Refers-To", "<urn:page:>")[len("<urn:page:") : -1]
-            again = fields["WARC-Type"] == "revisit"
-            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if again else hashlib.sha1(body).hexdigest()
-            length = int(fields["X-Payload-Length"]) if again else size
-            rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], int(own) if own else None, fields["WARC-Type"],
-                         length, digest, int(other) if other else None, run, 0, at))
-            at = start + size + 4
+        with io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content))) as file:
+            while line := file.readline():
+                fields, head = {}, len(line)
+                while line := file.readline().removesuffix(b"\r\n"):
+                    name, _, value = line.decode().partition(":")
+                    fields[name] = value.removeprefix(" ")
+                    head += len(line) + 2
+                size = int(fields["Content-Length"])
+                body = file.read(size)
+                file.read(len(END))
+                own = fields["WARC-Record-ID"][len("<urn:page:") : -1]
+                other = fields.get("WARC-Refers-To", "<urn:page:>")[len("<urn:page:") : -1]
+                again = fields["WARC-Type"] == "revisit"
+                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if again else hashlib.sha1(body).hexdigest()
+                length = int(fields["X-Payload-Length"]) if again else size
+                rows.append((url_key(fields["WARC-Target-URI"]), fields["WARC-Date"], int(own) if own else None, fields["WARC-Type"],
+                             length, digest, int(other) if other else None, run, 0, at))
+                at += head + 2 + size + len(END)
         rows.sort(key=lambda r: (r[0], r[1], r[2] if r[2] is not None else -1))
         rows = [(*r[:8], i, r[9]) for i, r in enumerate(rows)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -165,7 +194,7 @@ def _merge(batches):
 
 
 def merge_index(runs: DataFrame, per_range: int = 100_000) -> DataFrame:
-    """Runs merged in key ranges of about ``per_range`` entries: ``range, place`` give the global order.
+    """Runs merged in key ranges of about ``per_range`` entries: ``range, place`` and ``capture_rank`` give the global order.
 
     Ranges are cut by (URL key, time, id), so a URL with a third of all captures spans many ranges.
     """
@@ -173,7 +202,13 @@ def merge_index(runs: DataFrame, per_range: int = 100_000) -> DataFrame:
     count = runs.count()
     parts = max(1, -(-count // per_range), min(count, int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = runs.repartitionByRange(parts, "url_key", "at", "page_id")
-    return dealt.mapInArrow(_merge, INDEX + ", place BIGINT").withColumn("range", F.spark_partition_id())
+    merged = dealt.mapInArrow(_merge, INDEX + ", place BIGINT").withColumn("range", F.spark_partition_id())
+    merged = keep(merged, "merged")
+    # One row per range; a range starts where the ranges before it end.
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return merged.join(starts, "range").select(*merged.columns, (F.col("start") + F.col("place")).alias("capture_rank"))
 
 
 def archive(pages: DataFrame, least: int = 1000) -> DataFrame:

@@ -176,9 +176,26 @@ def test_warc(spark):
     assert all(r["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() for r in out if r["payload_bytes"] == 1200)
     keys = [(r["url_key"], r["at"]) for r in sorted(out, key=lambda r: (r["range"], r["place"]))]
     assert keys == sorted(keys) and "com,a)/x" in {k for k, _ in keys}
+    assert [r["capture_rank"] for r in sorted(out, key=lambda r: (r["range"], r["place"]))] == list(range(len(out)))
     assert warc.archive(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_archives_of_long_pages(spark):
+    """Files hold fewer records where payloads are longer; a page of 20 MB comes back whole."""
+    sizes = [0, 999, 1000, 70_000, 300_000, 300_000, 300_001, 9_000_000, 20_000_000]
+    rows = [(i, f"http://h{i % 3}.example.com/{i}", chr(97 + i) * n) for i, n in enumerate(sizes)]
+    rows.append((20, "http://h0.example.com/8", rows[8][2]))
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    out = {r["page_id"]: r for r in warc.archive(pages).collect()}
+    assert {i: r["payload_bytes"] for i, r in out.items()} == {i: len(h) for i, _, h in rows}
+    assert {i: r["payload_digest"] for i, r in out.items()} == {i: hashlib.sha1(h.encode()).hexdigest() for i, _, h in rows}
+    assert [i for i, r in out.items() if r["record_type"] == "revisit"] == [8] and out[8]["refers_to"] == 20
+    small = {out[i]["run"] for i in range(4)}
+    large = [out[i]["run"] for i in (7, 8, 20)]
+    assert len(set(large)) == 3 and not small & set(large) and not {out[i]["run"] for i in (4, 5, 6)} & (small | set(large))
+    assert sorted(out, key=lambda i: out[i]["capture_rank"]) == sorted(out, key=lambda i: (out[i]["url_key"], out[i]["at"], i))
+
+
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0, 4.0]
