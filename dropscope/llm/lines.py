@@ -31,8 +31,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), GAP_CLASS, " "))
+def normal_lines(text: Column) -> Column:
+    """Lines of a text in normal form, but for blanks at their ends: the whole text is lower-cased and its blanks joined
+    before it is split, one call a document. Single spaces, by far the most blanks, are not matched."""
+    return F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "), "\n")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -43,8 +45,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """Lines with a word: ``id0, row_key, pos, line`` (normal form)."""
-    rows = _keyed(docs).select("id0", "row_key", F.posexplode(F.split("row.text", "\n")).alias("pos", "line"))
-    return rows.withColumn("line", normal(F.col("line"))).filter("line <> ''")
+    rows = _keyed(docs).select("id0", "row_key", F.posexplode(normal_lines(F.col("row.text"))).alias("pos", "line"))
+    return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
 def _identity() -> list[Column]:
