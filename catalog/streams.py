@@ -12,6 +12,7 @@ from catalog.sources import MERGED, PACKETS
 from catalog.views import AS_OF, Views
 from dropscope.sources import store as S
 from dropscope.sources import text as X
+from dropscope.streaming import history as H
 from dropscope.streaming import jobs as J
 from dropscope.streaming import keyed as K
 
@@ -100,6 +101,23 @@ def stream_port_history(v):
     return S.read_versioned(v.spark, out, "ip_info").select("ip", "target_port", "port_history")
 
 
+@query(
+    "port_changes",
+    MERGED
+    + """ SELECT i.ip, CAST(CASE WHEN m.ip IS NULL THEN i.updated ELSE 1706659200 END AS BIGINT) AS updated,
+ CASE WHEN m.ip IS NULL THEN i.target_port ELSE m.last_port END AS target_port,
+ CASE WHEN m.ip IS NULL THEN i.port_history ELSE array_to_string(m.hist,',') END AS port_history FROM fw_ip_info i LEFT JOIN m ON m.ip=i.ip""",
+)
+def port_changes(v):
+    """Sightings from four files with late rows; two batches are compacted, two merged at read."""
+    out, check = _paths(v)
+    S.publish(v.ip_info, out, "ip_info", AS_OF)
+    packets = X.parse_packets(v.packet_text).select("ts_us", "ip", "port", "proto")
+    J.run_available(H.stream_port_changes(_in_files(packets, v, "ts_us", 86400 * 1000000), out, check, AS_OF))
+    H.compact(v.spark, out, through=1)
+    return H.read_details(v.spark, out).select("ip", "updated", "target_port", "port_history")
+
+
 @query("stream_counter_delta", f"WITH {DELTA} SELECT run_ts, ip, delta AS count, list_type FROM e WHERE delta > 0")
 def stream_counter_delta(v):
     out, check = _paths(v)
