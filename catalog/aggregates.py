@@ -13,7 +13,7 @@ from catalog.joins import CLASSIFY, PACKET_CFG
 from catalog.sources import PORT_ROWS
 from catalog.views import AS_OF
 from dropscope.config import Config
-from dropscope.operators import abuse, classify, deltas, detect, reports, retention
+from dropscope.operators import abuse, classify, deltas, detect, reports, retention, sensors
 from dropscope.plans import period, refresh
 from dropscope.sources import store as S
 from dropscope.sources import text as T
@@ -189,6 +189,40 @@ def ip_delta(v):
     return deltas.ip_delta(v.set_snapshots)
 
 
+SENSOR_DELTA = """d AS (SELECT *, lag(packets) OVER (PARTITION BY sensor_id, ip, list_type ORDER BY run_ts) AS prev FROM fw_sensor_snapshots),
+e AS (SELECT *, CAST(CASE WHEN packets < coalesce(prev,0) THEN packets ELSE packets - coalesce(prev,0) END AS BIGINT) AS delta FROM d)"""
+
+
+@query("sensor_ip_delta", f"WITH {SENSOR_DELTA} SELECT run_ts, sensor_id, ip, delta AS count, list_type FROM e WHERE delta > 0")
+def sensor_ip_delta(v):
+    return sensors.sensor_ip_delta(v.sensor_snapshots)
+
+
+@query(
+    "sensor_slot_totals",
+    f"""WITH {SENSOR_DELTA}, g AS (SELECT ip, list_type, run_ts // 21600 * 21600 AS slot, CAST(sum(delta) AS BIGINT) AS count, count(DISTINCT sensor_id) AS sensors FROM e GROUP BY 1,2,3),
+q AS (SELECT ip, list_type, slot, slot + 21600 AS edge, sensor_id FROM g CROSS JOIN (SELECT DISTINCT sensor_id FROM fw_sensor_snapshots) t),
+c AS (SELECT q.ip, q.list_type, q.slot, CAST(sum(coalesce(r.packets, 0)) AS BIGINT) AS total FROM q ASOF LEFT JOIN fw_sensor_snapshots r
+  ON q.ip = r.ip AND q.list_type = r.list_type AND q.sensor_id = r.sensor_id AND q.edge > r.run_ts GROUP BY 1,2,3)
+SELECT ip, list_type, slot, total, count, sensors FROM g JOIN c USING (ip, list_type, slot)""",
+)
+def sensor_slot_totals(v):
+    """Six-hour slots; the check carries last values by an as-of join per sensor."""
+    return sensors.slot_totals(v.sensor_snapshots, seconds=21600)
+
+
+@query(
+    "sensor_facts",
+    f"""WITH {SENSOR_DELTA} SELECT (run_ts - 700 * CAST(substr(sensor_id, 2) AS INT)) // 3600 * 3600 AS timestamp, ip, CAST(sum(delta) AS BIGINT) AS count, list_type
+FROM e WHERE delta > 0 GROUP BY 1, 2, 4""",
+)
+def sensor_facts(v):
+    """Clocks put right first, then the sensors' increases summed per hour."""
+    ids = v.sensor_snapshots.select("sensor_id").distinct()
+    clocks = ids.withColumn("ahead", 700 * F.expr("cast(substr(sensor_id, 2) as int)"))
+    return sensors.sensor_facts(sensors.on_one_clock(v.sensor_snapshots, clocks))
+
+
 @query(
     "statistics_run",
     rf"""WITH {RC}, t AS (SELECT run_ts, 'AutoBan' AS set_name, CAST(sum(CAST(regexp_extract(line,'^\s*(\d+)',1) AS BIGINT)) AS BIGINT) AS packets

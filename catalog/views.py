@@ -80,6 +80,11 @@ FROM events""",
 SELECT hr*3600 AS run_ts, ip, list_type, CAST(sum(c) OVER (PARTITION BY ip, list_type, hr {{DIV}} 72 ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS packets
 FROM (SELECT {{US}} {{DIV}} 3600000000 AS hr, {USER_IP} AS ip,
  CASE WHEN event_type='error' THEN 'trap' ELSE 'main' END AS list_type, CAST(sum(CAST(floor(value) AS bigint)+1) AS bigint) AS c FROM events GROUP BY 1,2,3) t""",
+    # Three sensors with clocks 700 seconds apart; each sees a third of the events.
+    "fw_sensor_snapshots": f"""
+SELECT concat('s',cast(s as varchar(9))) AS sensor_id, hr*3600 + s*700 AS run_ts, ip, list_type, CAST(sum(c) OVER (PARTITION BY s, ip, list_type, hr {{DIV}} 72 ORDER BY hr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS packets
+FROM (SELECT event_id % 3 AS s, {{US}} {{DIV}} 3600000000 AS hr, {USER_IP} AS ip,
+ CASE WHEN event_type='error' THEN 'trap' ELSE 'main' END AS list_type, CAST(sum(CAST(floor(value) AS bigint)+1) AS bigint) AS c FROM events GROUP BY 1,2,3,4) t""",
     # Further views in the same style.
     "fw_rule_counts": """
 SELECT day*86400 AS run_ts, chain, list_name, CAST(sum(c) OVER (PARTITION BY chain, list_name, day {DIV} 10 ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS packets
