@@ -1,7 +1,8 @@
 """Removal of lines that equal, or nearly equal, an earlier line anywhere in the corpus.
 
 Lines are compared after lower-casing and joining their words by single spaces; lines without a word stay. Two
-lines are near when one edit (a code point put in, taken out or replaced) makes them equal. A line goes if an
+lines are near when one edit (a code point put in, taken out or replaced) makes them equal and both have at least ``near_from`` code
+points: in shorter ones, such as ``12`` and ``13``, one edit is another line. A line goes if an
 earlier line is equal or near; earlier means smaller document id, then row key, then line number. Every comparison is
 made on the input, not on what is left.
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from dropscope.llm.common import GAP_CLASS, keep, mixed, row_key, rows_of
 
+NEAR_FROM = 10  # code points
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -97,9 +99,10 @@ def _neighbourhood(batches):
 def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that have an earlier line within one edit.
 
-    ``lines`` has ``h1, h2, first`` and the half keys; ``texts`` gives ``h1, h2, line`` for any occurrence.
+    ``lines`` has ``h1, h2, first`` and the half keys, null in lines too short to be near any; ``texts`` gives ``h1, h2, line``
+    for any occurrence of the others.
     """
-    halves = lines.select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
+    halves = lines.filter("k0 is not null").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("half")
     some = keep(halves.join(shared, "half").select("h1").distinct(), "halves")
     told = texts.join(some, "h1", "left_semi").dropDuplicates(["h1", "h2"])
@@ -124,23 +127,25 @@ def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(F.levenshtein("line", "earlier", 1) == 1).select("h1", "h2")
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """``id0, row_key, gone``: line numbers to remove, for documents with any."""
     found = occurrences(docs)
-    at = keep(found.select("id0", "row_key", "pos", *_identity(), *_halves()), "occurrences").distinct()
+    long = F.char_length("line") >= near_from
+    keys = [F.when(long, k).alias(f"k{i}") for i, k in enumerate(_halves())]
+    at = keep(found.select("id0", "row_key", "pos", *_identity(), *keys), "occurrences").distinct()
     first = F.struct("id0", "row_key", "pos")
     halves = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
     lines = keep(at.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), *halves), "lines")
-    near = keep(near_lines(lines, found.select(*_identity(), "line")), "near").withColumn("near", F.lit(True))
+    near = keep(near_lines(lines, found.filter(long).select(*_identity(), "line")), "near").withColumn("near", F.lit(True))
     marked = lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 or near")
     hit = at.select("h1", "h2", "id0", "row_key", "pos").join(marked, ["h1", "h2"])
     hit = hit.filter(F.col("near") | (first > F.col("first")))
     return hit.groupBy("id0", "row_key").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """``row`` (all columns), ``n_lines``, ``n_removed`` and ``kept_text`` (remaining lines joined by newlines)."""
-    joined = _keyed(docs).join(removals(docs), ["id0", "row_key"], "left")
+    joined = _keyed(docs).join(removals(docs, near_from), ["id0", "row_key"], "left")
     joined = joined.select("row", "gone", F.split("row.text", "\n").alias("parts"))
     places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     left = F.array_join(F.transform(places, lambda p: F.get(F.col("parts"), p)), "\n")
@@ -152,9 +157,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
 
 
-def filter_lines(docs: DataFrame) -> DataFrame:
+def filter_lines(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """``docs`` with the kept text, ``n_chars`` set anew where there is such a column; documents that lose their last line with a word go."""
-    cut = dedup(docs)
+    cut = dedup(docs, near_from)
     left = (F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept_text", GAP_CLASS, " ")) != "")
     changed = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
     return cut.filter(left).select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

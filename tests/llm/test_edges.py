@@ -118,10 +118,16 @@ def test_lines(docs, none):
 
 def test_near_lines(spark):
     rows = [(1, "Hello there world\nkeep me\nab"), (2, "hello  there worle\nhello there world!\nb\nacb\nxyz"), (3, "hello thereworld\nelloo there world")]
-    out = {r["row"]["doc_id"]: r["kept_text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    out = {r["row"]["doc_id"]: r["kept_text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), near_from=0).collect()}
     assert out == {1: "Hello there world\nkeep me\nab", 2: "xyz", 3: "elloo there world"}
 
 
+def test_short_lines_are_not_near(spark):
+    rows = [(1, "{\n12\nChapter 6\n1999\nChapter 16\nabcdefghi"), (2, "}\n13\nChapter 7\n1998\n{\nChapter 17\nabcdefghij")]
+    out = {r["row"]["doc_id"]: r["kept_text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert out == {1: rows[0][1], 2: "}\n13\nChapter 7\n1998\nabcdefghij"}
+
+
 def test_minhash(docs, none):
     rows = minhash.near_duplicates(docs, 80).collect()
     assert len(rows) == 12
