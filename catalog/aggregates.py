@@ -13,7 +13,7 @@ from catalog.joins import CLASSIFY, PACKET_CFG
 from catalog.sources import PORT_ROWS
 from catalog.views import AS_OF
 from dropscope.config import Config
-from dropscope.operators import abuse, classify, deltas, detect, reports, retention, sensors
+from dropscope.operators import abuse, classify, deltas, detect, reports, retention, sensors, tiles
 from dropscope.plans import period, refresh
 from dropscope.sources import store as S
 from dropscope.sources import text as T
@@ -122,6 +122,32 @@ def top_ips(v):
     return reports.top_ips(v.ip_drops, AS_OF)
 
 
+DAYS = """days AS (SELECT timestamp - timestamp % 86400 + 43200 AS t, ip, list_type, sum(count) AS n FROM fw_ip_drops WHERE timestamp < 1706572800 GROUP BY 1,2,3)"""
+
+
+@query(
+    "window_tiles",
+    f"""WITH {DAYS}, g(grain, until) AS (VALUES ('month', 1704067200), ('year', 1704067200))
+SELECT grain, CAST(epoch(date_trunc(grain, make_timestamp(t*1000000))) AS BIGINT) AS start, ip, list_type, CAST(sum(n) AS BIGINT) AS count
+FROM days JOIN g ON t < until GROUP BY ALL""",
+)
+def window_tiles(v):
+    return tiles.tile_sums(retention.rollup_ip_drops(v.ip_drops, AS_OF), retention.closed_day(AS_OF))
+
+
+@query(
+    "tiled_totals",
+    f"""WITH {DAYS}, w(win,secs) AS (VALUES ('24h',86400),('30d',2592000),('1y',31536000),('all',NULL)),
+r AS (SELECT t, ip, list_type, n FROM days UNION ALL SELECT timestamp, ip, list_type, count FROM fw_ip_drops WHERE timestamp >= 1706572800)
+SELECT ip, list_type, win AS "window", CAST(sum(n) AS BIGINT) AS total FROM r JOIN w ON secs IS NULL OR t > 1706659200-secs GROUP BY ALL""",
+)
+def tiled_totals(v):
+    """Trailing windows from years, months, days and raw rows, long form."""
+    daily, edge = retention.rollup_ip_drops(v.ip_drops, AS_OF), retention.closed_day(AS_OF)
+    fresh = v.ip_drops.filter(F.col("timestamp") >= edge)
+    return reports.long_totals(tiles.tiled_totals(fresh, daily, tiles.tile_sums(daily, edge), AS_OF, edge))
+
+
 def _ports_check(where: str) -> str:
     return f"""WITH {PORT_ROWS}, x AS (SELECT * FROM r WHERE {where}),
 g AS (SELECT win, full_port, CAST(count(DISTINCT ip) AS BIGINT) AS ips, CAST(sum(count) AS BIGINT) AS total, list_sort(list(DISTINCT ip)) AS l FROM x GROUP BY ALL),

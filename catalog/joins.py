@@ -153,6 +153,24 @@ def retention_run(v):
     return tables["ip_drops"].select("timestamp", F.col("ip").alias("name"), "list_type", "count").unionByName(lists)
 
 
+@query(
+    "stored_totals",
+    f"""WITH {VIP}, w(win,secs) AS (VALUES ('24h',86400),('30d',2592000),('1y',31536000),('all',NULL)),
+days AS (SELECT timestamp - timestamp % 86400 + 43200 AS t, ip, list_type, sum(count) AS n FROM fw_ip_drops WHERE timestamp < 1706572800 GROUP BY 1,2,3),
+r AS (SELECT t, ip, list_type, n FROM days WHERE NOT (t < 1706659200-2592000 AND n <= 5) AND NOT (t < 1706659200-3888000 AND ip NOT IN (SELECT ip FROM vip))
+  UNION ALL SELECT timestamp, ip, list_type, count FROM fw_ip_drops WHERE timestamp >= 1706572800)
+SELECT ip, list_type, win AS "window", CAST(sum(n) AS BIGINT) AS total FROM r JOIN w ON secs IS NULL OR t > 1706659200-secs GROUP BY ALL""",
+)
+def stored_totals(v):
+    """Trailing windows of a store after its retention run, from the tiles that run leaves."""
+    store = S.scratch_dir(v.spark)
+    S.append_ip_drops(v.ip_drops, store)
+    S.append_drops(v.drops, store)
+    S.publish(v.ip_info, store, "ip_info", AS_OF)
+    refresh.retention_run(v.spark, store, AS_OF)
+    return reports.long_totals(S.stored_totals(v.spark, store, AS_OF))
+
+
 @query(
     "prune_ip_info",
     f"WITH {KEPT} SELECT ip, country, risk, domain, updated, target_port, port_history FROM fw_ip_info WHERE ip IN (SELECT split_part(ip,'/',1) FROM kept)",

@@ -129,6 +129,11 @@ def _long_form(totals: DataFrame, keep: list[str]) -> DataFrame:
     return totals.unpivot(keep, list(WINDOWS), "window", "total").filter(F.col("total").isNotNull())
 
 
+def long_totals(totals: DataFrame) -> DataFrame:
+    """``ip, list_type, window, total`` of the windows that a key has rows in."""
+    return _long_form(totals, ["ip", "list_type"])
+
+
 def top_ips(ip_drops: DataFrame, as_of: int, n: int = 10, totals: DataFrame | None = None) -> DataFrame:
     """All 20 tables at once: ``family, window, rank, ip, total, list_type``."""
     totals = window_totals(ip_drops, as_of) if totals is None else totals

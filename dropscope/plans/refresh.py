@@ -100,7 +100,7 @@ def enrichment_run(spark: SparkSession, store: str, reputation: DataFrame, as_of
 
 
 def retention_run(spark: SparkSession, store: str, as_of: int) -> None:
-    """Roll newly closed days into the daily tiers, drop old facts of unprotected sources, prune ``ip_info``.
+    """Roll newly closed days into the daily tiers, drop old facts of unprotected sources, add up months and years, prune ``ip_info``.
 
     The old tier, the raw rows after it and the rows too late for it are read, not older raw rows; late rows so become
     part of their days and age like all others. ``load_store`` then reads the new tier. A tier is rolled up once a day; a
@@ -114,7 +114,8 @@ def retention_run(spark: SparkSession, store: str, as_of: int) -> None:
         S.publish(retention.rollup(S.read_history(spark, store, "drops"), ["list_name"], as_of), store, "drops_daily", as_of)
     if edges["ip_drops"] != today:
         aged = retention.rollup(S.read_history(spark, store, "ip_drops"), ["ip", "list_type"], as_of)
-        S.publish(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops_daily", as_of)
+        S.publish_tier(retention.retain_ip_drops(aged, vip, as_of), store, "ip_drops", as_of)
+    S.publish_tiles(spark, store, as_of)
     tables = S.load_store(spark, store)
     S.publish(retention.prune_ip_info(tables["ip_info"], tables["ip_drops"]), store, "ip_info", as_of)
 

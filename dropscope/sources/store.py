@@ -26,7 +26,9 @@ from pyspark.sql.utils import AnalysisException
 
 from dropscope.config import SET_FAMILIES
 from dropscope.operators.membership import apply_events
+from dropscope.operators.reports import window_totals
 from dropscope.operators.retention import closed_day
+from dropscope.operators.tiles import tile_sums, tiled_totals
 from dropscope.functions import ip as IP
 
 SCHEMAS = {
@@ -157,17 +159,20 @@ def read_facts(spark: SparkSession, store: str, name: str) -> DataFrame:
     return _raw(spark, store, name).drop("late")
 
 
+def _clock_edge(spark: SparkSession, store: str, table: str) -> int | None:
+    """Boundary by the clock of the current version of a table; None if it has none."""
+    log = _version_log(spark, store, table)
+    return None if log is None else closed_day(log.agg(F.max_by("committed_at", "version")).first()[0])
+
+
 def boundary(spark: SparkSession, store: str, name: str) -> int | None:
     """First second that the daily tier of a fact table does not cover; None without a tier."""
-    log = _version_log(spark, store, f"{name}_daily")
-    return None if log is None else closed_day(log.agg(F.max_by("committed_at", "version")).first()[0])
+    return _clock_edge(spark, store, f"{name}_daily")
 
 
-def read_history(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """The daily tier up to its boundary, raw rows from there on, and those that came too late for the tier and are not
-    part of it yet. Partitions of raw rows before the boundary, or late for an earlier one, are not scanned."""
-    edge, part = boundary(spark, store, name), FACTS[name]
-    columns = table_schema(name).names
+def _history_parts(spark: SparkSession, store: str, name: str, edge: int | None) -> tuple[DataFrame | None, DataFrame]:
+    """The daily tier, if there is one, and the rows read beside it."""
+    part, columns = FACTS[name], table_schema(name).names
     try:
         raw = _raw(spark, store, name)
     except AnalysisException as e:
@@ -175,16 +180,51 @@ def read_history(spark: SparkSession, store: str, name: str) -> DataFrame:
             raise
         raw = spark.createDataFrame([], table_schema(name)).withColumns({"late": F.lit(0).cast("bigint"), part: F.lit(None).cast("date")})
     if edge is None:
-        return raw.drop("late")
+        return None, raw.drop("late")
     day = F.to_date(F.timestamp_seconds(F.lit(edge)))
     first = day if part == "event_date" else F.to_date(F.trunc(day, "month"))
     fresh = raw.filter((F.col("late") == 0) & (F.col(part) >= first) & (F.col("timestamp") >= edge))
     # Rows late for an earlier boundary are in the tier; those late for it but of days after it were in time there.
     fresh = fresh.unionByName(raw.filter(F.col("late") >= edge))
+    return read_versioned(spark, store, f"{name}_daily").select(*columns), fresh.drop("late")
+
+
+def read_history(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """The daily tier up to its boundary, raw rows from there on, and those that came too late for the tier and are not
+    part of it yet. Partitions of raw rows before the boundary, or late for an earlier one, are not scanned."""
+    part = FACTS[name]
+    tier, fresh = _history_parts(spark, store, name, boundary(spark, store, name))
+    if tier is None:
+        return fresh
     tier_day = F.to_date(F.timestamp_seconds("timestamp"))
-    tier = read_versioned(spark, store, f"{name}_daily").select(*columns)
     tier = tier.withColumn(part, tier_day if part == "event_date" else F.to_date(F.trunc(tier_day, "month")))
-    return tier.unionByName(fresh.drop("late"))
+    return tier.unionByName(fresh)
+
+
+def publish_tier(rows: DataFrame, store: str, name: str, as_of: int) -> None:
+    """Daily tier of a fact table, in order of time, so a filter on ``timestamp`` skips row groups."""
+    ordered = rows.repartitionByRange(*[c for c in ("timestamp", "ip") if c in rows.columns]).sortWithinPartitions("timestamp")
+    publish(ordered, store, f"{name}_daily", as_of)
+
+
+def publish_tiles(spark: SparkSession, store: str, as_of: int) -> None:
+    """Month and year sums of the current tier of ``ip_drops``, unless they are there. They carry the tier's clock, so readers
+    see whether they belong to the tier they read."""
+    edge = boundary(spark, store, "ip_drops")
+    if edge is None or _clock_edge(spark, store, "ip_drops_tiles") == edge:
+        return
+    sums = tile_sums(read_versioned(spark, store, "ip_drops_daily"), edge)
+    publish(sums.repartitionByRange("grain", "start", "ip").sortWithinPartitions("grain", "start"), store, "ip_drops_tiles", as_of)
+
+
+def stored_totals(spark: SparkSession, store: str, as_of: int) -> DataFrame:
+    """``reports.window_totals`` over the store: from tiles where they belong to the tier, else (a run was lost between
+    the two) from daily rows."""
+    edge = boundary(spark, store, "ip_drops")
+    if edge is None or _clock_edge(spark, store, "ip_drops_tiles") != edge:
+        return window_totals(read_history(spark, store, "ip_drops"), as_of)
+    tier, fresh = _history_parts(spark, store, "ip_drops", edge)
+    return tiled_totals(fresh, tier, read_versioned(spark, store, "ip_drops_tiles"), as_of, edge)
 
 
 # ---- versioned tables -----------------------------------------------------------------------------
