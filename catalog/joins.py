@@ -9,7 +9,7 @@ from catalog.sources import CLEAN4, CLEAN6, PACKETS
 from catalog.views import AS_OF
 from dropscope.config import Config
 from dropscope.operators import abuse, classify, deltas, flows, membership, netsets, reports, retention
-from dropscope.plans import refresh
+from dropscope.plans import refresh, vpn
 from dropscope.sources import store as S
 from dropscope.sources import text as T
 
@@ -106,6 +106,56 @@ def restorable_bans(v):
     return netsets.restorable_bans(T.extract_ipv4(v.log_lines), v.net_set)
 
 
+def _vpn_store(v):
+    """A store with both sets, its ban file filled from the log of one VPN module."""
+    store = S.scratch_dir(v.spark)
+    for name in (vpn.MAIN_SET, vpn.VPN_SET):
+        S.publish_set(v.net_set, store, name, AS_OF - 2 * 86400)
+    vpn.import_bans(v.log_lines.filter(F.col("line").contains("openvpn")), store, AS_OF - 2 * 86400)
+    return store
+
+
+ATTACKERS = f"""atk AS (SELECT DISTINCT unnest(regexp_extract_all(line,'{QUAD}')) AS ip FROM fw_log_lines WHERE regexp_matches(line,'TLS handshake failed|Bad encapsulated packet length')),
+stored AS (SELECT DISTINCT unnest(regexp_extract_all(line,'{QUAD}')) AS ip FROM fw_log_lines WHERE contains(line,'openvpn')),
+asked AS (SELECT ip FROM atk UNION SELECT ip FROM stored)"""
+
+
+@query(
+    "vpn_scan",
+    f"""WITH {ATTACKERS}, {hits('asked', 'fw_net_set')}
+SELECT a.ip, a.ip IN (SELECT ip FROM stored) AS stored, a.ip IN (SELECT ip FROM atk) AS seen,
+ CASE WHEN bool_or(h.set_name='FirewallBlock') THEN 'global' WHEN bool_or(h.set_name='VPNBlock') THEN 'already'
+  WHEN a.ip IN (SELECT ip FROM stored) THEN 'restored' ELSE 'banned' END AS status
+FROM a LEFT JOIN h ON h.ip=a.ip GROUP BY a.ip""",
+)
+def vpn_scan(v):
+    store = _vpn_store(v)
+    vpn.vpn_scan(v.log_lines, store, AS_OF)
+    return S.read_versioned(v.spark, store, "vpn_verdicts")
+
+
+@query(
+    "vpn_set_after_jobs",
+    f"""WITH {ATTACKERS}, own AS (SELECT net AS ip FROM fw_net_set WHERE set_name='VPNBlock'), every AS (SELECT ip FROM asked UNION SELECT ip FROM own),
+{hits('every', 'fw_net_set')}, g AS (SELECT ip FROM h WHERE set_name='FirewallBlock'),
+f AS (SELECT ip, ip IN (SELECT ip FROM own) AS old, ip IN (SELECT ip FROM stored) AS early, ip IN (SELECT ip FROM atk
+  WHERE ip NOT IN (SELECT ip FROM stored)) AS fresh FROM every WHERE ip NOT IN (SELECT ip FROM g))
+SELECT ip AS net, CAST(CASE WHEN old THEN NULL WHEN early THEN 1706659200-86400 ELSE 1706659200 END AS BIGINT) AS added_at,
+ CASE WHEN early THEN 'imported' WHEN fresh AND NOT old THEN 'scan' ELSE 'set only' END AS origin FROM f""",
+)
+def vpn_set_after_jobs(v):
+    """The VPN set after two scans, the first of one module's log, and the clean-up, each run twice."""
+    store = _vpn_store(v)
+    for lines, at in ((v.log_lines.filter(F.col("line").contains("openvpn")), AS_OF - 86400), (v.log_lines, AS_OF)):
+        for _ in range(2):
+            vpn.vpn_scan(lines, store, at)
+    for _ in range(2):
+        vpn.vpn_cleanup(v.spark, store, AS_OF)
+    bans = S.read_versioned(v.spark, store, "vpn_bans").select(F.col("ip").alias("net"), F.when(F.col("since").isNull(), "imported").otherwise("scan").alias("origin"))
+    kept = S.read_versioned(v.spark, store, "set_VPNBlock").select("net", "added_at")
+    return kept.join(bans, "net", "left").select("net", "added_at", F.coalesce("origin", F.lit("set only")).alias("origin"))
+
+
 VIP = """vip AS (SELECT ip FROM (SELECT ip FROM fw_ip_drops GROUP BY ip ORDER BY sum(count) DESC, ip LIMIT 15)
  UNION SELECT ip FROM (SELECT ip FROM fw_ip_drops WHERE timestamp >= 1706659200-31536000 GROUP BY ip ORDER BY sum(count) DESC, ip LIMIT 15)
  UNION SELECT ip FROM (SELECT ip FROM fw_ip_drops WHERE timestamp >= 1706659200-2592000 GROUP BY ip ORDER BY sum(count) DESC, ip LIMIT 15))"""

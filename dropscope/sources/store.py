@@ -36,6 +36,7 @@ SCHEMAS = {
     "ip_drops": "timestamp BIGINT, ip STRING, count BIGINT, list_type STRING",
     "ip_info": "ip STRING, country STRING, risk INT, domain STRING, updated BIGINT, target_port INT, port_history STRING",
     "abuse_reports": "ip STRING, last_sent BIGINT",
+    "vpn_bans": "ip STRING, since BIGINT",
     "list_counters": "set_name STRING, run_ts BIGINT, packets BIGINT",
     "ip_counters": "ip STRING, list_type STRING, run_ts BIGINT, packets BIGINT",
     "net_set": "set_name STRING, net STRING, added_at BIGINT, expires_at BIGINT",
