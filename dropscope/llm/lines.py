@@ -2,18 +2,21 @@
 
 Lines are compared after lower-casing and joining their words by single spaces; lines without a word stay. Two
 lines are near when one edit (a code point put in, taken out or replaced) makes them equal and both have at least ``near_from`` code
-points: in shorter ones, such as ``12`` and ``13``, one edit is another line. A line goes if an
+points (0: lines of any length; in short ones, such as ``12`` and ``13``, one edit is another line). A line goes if an
 earlier line is equal or near; earlier means smaller document id, then row key, then line number. Every comparison is
 made on the input, not on what is left.
 
 1. Distinct lines with their first place: a map-side aggregation, so a line shared by a third of all
    documents is one row per task.
 2. A pair within one edit agrees on its first or its last half. Lines that share a half (of the same
-   length class) with another line go on; for random text that is a few per cent.
-3. These emit their deletion neighbourhood as hashed keys: every variant with one code point left out, and
+   length class) with another line go on; for random text that is a few per cent. Only documents with such a
+   line's first place are split again for its text.
+3. Of these, lines that agree with another on all but one of ``PIECES`` pieces go on: wherever the edit is, the pieces
+   before it and those behind it are equal.
+4. These emit their deletion neighbourhood as hashed keys: every variant with one code point left out, and
    the line itself. Equal keys for the same place left out are replacements; a variant equal to a whole line is an insertion.
    Each key keeps its earliest line, so no pairs are listed.
-4. The edit distance of a line and the earlier line found is verified on the texts.
+5. The edit distance of a line and the earlier line found is verified on the texts.
 
 Defined cases: null text stays null; an empty text has one line without words; a null id comes after all others; rows equal in id and
 text are treated alike; an empty table gives no rows; extra columns are kept by ``filter_lines``.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from dropscope.llm.common import GAP_CLASS, keep, mixed, row_key, rows_of
 
 NEAR_FROM = 10  # code points
+PIECES = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -45,10 +49,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def _lines_of(keyed: DataFrame) -> DataFrame:
+    rows = keyed.select("id0", "row_key", F.posexplode(normal_lines(F.col("row.text"))).alias("pos", "line"))
+    return rows.withColumn("line", F.trim("line")).filter("line <> ''")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
     """Lines with a word: ``id0, row_key, pos, line`` (normal form)."""
-    rows = _keyed(docs).select("id0", "row_key", F.posexplode(normal_lines(F.col("row.text"))).alias("pos", "line"))
-    return rows.withColumn("line", F.trim("line")).filter("line <> ''")
+    return _lines_of(_keyed(docs))
 
 
 def _identity() -> list[Column]:
@@ -68,6 +76,20 @@ def _halves() -> list[Column]:
     return [k.alias(f"k{i}") for i, k in enumerate(keys)]
 
 
+def _pieces(lines: DataFrame) -> DataFrame:
+    """``h1, piece``: one key per place of an edit, made from all before and all behind that piece of the shorter line."""
+    keyed = lines.select("h1", "line", F.explode(F.sequence(F.lit(0), F.lit(2 * PIECES - 1))).alias("i"))
+    keyed = keyed.selectExpr("h1", "line", "i div 2 AS j", "char_length(line) - i % 2 AS m")
+    cut = keyed.selectExpr("*", f"cast(m * j div {PIECES} AS int) AS a", f"cast(m - m * (j + 1) div {PIECES} AS int) AS b")
+    return cut.selectExpr("h1", "xxhash64(j, m, substring(line, 1, a), right(line, b)) AS piece")
+
+
+def _sharing(keys: DataFrame, key: str) -> DataFrame:
+    """``h1`` of the lines that have a ``key`` in common with another line."""
+    shared = keys.groupBy(key).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select(key)
+    return keys.join(shared, key).select("h1").distinct()
+
+
 def _neighbourhood(batches):
     """Keys of all variants of each line: kind 0 the line itself, 1 a shortened one, 2 a place left out."""
     for batch in batches:
@@ -96,17 +118,19 @@ def _neighbourhood(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "kind", "h1", "h2"])
 
 
-def near_lines(lines: DataFrame, texts: DataFrame) -> DataFrame:
+def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that have an earlier line within one edit.
 
-    ``lines`` has ``h1, h2, first`` and the half keys, null in lines too short to be near any; ``texts`` gives ``h1, h2, line``
-    for any occurrence of the others.
+    ``lines`` has ``h1, h2, first`` and the half keys, null in lines too short to be near any; ``docs`` are the documents
+    that ``first`` names, as ``_keyed`` gives them.
     """
     halves = lines.filter("k0 is not null").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("half")
-    some = keep(halves.join(shared, "half").select("h1").distinct(), "halves")
-    told = texts.join(some, "h1", "left_semi").dropDuplicates(["h1", "h2"])
-    told = keep(told.join(lines.select("h1", "h2", "first"), ["h1", "h2"]), "survivors")
+    some = lines.select("h1", "h2", "first").join(_sharing(halves, "half"), "h1", "left_semi")
+    some = keep(some.select("h1", "h2", "first", "first.*"), "halves")
+    place = ["id0", "row_key", "pos"]
+    split = _lines_of(docs.join(some.select("id0", "row_key").distinct(), ["id0", "row_key"], "left_semi"))
+    told = keep(split.join(some, place).select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), "told")
+    told = keep(told.join(_sharing(_pieces(told), "piece"), "h1", "left_semi"), "survivors")
     keys = told.select("h1", "h2", "line").mapInArrow(_neighbourhood, "key BIGINT, kind TINYINT, h1 BIGINT, h2 INT")
     firsts = told.select("h1", "h2", "first")
     keys = keep(keys, "variants")
@@ -132,12 +156,14 @@ def removals(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     found = occurrences(docs)
     long = F.char_length("line") >= near_from
     keys = [F.when(long, k).alias(f"k{i}") for i, k in enumerate(_halves())]
-    at = keep(found.select("id0", "row_key", "pos", *_identity(), *keys), "occurrences").distinct()
+    # Rows equal in id and text give equal places: least and greatest place tell whether a line comes again.
+    at = keep(found.select("id0", "row_key", "pos", *_identity(), *keys), "occurrences")
     first = F.struct("id0", "row_key", "pos")
     halves = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
-    lines = keep(at.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), *halves), "lines")
-    near = keep(near_lines(lines, found.filter(long).select(*_identity(), "line")), "near").withColumn("near", F.lit(True))
-    marked = lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("n > 1 or near")
+    again = (F.max(first) > F.min(first)).alias("again")
+    lines = keep(at.groupBy("h1", "h2").agg(F.min(first).alias("first"), again, *halves), "lines")
+    near = keep(near_lines(lines, _keyed(docs.select("doc_id", "text"))), "near").withColumn("near", F.lit(True))
+    marked = lines.select("h1", "h2", "first", "again").join(near, ["h1", "h2"], "left").filter("again or near")
     hit = at.select("h1", "h2", "id0", "row_key", "pos").join(marked, ["h1", "h2"])
     hit = hit.filter(F.col("near") | (first > F.col("first")))
     return hit.groupBy("id0", "row_key").agg(F.collect_set("pos").alias("gone"))
@@ -145,7 +171,8 @@ def removals(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
 
 def dedup(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     """``row`` (all columns), ``n_lines``, ``n_removed`` and ``kept_text`` (remaining lines joined by newlines)."""
-    joined = _keyed(docs).join(removals(docs, near_from), ["id0", "row_key"], "left")
+    # One plan at every size: line numbers of a large corpus fit no broadcast.
+    joined = _keyed(docs).join(removals(docs, near_from).hint("merge"), ["id0", "row_key"], "left")
     joined = joined.select("row", "gone", F.split("row.text", "\n").alias("parts"))
     places = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")
     left = F.array_join(F.transform(places, lambda p: F.get(F.col("parts"), p)), "\n")

@@ -161,9 +161,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT doc_id, pos, line AS raw, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM documents)),
 d AS (SELECT line, min(doc_id * 10000000 + pos) AS f, length(line) AS n FROM l WHERE line <> '' GROUP BY 1),
-b AS (SELECT * FROM d WHERE n >= 10),
-h AS (SELECT line, f, n, m, left(line, m // 2) AS half, 0 AS side FROM (SELECT *, unnest([n, n-1]) AS m FROM b)
-  UNION ALL SELECT line, f, n, m, right(line, m - m // 2), 1 FROM (SELECT *, unnest([n, n-1]) AS m FROM b)),
+h AS (SELECT line, f, n, m, left(line, m // 2) AS half, 0 AS side FROM (SELECT *, unnest([n, n-1]) AS m FROM d)
+  UNION ALL SELECT line, f, n, m, right(line, m - m // 2), 1 FROM (SELECT *, unnest([n, n-1]) AS m FROM d)),
 p AS (SELECT DISTINCT a.line, b.line AS other, a.n, b.n AS o FROM h a JOIN h b USING (m, half, side) WHERE b.f < a.f AND m = least(a.n, b.n)),
 x AS (SELECT DISTINCT line FROM p WHERE CASE WHEN n = o THEN len(list_filter(list_zip(string_split(line, ''), string_split(other, '')), lambda t: t[1] <> t[2])) = 1
   WHEN n > o THEN len(list_filter(generate_series(1, n), lambda i: left(line, i - 1) || substr(line, i + 1) = other)) > 0
@@ -175,7 +174,7 @@ SELECT doc_id, count(m.pos) AS n_lines, count(*) FILTER (gone) AS n_removed,
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dropscope.llm.lines import dedup
 
-    cut = dedup(_table(spark, sf_dir, "documents"))
+    cut = dedup(_table(spark, sf_dir, "documents"), near_from=0)
     kept = F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")
     return cut.select("row.doc_id", "n_lines", "n_removed", kept)
 
