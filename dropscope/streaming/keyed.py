@@ -6,14 +6,16 @@ is read again. What a key no longer needs leaves the state: waiting rows once fo
 time to live. Rows behind the watermark come out as ``kind = 'late'`` with what they held; ``merge_late`` lets a
 batch job put right the keys they belong to.
 
-State is kept in RocksDB, which the jobs set for their session, and checkpointed with the query. A call serves one
-key and holds the key's waiting rows: those of the lateness, and for brute force the times of one span. Where one source
-sends so much that these do not fit a task, use the forms in ``jobs``, which split a source.
+State is kept in RocksDB, which the jobs set for their session, and checkpointed with the query. A call serves the keys of one of
+``BUCKETS`` buckets and holds their carried values and waiting rows: those of the lateness and of one batch, and for brute force the
+times of one span. Where one source sends so much that these do not fit a task, use the forms in ``jobs``, which split a source.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,8 @@ from dropscope.operators import deltas, detect
 
 # Fixed value: Spark's own provider class.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keys that share a state entry; part of a checkpoint, so it stays for a stream's life.
+BUCKETS = 1024
 _TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "ARRAY<BIGINT>": T.ArrayType(T.LongType())}
 
 
@@ -38,10 +42,12 @@ def shape(fields: str) -> T.StructType:
 class InOrder(StatefulProcessor):
     """Holds rows back until the watermark has passed them, then folds them in the order of ``row`` columns.
 
-    The first of the columns is the time in units of 1 / ``scale`` milliseconds. Subclasses fold one row into the carried
-    value and say when a carried value has no more use.
+    The first of the columns is the time in units of 1 / ``scale`` milliseconds. Subclasses fold one row of a key into the
+    key's carried value and say when a carried value has no more use. A call serves all keys of one bucket: the state
+    is read and written as lists, a few calls a bucket and batch whatever the rows and keys.
     """
 
+    keys = ""
     row = ""
     carry = ""
     out = ""
@@ -49,9 +55,10 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", shape(self.row), shape("n INT"))
-        self.carried = handle.getValueState("carried", shape(self.carry))
-        self.names = shape(self.row).names
+        self.waiting = handle.getListState("waiting", shape(f"{self.keys}, {self.row}"))
+        self.carried = handle.getListState("carried", shape(f"{self.keys}, {self.carry}"))
+        self.names = shape(f"{self.keys}, {self.row}").names
+        self.width = len(shape(self.keys).names)
 
     def ms(self, at: int) -> int:
         return int(at * self.scale)
@@ -59,6 +66,9 @@ class InOrder(StatefulProcessor):
     def start(self) -> tuple:
         raise NotImplementedError
 
+    def seen(self, rows: list[tuple]) -> None:
+        """All waiting rows of a key, before those behind the watermark are folded."""
+
     def fold(self, carried: tuple, row: tuple) -> tuple[tuple, list[tuple]]:
         raise NotImplementedError
 
@@ -67,52 +77,60 @@ class InOrder(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        late, soonest = [], None
+        mark, w = timerValues.getCurrentWatermarkInMs(), self.width
+        soonest = None
         for pdf in rows:
-            for row in pdf[self.names].drop_duplicates().itertuples(index=False, name=None):
-                if self.ms(row[0]) < mark:
-                    late.append(row)
-                    continue
-                self.waiting.updateValue(row, (1,))
-                soonest = row[0] if soonest is None else min(soonest, row[0])
+            new = list(pdf[self.names].drop_duplicates().itertuples(index=False, name=None))
+            late = [r for r in new if self.ms(r[w]) < mark]
+            fresh = [r for r in new if self.ms(r[w]) >= mark]
+            if fresh:
+                self.waiting.appendList(fresh)
+                first = min(r[w] for r in fresh)
+                soonest = first if soonest is None else min(soonest, first)
+            yield from self._frames(late, "late")
         if soonest is not None:
             self.handle.registerTimer(self.ms(soonest) + 1)
-        yield from self._frames(key, late, "late")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(k) for k in self.waiting.keys())
-        done = [r for r in rows if self.ms(r[0]) < mark]
-        carried = tuple(self.carried.get()) if self.carried.exists() else self.start()
-        out = []
-        for row in done:
-            carried, more = self.fold(carried, row)
-            out.extend(more)
-            self.waiting.removeKey(row)
-        end = self.spent(carried)
-        if len(done) < len(rows):
-            self.handle.registerTimer(self.ms(rows[len(done)][0]) + 1)
-        if end is not None and self.ms(end) < mark:
-            self.carried.clear()
+        mark, w = timerValues.getCurrentWatermarkInMs(), self.width
+        carried = {tuple(r)[:w]: tuple(r)[w:] for r in self.carried.get()}
+        out, left = [], []
+        for name, group in groupby(sorted({tuple(r) for r in self.waiting.get()}), key=lambda r: r[:w]):
+            rows = [r[w:] for r in group]
+            done = [r for r in rows if self.ms(r[0]) < mark]
+            left.extend((*name, *r) for r in rows[len(done) :])
+            if done:
+                self.seen(rows)
+                value = carried.get(name) or self.start()
+                for row in done:
+                    value, more = self.fold(value, row)
+                    out.extend((*name, *r) for r in more)
+                carried[name] = value
+        ends = {name: self.spent(value) for name, value in carried.items()}
+        carried = {n: value for n, value in carried.items() if ends[n] is None or self.ms(ends[n]) >= mark}
+        self._put(self.waiting, left)
+        self._put(self.carried, [(*n, *value) for n, value in carried.items()])
+        due = [r[w] for r in left] + [ends[n] for n in carried if ends[n] is not None]
+        if due:
+            self.handle.registerTimer(self.ms(min(due)) + 1)
+        yield from self._frames(out, "result")
+
+    def _put(self, state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
         else:
-            self.carried.update(carried)
-            if end is not None:
-                self.handle.registerTimer(self.ms(end) + 1)
-        yield from self._frames(key, out, "result")
+            state.clear()
 
-    def _frames(self, key, rows: list[tuple], kind: str) -> Iterator[pd.DataFrame]:
+    def _frames(self, rows: list[tuple], kind: str) -> Iterator[pd.DataFrame]:
         """Rows in the output's shape, none for no rows: columns a late row lacks are null."""
         if not rows:
             return
         names = shape(self.out).names
-        have = self.names if kind == "late" else names[1 + len(key) :]
-        text = dict(zip(names, [kind, *key], strict=False))
-        number = {n: [r[i] for r in rows] for i, n in enumerate(have)}
-        n = len(rows)
-        yield pd.DataFrame(
-            {c: pd.Series([text[c]] * n, dtype=object) if c in text else pd.Series(number.get(c, [None] * n), dtype="Int64") for c in names}
-        )
+        have = dict(zip(self.names if kind == "late" else names[1:], zip(*rows, strict=True), strict=True))
+        have["kind"] = [kind] * len(rows)
+        text = {"kind", *self.names[: self.width]}
+        none = [None] * len(rows)
+        yield pd.DataFrame({c: pd.Series(list(have.get(c, none)), dtype=object if c in text else "Int64") for c in names})
 
     def close(self) -> None:
         pass
@@ -121,7 +139,7 @@ class InOrder(StatefulProcessor):
 class Bans(InOrder):
     """Offences open a ban while none runs; an ended ban leaves the state."""
 
-    row, carry = "ts BIGINT", "free BIGINT"
+    keys, row, carry = "src STRING", "ts BIGINT", "free BIGINT"
     out = "kind STRING, src STRING, ts BIGINT, start_s BIGINT, end_s BIGINT"
     scale = 1000.0
 
@@ -144,7 +162,7 @@ class Bans(InOrder):
 class Counters(InOrder):
     """Increase of every reading over the one before; a fall is a restart from 0."""
 
-    row, carry = "run_ts BIGINT, packets BIGINT", "packets BIGINT"
+    keys, row, carry = "ip STRING, list_type STRING", "run_ts BIGINT, packets BIGINT", "before BIGINT"
     out = "kind STRING, ip STRING, list_type STRING, run_ts BIGINT, packets BIGINT, count BIGINT"
     scale = 1000.0
 
@@ -163,7 +181,7 @@ class Bruteforce(InOrder):
     The carried value is the list of times still inside the span; rows of one instant count for each other.
     """
 
-    row, carry = "ts_us BIGINT, pkt_id BIGINT", "recent ARRAY<BIGINT>"
+    keys, row, carry = "src STRING, proto STRING", "ts_us BIGINT, pkt_id BIGINT", "recent ARRAY<BIGINT>"
     out = "kind STRING, src STRING, proto STRING, ts_us BIGINT, pkt_id BIGINT, hits BIGINT"
     scale = 0.001
 
@@ -173,11 +191,8 @@ class Bruteforce(InOrder):
     def start(self) -> tuple:
         return ([],)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.now = {}
-        for row in self.waiting.keys():
-            self.now[row[0]] = self.now.get(row[0], 0) + 1
-        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+    def seen(self, rows):
+        self.now = Counter(ts for ts, _ in rows)
 
     def fold(self, carried, row):
         (recent,), (ts, pkt_id) = carried, row
@@ -190,11 +205,12 @@ class Bruteforce(InOrder):
         return carried[0][-1] + self.span if carried[0] else None
 
 
-def _keyed(rows: DataFrame, at: str, unit: Callable, keys: list[str], processor: InOrder, lateness: str) -> DataFrame:
+def _keyed(rows: DataFrame, at: str, unit: Callable, processor: InOrder, lateness: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # The processor tells late rows itself: it gets the plain number, which no watermark filter drops.
     timed = rows.withColumn("_at", unit(at)).withWatermark("_at", lateness).drop("_at")
-    return timed.groupBy(*keys).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(*shape(processor.keys).names), F.lit(BUCKETS))
+    return timed.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=shape(processor.out), outputMode="Append", timeMode="EventTime"
     )
 
@@ -202,19 +218,19 @@ def _keyed(rows: DataFrame, at: str, unit: Callable, keys: list[str], processor:
 def keyed_bans(offences: DataFrame, timeout: int, lateness: str = "1 hour") -> DataFrame:
     """Ban intervals of an offence stream (src, ts in seconds): ``kind, src, ts, start_s, end_s``."""
     rows = offences.select("src", F.col("ts").cast("bigint").alias("ts")).filter("src IS NOT NULL AND ts IS NOT NULL")
-    return _keyed(rows, "ts", F.timestamp_seconds, ["src"], Bans(timeout), lateness)
+    return _keyed(rows, "ts", F.timestamp_seconds, Bans(timeout), lateness)
 
 
 def keyed_deltas(snapshots: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Positive increases of a snapshot stream: ``kind, ip, list_type, run_ts, packets, count``."""
     rows = snapshots.select("ip", "list_type", "run_ts", "packets").filter("ip IS NOT NULL AND list_type IS NOT NULL AND run_ts IS NOT NULL AND packets IS NOT NULL")
-    return _keyed(rows, "run_ts", F.timestamp_seconds, ["ip", "list_type"], Counters(), lateness)
+    return _keyed(rows, "run_ts", F.timestamp_seconds, Counters(), lateness)
 
 
 def keyed_bruteforce(packets: DataFrame, config: Config, lateness: str = "1 minute") -> DataFrame:
     """Brute-force hits of a packet stream: ``kind, src, proto, ts_us, pkt_id, hits``. Packets need distinct ``pkt_id``."""
     rows = detect.protected(packets, config).select("src", "proto", "ts_us", "pkt_id").filter("src IS NOT NULL AND ts_us IS NOT NULL AND pkt_id IS NOT NULL")
-    return _keyed(rows, "ts_us", F.timestamp_micros, ["src", "proto"], Bruteforce(config.brute_seconds, config.brute_hits), lateness)
+    return _keyed(rows, "ts_us", F.timestamp_micros, Bruteforce(config.brute_seconds, config.brute_hits), lateness)
 
 
 def to_tables(results: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
