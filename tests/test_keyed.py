@@ -1,5 +1,6 @@
 """Keyed streams with timers, fed in four files with rows out of order, against the batch operators."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,50 @@ def test_bruteforce(spark, tmp_path):
     cols = ("pkt_id", "src", "proto", "ts_us", "hits")
     want = bag(detect.bruteforce_hits(df.filter("src <> 'z'"), config), *cols)
     assert want and bag(got, *cols) == want and late.isEmpty()
+
+
+def test_state_calls_follow_buckets_not_rows():
+    """A bucket's rows are taken and folded with as many state calls for 4 keys of 500 rows as for one row, and once a batch."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows += rows
+
+        def clear(self):
+            calls.append("clear")
+            self.rows = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return State()
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    def serve(rows):
+        calls.clear()
+        counters = K.Counters()
+        counters.init(Handle())
+        assert not list(counters.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["ip", "list_type", "run_ts", "packets"])]), At(0)))
+        out = [f for _ in range(3) for f in counters.handleExpiredTimer((1,), At(10**9), None)]
+        return len(calls), sum(map(len, out))
+
+    one, found = serve([("a", "trap", 1, 5)])
+    assert found == 1 and serve([(ip, "trap", t, t) for ip in "abcd" for t in range(1, 501)]) == (one, 2000)
