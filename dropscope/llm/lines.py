@@ -9,8 +9,9 @@ made on the input, not on what is left.
 1. Distinct lines with their first place: a map-side aggregation, so a line shared by a third of all
    documents is one row per task.
 2. A pair within one edit agrees on its first or its last half. Lines that share a half (of the same
-   length class) with another line go on; for random text that is a few per cent. Only documents with such a
-   line's first place are split again for its text.
+   length class) with another line go on; for random text that is a few per cent. For their texts the documents are split
+   again where they lie; only lines whose place is set in a bitmap of fixed size (``PLACE_WORDS``) are shuffled. The bitmap
+   only spares shuffling: it lets other lines pass too, the more the larger the corpus, and the join by place drops them.
 3. Of these, lines that agree with another on all but one of ``PIECES`` pieces go on: wherever the edit is, the pieces
    before it and those behind it are equal.
 4. These emit their deletion neighbourhood as hashed keys: every variant with one code point left out, and
@@ -33,14 +34,20 @@ from dropscope.llm.common import GAP_CLASS, keep, mixed, row_key, rows_of
 
 NEAR_FROM = 10  # code points
 PIECES = 8
+PLACE_WORDS = 1 << 19  # of 64 bits: 4 MB to each executor, whatever the corpus
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+def _normal(text: Column) -> Column:
+    """A text or line in normal form, but for blanks at line ends. Single spaces, by far the most blanks, are not matched."""
+    return F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+
+
 def normal_lines(text: Column) -> Column:
     """Lines of a text in normal form, but for blanks at their ends: the whole text is lower-cased and its blanks joined
-    before it is split, one call a document. Single spaces, by far the most blanks, are not matched."""
-    return F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "), "\n")
+    before it is split, one call a document."""
+    return F.split(_normal(text), "\n")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,14 +56,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines_of(keyed: DataFrame) -> DataFrame:
-    rows = keyed.select("id0", "row_key", F.posexplode(normal_lines(F.col("row.text"))).alias("pos", "line"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Lines with a word: ``id0, row_key, pos, line`` (normal form)."""
+    rows = _keyed(docs).select("id0", "row_key", F.posexplode(normal_lines(F.col("row.text"))).alias("pos", "line"))
     return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Lines with a word: ``id0, row_key, pos, line`` (normal form)."""
-    return _lines_of(_keyed(docs))
+def _place_bit() -> tuple[Column, Column]:
+    """Word and bit of a place in the bitmap."""
+    h = F.xxhash64("id0", "row_key", "pos")
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PLACE_WORDS - 1)), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _place_bitmap(places: DataFrame) -> DataFrame:
+    """``part, words``: a bitmap of ``PLACE_WORDS`` words in rows of 1,024, with the bits of ``places`` set."""
+    word, bit = _place_bit()
+    bits = places.select(word.alias("word"), bit.alias("bit")).selectExpr("word", "shiftleft(1L, bit) AS bits")
+    zeros = places.sparkSession.range(PLACE_WORDS).selectExpr("id AS word", "0L AS bits")
+    words = bits.unionByName(zeros).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = words.groupBy(F.shiftright("word", 10).alias("part")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return rows.select("part", F.col("words.bits").alias("words"))
+
+
+def _lines_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (``id0, row_key, pos`` and more) with their ``line`` in normal form. Documents are split where they lie, and only
+    lines that the bitmap of the places lets pass are normalised and shuffled."""
+    raw = _keyed(docs).select("id0", "row_key", F.posexplode(F.split("row.text", "\n")).alias("pos", "line"))
+    word, bit = _place_bit()
+    raw = raw.withColumns({"word": word, "bit": bit})
+    raw = raw.join(F.broadcast(_place_bitmap(places)), F.shiftright("word", 10) == F.col("part"))
+    raw = raw.filter("getbit(get(words, cast(word & 1023 AS int)), bit) = 1")
+    return raw.select("id0", "row_key", "pos", F.trim(_normal(F.col("line"))).alias("line")).join(places, ["id0", "row_key", "pos"])
 
 
 def _identity() -> list[Column]:
@@ -122,14 +152,13 @@ def near_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """``h1, h2`` of the distinct lines that have an earlier line within one edit.
 
     ``lines`` has ``h1, h2, first`` and the half keys, null in lines too short to be near any; ``docs`` are the documents
-    that ``first`` names, as ``_keyed`` gives them.
+    that ``first`` names.
     """
     halves = lines.filter("k0 is not null").select("h1", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     some = lines.select("h1", "h2", "first").join(_sharing(halves, "half"), "h1", "left_semi")
     some = keep(some.select("h1", "h2", "first", "first.*"), "halves")
-    place = ["id0", "row_key", "pos"]
-    split = _lines_of(docs.join(some.select("id0", "row_key").distinct(), ["id0", "row_key"], "left_semi"))
-    told = keep(split.join(some, place).select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), "told")
+    told = _lines_at(docs, some).select("h1", "h2", "first", "line")
+    told = keep(told.dropDuplicates(["h1", "h2"]), "told")
     told = keep(told.join(_sharing(_pieces(told), "piece"), "h1", "left_semi"), "survivors")
     keys = told.select("h1", "h2", "line").mapInArrow(_neighbourhood, "key BIGINT, kind TINYINT, h1 BIGINT, h2 INT")
     firsts = told.select("h1", "h2", "first")
@@ -162,7 +191,7 @@ def removals(docs: DataFrame, near_from: int = NEAR_FROM) -> DataFrame:
     halves = [F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
     again = (F.max(first) > F.min(first)).alias("again")
     lines = keep(at.groupBy("h1", "h2").agg(F.min(first).alias("first"), again, *halves), "lines")
-    near = keep(near_lines(lines, _keyed(docs.select("doc_id", "text"))), "near").withColumn("near", F.lit(True))
+    near = keep(near_lines(lines, docs.select("doc_id", "text")), "near").withColumn("near", F.lit(True))
     marked = lines.select("h1", "h2", "first", "again").join(near, ["h1", "h2"], "left").filter("again or near")
     hit = at.select("h1", "h2", "id0", "row_key", "pos").join(marked, ["h1", "h2"])
     hit = hit.filter(F.col("near") | (first > F.col("first")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from dropscope.llm import lines, queries
 
@@ -70,3 +71,33 @@ def test_variants_only_of_lines_that_agree_but_for_a_piece(spark, monkeypatch):
     got = {r["row"]["doc_id"]: r["n_removed"] for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {d for d, n in got.items() if n} == {901}
     assert sizes["halves"] == 202 and sizes["survivors"] == 2
+
+
+def test_whole_documents_are_not_dealt_out_for_a_few_lines(spark, monkeypatch, capsys):
+    """The texts of candidate lines are shuffled by place; a full bitmap, which lets every line pass, changes no result."""
+    rnd = random.Random(6)
+    rows = [(i, "\n".join("".join(rnd.choice("abc") for _ in range(12)) for _ in range(20))) for i in range(40)]
+    rows += [(50, "\t" + rows[0][1][:11].upper() + "X \n\n  "), (51, None), (None, "a line\n" + rows[1][1][:12]), (None, None)]
+    plans, kept = {}, lines.keep
+
+    def keep(df, name):
+        capsys.readouterr()
+        df.explain()
+        plans[name] = capsys.readouterr().out
+        return kept(df, name)
+
+    monkeypatch.setattr(lines, "keep", keep)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [sorted(map(repr, lines.dedup(docs).collect()))]
+        monkeypatch.setattr(lines, "PLACE_WORDS", 1024)
+        monkeypatch.setattr(lines, "_place_bit", lambda: (lines.F.col("pos").cast("bigint") * 0, lines.F.lit(0)))
+        got.append(sorted(map(repr, lines.dedup(docs).collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got[0] == got[1]
+    cut = {r["row"]["doc_id"]: r["n_removed"] for r in lines.dedup(docs).collect() if r["row"]["text"]}
+    assert cut[50] == 1 and cut[None] == 1 and cut[0] == 0
+    assert "row_key" in plans["told"] and not re.search(r"hashpartitioning\(id0#\d+L?, row_key#\d+L?, \d+\)", plans["told"])
