@@ -34,7 +34,7 @@ from dropscope.llm.common import GAP_CLASS, keep, mixed, row_key, rows_of
 
 NEAR_FROM = 10  # code points
 PIECES = 8
-PLACE_WORDS = 1 << 19  # of 64 bits: 4 MB to each executor, whatever the corpus
+PLACE_WORDS = 1 << 19  # of 64 bits: 4 MB, measured as 8 MB when broadcast, whatever the corpus
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
