@@ -132,7 +132,8 @@ def greedy_holds(opens: DataFrame, key: list[str], slot: int = DAY) -> DataFrame
     chain = tables.repartition(*key).sortWithinPartitions(*key, "slot")
     entries = chain.mapInArrow(_chained, T.StructType([*plain, T.StructField("entry", T.LongType())]))
     named = entries.toDF(*[f"_e_{c}" for c in [*key, "slot"]], "entry")
-    same: Column = F.col("slot") == F.col("_e_slot")
+    # Null-safe in all columns: a filter for one of them would keep both uses of ``blocks`` from sharing its shuffles.
+    same: Column = F.col("slot").eqNullSafe(F.col("_e_slot"))
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
     joined = blocks.join(named, same).select(*key, "slot", "entry", "rows")

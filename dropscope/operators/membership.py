@@ -8,12 +8,18 @@ gives it a new timeout. At one second, flushes and rebuilds come first, then add
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dropscope.functions.times import floor_div
 from dropscope.operators.holds import greedy_holds, last_at
-from dropscope.operators.netsets import matched_spans
+from dropscope.operators.netsets import matched_nets
 
 EVENT_SCHEMA = "event_time BIGINT, set_name STRING, net STRING, action STRING, timeout BIGINT"
 
@@ -77,18 +83,63 @@ def apply_events(net_set: DataFrame, events: DataFrame, as_of: int, timeouts: di
     return live_at(set_intervals(both.filter(F.col("event_time") <= as_of), timeouts), as_of)
 
 
-def sets_at(points: DataFrame, net_set: DataFrame, col: str, second: str) -> DataFrame:
+def _lives(net_set: DataFrame, slot: int) -> DataFrame:
+    """``set_name, _net, _slot, _at, _by, _sum``: per entry and ``slot`` seconds, in which seconds of the slot the number of its
+    lives changes, by how much, and in all. A null ``added_at`` is before all times."""
+    begun, ended = F.coalesce("added_at", F.lit(-(1 << 40))).cast("bigint"), F.col("expires_at").cast("bigint")
+    valid = net_set.filter(F.col("set_name").isNotNull() & F.col("net").isNotNull() & (ended.isNull() | (ended > begun)))
+    steps = F.array(F.struct(begun.alias("t"), F.lit(1).alias("d")), F.struct(ended.alias("t"), F.lit(-1).alias("d")))
+    rows = valid.select("set_name", F.col("net").alias("_net"), F.inline(steps)).filter("t IS NOT NULL")
+    rows = rows.select("set_name", "_net", floor_div("t", slot).alias("_slot"), F.pmod("t", F.lit(slot)).cast("int").alias("t"), "d")
+    # One shuffle for both sums; a row ends with at most one step per second of the slot.
+    key = ["set_name", "_net", "_slot"]
+    rows = rows.repartition(*key).groupBy(*key, "t").agg(F.sum("d").alias("d")).filter("d <> 0")
+    step = F.struct("t", F.col("d").cast("int").alias("d"))
+    lives = rows.groupBy(*key).agg(F.array_sort(F.collect_list(step)).alias("_steps"), F.sum("d").alias("_sum"))
+    return lives.select(*key, F.col("_steps.t").alias("_at"), F.col("_steps.d").alias("_by"), "_sum")
+
+
+def _alive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the seconds each row asks for, those at which its entry has a life."""
+    for batch in batches:
+        slot, asked, before, steps, by = batch.columns[2:]
+        n = batch.num_rows
+        row = np.repeat(np.arange(n), asked.value_lengths().to_numpy())
+        at = asked.flatten().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(n), steps.value_lengths().to_numpy())
+        total = np.concatenate([[0], np.cumsum(by.flatten().to_numpy().astype(np.int64))])
+        # Steps are in order of row and second, so one search finds the last step of every asked second.
+        known = owner * (1 << 32) + steps.flatten().to_numpy()
+        last, first = np.searchsorted(known, row * (1 << 32) + at, side="right"), np.searchsorted(owner, row)
+        live = before.to_numpy()[row] + total[last] - total[first] > 0
+        row, at = row[live], slot.to_numpy()[row[live]] + at[live]
+        pick = pa.array(row, pa.int64())
+        names = [*batch.schema.names[:2], "_second"]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at, pa.int64())], names=names)
+
+
+def sets_at(points: DataFrame, net_set: DataFrame, col: str, second: str, slot: int = 600) -> DataFrame:
     """Distinct ``col, second`` of ``points`` with every set that held the address then: ``col, second, set_name``.
 
-    Addresses meet networks by prefix once each, whatever the time; then the instants of matched addresses look up, per set,
-    whether an entry was alive. Entries of one address and set may overlap: lives are counted.
+    Addresses meet networks by prefix once each, whatever the time. Then an address asks each of its networks, ``slot``
+    seconds in one row, at which of its seconds the network was alive: the network's steps in those seconds and the lives
+    carried into them. So lives are never repeated for every address in a shuffle, and a row holds at most ``slot``
+    seconds and as many steps. Entries may overlap: lives are counted.
     """
-    spans = matched_spans(points, net_set, ("added_at", "expires_at"), col)
-    begun = F.struct(F.coalesce("added_at", F.lit(-(1 << 40))).cast("bigint").alias("t"), F.lit(1).alias("d"))
-    ended = F.struct(F.col("expires_at").cast("bigint").alias("t"), F.lit(-1).alias("d"))
-    steps = spans.select(col, "set_name", F.explode(F.array(begun, ended)).alias("e")).filter("e.t IS NOT NULL")
-    steps = steps.groupBy(col, "set_name", F.col("e.t").alias(second)).agg(F.sum("e.d").alias("d"))
-    alive = F.sum("d").over(W.partitionBy(col, "set_name").orderBy(second).rowsBetween(W.unboundedPreceding, 0))
-    marks = steps.select(col, "set_name", second, (alive > 0).cast("int").alias("live"))
-    asked = points.select(col, second).distinct().join(spans.select(col, "set_name").distinct(), col)
-    return last_at(asked, marks, [col, "set_name"], second, "live").filter("live = 1").select(col, second, "set_name")
+    key = ["set_name", "_net", "_slot"]
+    at = F.col(second).cast("bigint")
+    times = points.filter(at.isNotNull()).groupBy(col, floor_div(at, slot).alias("_slot"))
+    asked = times.agg(F.collect_set(F.pmod(at, F.lit(slot)).cast("int")).alias("_asked")).join(matched_nets(points, net_set, col), col)
+    lives = _lives(net_set, slot)
+    salts = asked.groupBy(*key).agg(F.collect_set("salt").alias("_salts"))
+    earlier = W.partitionBy("set_name", "_net").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    held = lives.join(salts, key, "full_outer").withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    changes = [F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("_at", "_by")]
+    held = held.withColumn("salt", F.explode("_salts")).select(*key, "salt", "_before", *changes)
+    # What neither lived before nor begins to live in its slot is not asked.
+    held = held.filter((F.col("_before") > 0) | (F.size("_at") > 0))
+    rows = asked.join(held, [*key, "salt"]).select(col, "set_name", (F.col("_slot") * slot).alias("_slot"), "_asked", "_before", "_at", "_by")
+    out = T.StructType([rows.schema[col], rows.schema["set_name"], T.StructField("_second", T.LongType())])
+    found = rows.mapInArrow(_alive, out).select(col, F.col("_second").cast(points.schema[second].dataType).alias(second), "set_name")
+    # Several networks of a set may hold an address. Dealt by point, the rows also serve what groups or joins by point.
+    return found.repartition(col, second).distinct()

@@ -30,7 +30,7 @@ def _is_short() -> Column:
 
 def keyed_sets(net_set: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """``set_name, family, plen, key, salt`` and the columns ``more``; short prefixes once per salt."""
-    rows = with_bits(net_set.select("set_name", "net", *more), "net").select(
+    rows = with_bits(net_set.select(*dict.fromkeys(["set_name", "net", *more])), "net").select(
         "set_name", "family", "plen", IP.network_key("bits", "plen").alias("key"), *more
     )
     salts = F.when(_is_short(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
@@ -70,11 +70,12 @@ def matches(ips: DataFrame, net_set: DataFrame, col: str = "ip") -> DataFrame:
     return hit.select(col, "set_name").distinct()
 
 
-def matched_spans(ips: DataFrame, net_set: DataFrame, more: tuple[str, ...], col: str = "ip") -> DataFrame:
-    """As ``matches``, one row per entry that differs in the columns ``more``."""
-    keyed = keyed_sets(net_set, more)
+def matched_nets(ips: DataFrame, net_set: DataFrame, col: str = "ip") -> DataFrame:
+    """As ``matches``, with the entry that matched: ``ip, set_name, _net, salt``. An entry counts once, however many rows of
+    ``net_set`` repeat it; ``salt`` spreads the addresses of a short prefix."""
+    keyed = keyed_sets(net_set.select("set_name", "net").distinct(), ("net",)).withColumnRenamed("net", "_net")
     probe = expand_prefixes(ips, prefix_lengths(keyed), col)
-    return probe.join(keyed, ["family", "plen", "key", "salt"]).select(col, "set_name", *more).distinct()
+    return probe.join(keyed, ["family", "plen", "key", "salt"]).select(col, "set_name", "_net", "salt")
 
 
 def ip_lookup(ips: DataFrame, net_set: DataFrame, col: str = "ip", as_of: int | None = None) -> DataFrame:
